@@ -1,0 +1 @@
+"""Every model is a full batch rebuild, so there is nothing to stream."""
