@@ -28,7 +28,7 @@ OPTIONS = {
     "f_team_sessions_final": {"fan_out_client": FAN_OUT_CLIENT, "fan_out_copies": FAN_OUT_COPIES}
 }
 # Read several times by the marts: written once per query instead of being worked out each time.
-SHARED = {"f_sessions_final", "f_live_skills", "f_team_sessions_final", "m_client_user_role"}
+SHARED = {"f_sessions_final", "f_team_sessions_final"}
 
 
 class Trial:
@@ -209,7 +209,7 @@ def attempt_numbers(t: Trial) -> DataFrame:
 
 
 def competency_attempts(t: Trial) -> DataFrame:
-    named = t["f_live_skills"].withColumn("competency", F.coalesce("mindset_score", "skill_name"))
+    named = stage(t["f_live_skills"]).withColumn("competency", F.coalesce("mindset_score", "skill_name"))
     return number_rows(
         named, ["strengthAssessmentId", "competency"], ["recordeddate", "sessionid", "event_number"],
         "CompetencyAttempt",

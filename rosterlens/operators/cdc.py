@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,8 @@ KEEP_UNMARKED = "op <> 'D' or op is null"
 KEEP_MARKED_LIVE = "op <> 'D'"
 
 
-def sort_by(order: Sequence[tuple[str, str]]) -> list[Column]:
-    """Sort columns with NULLs last in both directions."""
-    return [
-        col(c).desc_nulls_last() if way == "desc" else col(c).asc_nulls_last()
-        for c, way in order
-    ]
+def _quoted(names: Sequence[str]) -> list[str]:
+    return ["`" + n.replace("`", "``") + "`" for n in names]
 
 
 def latest_row(
@@ -44,10 +40,16 @@ def latest_row(
             f.name for f in df.schema.fields
             if f.name not in used and not isinstance(f.dataType, (T.MapType, T.VariantType))
         ]
-    window = Window.partitionBy(*map(col, keys)).orderBy(
-        *sort_by(order), *sort_by([(c, "asc") for c in tiebreak])
+    sort = [
+        f"{name} {'desc' if way == 'desc' else 'asc'} nulls last"
+        for name, way in zip(
+            _quoted([c for c, _ in order] + list(tiebreak)), [w for _, w in order] + ["asc"] * len(tiebreak)
+        )
+    ]
+    rank = F.expr(
+        f"row_number() over (partition by {', '.join(_quoted(keys))} order by {', '.join(sort)})"
     )
-    ranked = df.withColumn(rank_col, F.row_number().over(window)).filter(F.col(rank_col) == 1)
+    ranked = df.withColumn(rank_col, rank).filter(F.col(rank_col) == 1)
     if keep is not None:
         ranked = ranked.filter(keep)
     return ranked if keep_rank else ranked.drop(rank_col)

@@ -10,7 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split skewed partitions even where that costs another shuffle later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # Recording where each column was made costs more than making it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

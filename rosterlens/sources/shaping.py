@@ -9,6 +9,7 @@ rows, blanks and NULLs are mixed in so that every rule of the models has rows to
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,29 @@ FAN_OUT_CLIENT = "C5"
 FAN_OUT_COPIES = ("C5-COPY-A", "C5-COPY-B")
 
 
+# Tables that may be large but come as one file, with a column to deal them out by.
+DEAL_BY = {
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
+    "conversations": "conv_id", "pages": "page_id", "part": "p_partkey", "customer": "c_custkey",
+}
+
+
 def tables_in(spark: SparkSession, folder: str) -> Tables:
-    return lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """The tables of a folder by name, each opened once.
+
+    A file that cannot be split is read by one task. Rows of such tables are dealt out after the scan;
+    tables that already fill the cores are left alone.
+    """
+    cores = spark.sparkContext.defaultParallelism
+
+    @cache
+    def table(name: str) -> DataFrame:
+        df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+        if name in DEAL_BY and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, DEAL_BY[name])
+        return df
+
+    return table
 
 
 def _count(t: Tables, name: str) -> Column:
