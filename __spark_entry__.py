@@ -27,8 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 OPTIONS = {
     "f_team_sessions_final": {"fan_out_client": FAN_OUT_CLIENT, "fan_out_copies": FAN_OUT_COPIES}
 }
-# Read several times by the marts: written once per query instead of being worked out each time.
-SHARED = {"f_sessions_final", "f_team_sessions_final"}
+# Tables that queries read several times: written once per query, as the build job does.
+SHARED = {"f_sessions_final", "f_team_sessions_final", "f_live_skills", "f_ondemand_skills"}
 
 
 class Trial:
@@ -55,9 +55,7 @@ class Trial:
 
 
 def _live_sessions(t: Trial) -> DataFrame:
-    return t.call(
-        marts.live_sessions, "f_live_session", "m_session_learner", "m_client_user_role", "f_live_skills"
-    )
+    return t.call(marts.live_sessions, "f_live_session", "m_session_learner", "m_client_user_role")
 
 
 def _ondemand_sessions(t: Trial) -> DataFrame:
@@ -154,7 +152,9 @@ def status_of_sessions(t: Trial) -> DataFrame:
 
 
 def best_score_lookup(t: Trial) -> DataFrame:
-    return _live_sessions(t).select("id", "learner_id", "score")
+    return marts.with_best_score(_live_sessions(t), t.model("f_live_skills")).select(
+        "id", "learner_id", "score"
+    )
 
 
 def tagged_union_sessions(t: Trial) -> DataFrame:
@@ -209,7 +209,7 @@ def attempt_numbers(t: Trial) -> DataFrame:
 
 
 def competency_attempts(t: Trial) -> DataFrame:
-    named = stage(t["f_live_skills"]).withColumn("competency", F.coalesce("mindset_score", "skill_name"))
+    named = t["f_live_skills"].withColumn("competency", F.coalesce("mindset_score", "skill_name"))
     return number_rows(
         named, ["strengthAssessmentId", "competency"], ["recordeddate", "sessionid", "event_number"],
         "CompetencyAttempt",
@@ -281,7 +281,7 @@ QUERIES: dict[str, Callable[[Trial], DataFrame]] = {
 } | {
     "session_status": status_of_sessions,
     "current_assignments": _current_assignments,
-    "skill_rank": lambda t: t["f_ondemand_skills"],
+    "skill_rank": lambda t: t.model("f_ondemand_skills"),
     "sessions_final": lambda t: t.model("f_sessions_final"),
     "team_sessions_final": lambda t: t.model("f_team_sessions_final"),
     "score": lambda t: t.model("f_score"),

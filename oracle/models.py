@@ -58,7 +58,7 @@ PIVOT = ", ".join(
 SESSION = ("status, actual_start_date, actual_end_date, start_date, end_date, billable, sub_type, "
            "late_canceled, final_session_sub_status, session_date")
 TIES = ("start_date, session_id, client_id, client_user_role_id, team_id, scenario_id, session_type, "
-        "event_number, skill, skill_score, SessionScore, rn, skill_id, old_skill_name, mindset_type, "
+        "event_number, skill, skill_score, SessionScore, skill_id, old_skill_name, mindset_type, "
         "event_skill_id, scenario_bank_id")
 
 MODELS = {
@@ -230,7 +230,7 @@ MODELS = {
                l.skill_id, e.skill_id AS event_skill_id, b.id AS scenario_bank_id, b.min_passing_score,
                l.skill_name AS domain, k.title, l.mindset_type,
                CASE WHEN l.mindset_type = 'Positive' THEN 1 ELSE 0 END AS levent_status, l.old_skill_name,
-               o.skill AS ondemand_skill, o.rn
+               o.skill AS ondemand_skill
         FROM f_team_sessions_final f
         LEFT JOIN f_ondemand_skills o ON o.sessionid = f.session_id AND f.session_type = 'ondemand'
         LEFT JOIN f_live_skills l ON l.sessionid = f.session_id AND f.session_type = 'live'
@@ -239,7 +239,7 @@ MODELS = {
         LEFT JOIN d_scenario_bank_event_scoring b ON b.scenario_id = f.scenario_id
         WHERE f.user_role = 'learner' AND f.scenario_generation_type = 1""",
     "f_score": f"""
-        SELECT * EXCLUDE (ondemand_skill, rn, scenario_generation_type, first_name, last_name, email,
+        SELECT * EXCLUDE (ondemand_skill, scenario_generation_type, first_name, last_name, email,
                           full_name),
                (row_number() OVER (PARTITION BY client_user_role_id, coalesce(ondemand_skill, title)
                 ORDER BY {TIES}, attempt))::INTEGER AS CompetencyAttempt

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ from ..sources.staging import stage
 TASK_ROWS = 5_000_000
 
 
+def _largest(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group, by a count with map-side combine over the key columns only."""
+    return df.groupBy(*map(col, keys)).count().agg(F.max("count")).first()[0] or 0
+
+
+def _by_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    sort = [col(c).asc_nulls_last() for c in order]
+    window = Window.partitionBy(*map(col, keys)).orderBy(*sort)
+    return df.withColumn(name, F.row_number().over(window))
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -23,17 +35,38 @@ def number_rows(
 ) -> DataFrame:
     """`row_number()` per key, ascending with NULLs last.
 
-    A window sorts each group in one task. So the largest group is measured first, by a count with
-    map-side combine over the key columns; pass a table or staged rows as `df`, since that reads it
-    once more. Above `task_rows` the rows are numbered by range. None skips the measuring.
+    A window sorts each group in one task. So the largest group is measured first; pass a table or
+    staged rows as `df`, since that reads it once more. Above `task_rows` the rows are numbered by
+    range. None skips the measuring.
     """
-    sort = [col(c).asc_nulls_last() for c in order]
-    if task_rows is not None:
-        sizes = df.groupBy(*map(col, keys)).count()
-        largest = sizes.agg(F.max("count")).first()[0]
-        if largest is not None and largest > task_rows:
-            return _number_by_range(df, keys, order, name)
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*sort)))
+    if task_rows is not None and _largest(df, keys) > task_rows:
+        return _number_by_range(df, keys, order, name)
+    return _by_window(df, keys, order, name)
+
+
+@dataclass(frozen=True)
+class Numbering:
+    keys: Sequence[str]
+    order: Sequence[str]
+    name: str
+
+
+def number_within(
+    df: DataFrame, owner: str, numberings: Sequence[Numbering], task_rows: int | None = TASK_ROWS
+) -> DataFrame:
+    """Several row numbers whose groups never reach across two values of `owner`.
+
+    One shuffle by owner then serves all of them. When some owner has more than `task_rows` rows each
+    numbering goes its own way, as `number_rows` does.
+    """
+    if task_rows is not None and _largest(df, [owner]) > task_rows:
+        for n in numberings:
+            df = number_rows(df, n.keys, n.order, n.name, task_rows)
+        return df
+    df = df.repartition(col(owner))
+    for n in numberings:
+        df = _by_window(df, [owner, *(k for k in n.keys if k != owner)], n.order, n.name)
+    return df
 
 
 def _number_by_range(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import session_column
 from ..functions.scoring import is_positive, session_status
 from ..operators.joins import SPLIT_ROWS, routed_left_join, salted_left_join, smallest_shared
-from ..operators.numbering import TASK_ROWS, number_rows
+from ..operators.numbering import TASK_ROWS, Numbering, number_within
 from ..operators.sets import fan_out_key, tagged_union
 from ..sources.staging import stage
 
@@ -28,26 +28,29 @@ def live_sessions(
     f_live_session: DataFrame,
     m_session_learner: DataFrame,
     m_client_user_role: DataFrame,
-    f_live_skills: DataFrame,
 ) -> DataFrame:
     """Live sessions, a row per learner. Persons in another role stay, without an id."""
     learners = m_client_user_role.filter(F.col("role") == "learner").select(
         F.col("id").alias("user_role_id"), F.col("user_id").alias("learner_id")
     )
     present = m_session_learner.select(F.col("session_id").alias("id"), "user_role_id")
-    best = (
-        f_live_skills.groupBy(F.col(session_column(f_live_skills)).alias("id"))
-        .agg(F.max("score").alias("score"))
-    )
     return (
         f_live_session.select("id", "scenario_id", *SESSION_COLUMNS)
         .join(present, "id", "left")
         .join(learners, "user_role_id", "left")
-        .join(best, "id", "left")
-        .select("id", "scenario_id", *SESSION_COLUMNS, "learner_id", "score")
+        .select("id", "scenario_id", *SESSION_COLUMNS, "learner_id")
     )
 
 
+def with_best_score(sessions: DataFrame, f_live_skills: DataFrame) -> DataFrame:
+    """Sessions with the best score of their survey; no mart shows it, so none looks it up."""
+    best = (
+        f_live_skills.groupBy(F.col(session_column(f_live_skills)).alias("id"))
+        .agg(F.max("score").alias("score"))
+    )
+    return sessions.join(best, "id", "left")
+
+
 def ondemand_sessions(
     f_ondemand_session: DataFrame, f_session_score: DataFrame, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
@@ -71,7 +74,6 @@ def f_sessions_final(
     f_live_session: DataFrame,
     m_session_learner: DataFrame,
     m_client_user_role: DataFrame,
-    f_live_skills: DataFrame,
     f_ondemand_session: DataFrame,
     f_session_score: DataFrame,
     d_scenario: DataFrame,
@@ -81,14 +83,11 @@ def f_sessions_final(
 ) -> DataFrame:
     sessions = tagged_union(
         {
-            "live": live_sessions(
-                f_live_session, m_session_learner, m_client_user_role, f_live_skills
-            ),
+            "live": live_sessions(f_live_session, m_session_learner, m_client_user_role),
             "ondemand": ondemand_sessions(f_ondemand_session, f_session_score, split_rows),
         },
         "session_type",
     )
-    # The score is not part of the result, so Spark drops the grouped live join with it.
     return sessions.join(
         scenario_lookup(d_scenario, d_project, d_client), "scenario_id", "left"
     ).select(
@@ -296,7 +295,7 @@ def scored_rows(
 ) -> DataFrame:
     """Learner rows of generated scenarios with their skill scores, before attempts are numbered."""
     ondemand = f_ondemand_skills.select(
-        F.col("sessionid").alias("session_id"), "skill", "skill_score", "SessionScore", "rn"
+        F.col("sessionid").alias("session_id"), "skill", "skill_score", "SessionScore"
     )
     live = f_live_skills.select(
         F.col(session_column(f_live_skills)).alias("session_id"),
@@ -342,7 +341,7 @@ def scored_rows(
 # What tells apart rows with the same start, so that numbers do not depend on the data's layout.
 ATTEMPT_TIES = [
     "session_id", "client_id", "client_user_role_id", "team_id", "scenario_id", "session_type",
-    "event_number", "skill", "skill_score", "SessionScore", "rn", "skill_id", "old_skill_name",
+    "event_number", "skill", "skill_score", "SessionScore", "skill_id", "old_skill_name",
     "mindset_type", "event_skill_id", "scenario_bank_id",
 ]
 SCORE_COLUMNS = [
@@ -374,12 +373,15 @@ def f_score(
         )
     )
     order = ["start_date", *ATTEMPT_TIES]
-    rows = number_rows(
-        rows, ["client_id", "user_id", "scenario_id", "skill", "session_type"], order, "attempt",
+    # A role belongs to one user, so the groups of both numberings lie within a user. Rows alike in
+    # everything else differ in their attempt, which makes the second order as good as total.
+    rows = number_within(
+        rows,
+        "user_id",
+        [
+            Numbering(["client_id", "user_id", "scenario_id", "skill", "session_type"], order, "attempt"),
+            Numbering(["client_user_role_id", "competency"], [*order, "attempt"], "CompetencyAttempt"),
+        ],
         task_rows,
     )
-    # Rows alike in everything else differ in their attempt.
-    rows = number_rows(
-        rows, ["client_user_role_id", "competency"], [*order, "attempt"], "CompetencyAttempt", task_rows
-    )
     return rows.select(*SCORE_COLUMNS)
