@@ -19,7 +19,7 @@ def paragraphs(x: str) -> str:
 def first(raw: str, keys: str, order: str, keep: str = "true") -> str:
     """The first row per key; `keep` is asked of the chosen rows."""
     return f"""
-        SELECT * FROM (SELECT DISTINCT ON ({keys}) *, 1 AS row_number FROM {raw} ORDER BY {keys}, {order})
+        SELECT * FROM (SELECT DISTINCT ON ({keys}) *, 1::BIGINT AS row_number FROM {raw} ORDER BY {keys}, {order})
         WHERE {keep}"""
 
 
@@ -39,7 +39,7 @@ def _report() -> str:
     return f"""
         SELECT op, 'LR' || o_orderkey || '-' || rev AS id, 'L' || o_orderkey AS session_id,
                '[' || o_orderstatus || ']' AS strategies, o_orderpriority AS pre_simulation_confidence,
-               {", ".join(columns)}, 'oid' || o_orderkey AS oid_id, 1 AS row_number
+               {", ".join(columns)}, 'oid' || o_orderkey AS oid_id, 1::BIGINT AS row_number
         FROM raw_session_learner_report r
         WHERE op = (SELECT max(op) FROM raw_session_learner_report x WHERE x.o_orderkey = r.o_orderkey)"""
 
@@ -150,7 +150,7 @@ MODELS = {
         LEFT JOIN d_building_blocks c ON c.id = v.mindset_id""",
     "f_ondemand_skills": """
         SELECT s.sessionid, k.skill, k.score AS skill_score, s.score AS SessionScore,
-               (row_number() OVER (PARTITION BY s.sessionid ORDER BY k.skill, k.id))::INTEGER AS rn
+               row_number() OVER (PARTITION BY s.sessionid ORDER BY k.skill, k.id) AS rn
         FROM f_skill_score k LEFT JOIN f_session_score s ON s.id = k.sessionscoreid""",
     "f_skill_domain_name": """
         SELECT DISTINCT l.skill_id, m.domain_id, l.skill_name, b.title AS domain_name
@@ -241,9 +241,9 @@ MODELS = {
     "f_score": f"""
         SELECT * EXCLUDE (ondemand_skill, scenario_generation_type, first_name, last_name, email,
                           full_name),
-               (row_number() OVER (PARTITION BY client_user_role_id, coalesce(ondemand_skill, title)
-                ORDER BY {TIES}, attempt))::INTEGER AS CompetencyAttempt
-        FROM (SELECT *, (row_number() OVER (PARTITION BY client_id, user_id, scenario_id, skill, session_type
-                         ORDER BY {TIES}))::INTEGER AS attempt
+               row_number() OVER (PARTITION BY client_user_role_id, coalesce(ondemand_skill, title)
+                                  ORDER BY {TIES}, attempt) AS CompetencyAttempt
+        FROM (SELECT *, row_number() OVER (PARTITION BY client_id, user_id, scenario_id, skill, session_type
+                                        ORDER BY {TIES}) AS attempt
               FROM scored_rows)""",
 }

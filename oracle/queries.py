@@ -88,13 +88,13 @@ OPERATORS = {
     "skill_rank": "SELECT * FROM f_ondemand_skills",
     "attempt_numbers": """
         SELECT id, learner_id, scenario_id, session_type, start_date,
-               (row_number() OVER (PARTITION BY scenario_client_id, learner_id, scenario_id, session_type
-                ORDER BY start_date, id))::INTEGER AS attempt
+               row_number() OVER (PARTITION BY scenario_client_id, learner_id, scenario_id, session_type
+                                  ORDER BY start_date, id) AS attempt
         FROM f_sessions_final""",
     "competency_attempts": """
         SELECT sessionid, event_number, skill_id,
-               (row_number() OVER (PARTITION BY strengthAssessmentId, coalesce(mindset_score, skill_name)
-                ORDER BY recordeddate, sessionid, event_number))::INTEGER AS CompetencyAttempt
+               row_number() OVER (PARTITION BY strengthAssessmentId, coalesce(mindset_score, skill_name)
+                                  ORDER BY recordeddate, sessionid, event_number) AS CompetencyAttempt
         FROM f_live_skills""",
     "sessions_final": "SELECT * FROM f_sessions_final",
     "team_sessions_final": "SELECT * FROM f_team_sessions_final",

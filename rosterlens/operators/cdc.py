@@ -52,7 +52,7 @@ def latest_row(
     ranked = df.withColumn(rank_col, rank).filter(F.col(rank_col) == 1)
     if keep is not None:
         ranked = ranked.filter(keep)
-    return ranked if keep_rank else ranked.drop(rank_col)
+    return ranked.withColumn(rank_col, F.lit(1).cast("long")) if keep_rank else ranked.drop(rank_col)
 
 
 def undeleted_groups(

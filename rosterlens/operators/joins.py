@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,52 +18,73 @@ SPLIT_ROWS = 5_000_000
 NULL_SPREAD = 4096
 
 
-def _row_hash(df: DataFrame) -> Column:
+COPY_CHUNK = 100_000
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash over all columns of a row that can be hashed."""
     return F.xxhash64(*[
         col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ])
 
 
-def salted_left_join(
+def split_left_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
-    """`left.join(right, on, "left")` with large right keys cut into parts.
-
-    Spark's own skew handling splits the left side of a left join, never the right. Here the rows of a
-    large right key are dealt out by row hash, and the left rows of that key are repeated once per
-    part. A large key has a match in some part, so repeats that met an empty part can be dropped.
-    Left rows with a NULL key match nothing; they are spread instead of meeting in one task.
+    """`left.join(right, on, "left")` that also splits large right keys.
+
+    Spark's own skew handling splits the left side of a left join, never the right. So the rows per
+    right key are counted first, with map-side combine over the key columns. Without a key above
+    `split_rows` this is the plain join. Otherwise the rows of a large key are dealt out by row hash,
+    copies of one row in chunks, and the left rows of that key repeated once per part. A large key has a match in some part, so
+    repeats that met an empty part are dropped. Left rows with a NULL key match nothing; they are
+    spread instead of meeting in one task.
     """
     right = right.dropna(subset=list(on))
-    large = F.broadcast(
+    large = (
         right.groupBy(*on).count().filter(F.col("count") > split_rows)
         .select(*on, F.ceil(F.col("count") / split_rows).cast("int").alias("_parts"))
     )
-    any_null = F.lit(False)
-    for c in on:
-        any_null = any_null | col(c).isNull()
-    spread = -1 - F.pmod(_row_hash(left), F.lit(NULL_SPREAD)).cast("int")
-
-    dealt = right.join(large, list(on), "left").select(
-        *right.columns,
-        F.when(F.col("_parts").isNull(), 0)
-        .otherwise(F.pmod(_row_hash(right), F.col("_parts")).cast("int"))
-        .alias("_part"),
-        F.lit(True).alias("_hit"),
+    columns = [*left.columns, *(c for c in right.columns if c not in on)]
+    if large.isEmpty():
+        return left.join(right, list(on), "left").select(*columns)
+
+    any_null = reduce(Column.__or__, [col(c).isNull() for c in on])
+    spread = -1 - F.pmod(row_hash(left), F.lit(NULL_SPREAD)).cast("int")
+    parts = (
+        F.when(any_null, F.array(spread))
+        .when(F.col("_parts").isNull(), F.array(F.lit(0)))
+        .otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
     )
-    repeated = left.join(large, list(on), "left").withColumn(
-        "_part",
-        F.explode(
-            F.when(any_null, F.array(spread))
-            .when(F.col("_parts").isNull(), F.array(F.lit(0)))
-            .otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
-        ),
+    repeated = left.join(F.broadcast(large), list(on), "left").withColumn("_part", F.explode(parts))
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(
+        F.pmod(F.xxhash64(row_hash(right), F.col("_chunk")), F.col("_parts"))
+    )
+    dealt = collapse_copies(right).join(F.broadcast(large), list(on), "left").select(
+        *right.columns, "_copies", part.cast("int").alias("_part")
     )
-    right_only = [c for c in right.columns if c not in on]
     return (
         repeated.join(dealt, [*on, "_part"], "left")
-        .filter(F.col("_parts").isNull() | F.col("_hit").isNotNull())
-        .select(*left.columns, *right_only)
+        .filter(F.col("_parts").isNull() | F.col("_copies").isNotNull())
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
+        .select(*columns)
+    )
+
+
+def collapse_copies(df: DataFrame) -> DataFrame:
+    """Each distinct row once per COPY_CHUNK copies of it, with their number `_copies` and a `_chunk` id.
+
+    Counting combines copies before the shuffle, and the chunks can be dealt out like other rows.
+    """
+    counted = df.groupBy(*map(col, df.columns)).agg(F.count("*").alias("_all"))
+    last = F.floor((F.col("_all") - 1) / COPY_CHUNK)
+    return (
+        counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .withColumn(
+            "_copies",
+            F.least(F.lit(COPY_CHUNK), F.col("_all") - F.col("_chunk") * COPY_CHUNK).cast("int"),
+        )
+        .drop("_all")
     )
 
 
@@ -79,7 +101,7 @@ def routed_left_join(
     unioned with their names as a second key and the left side is shuffled once, not once per branch.
     Rows with another route stay, with NULLs.
     """
-    return salted_left_join(left, tagged_union(branches, route), [key, route], split_rows)
+    return split_left_join(left, tagged_union(branches, route), [key, route], split_rows)
 
 
 def smallest_shared(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..sources.staging import stage
+from .joins import collapse_copies, row_hash
 
 # One task sorts a group up to this size; larger ones are cut into ordered ranges.
 TASK_ROWS = 5_000_000
@@ -23,7 +24,7 @@ def _largest(df: DataFrame, keys: Sequence[str]) -> int:
 def _by_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     sort = [col(c).asc_nulls_last() for c in order]
     window = Window.partitionBy(*map(col, keys)).orderBy(*sort)
-    return df.withColumn(name, F.row_number().over(window))
+    return df.withColumn(name, F.row_number().over(window).cast("long"))
 
 
 def number_rows(
@@ -76,21 +77,22 @@ def _number_by_range(
 
     A group may fill many ranges. Each range holds a run of consecutive rows, so a row's number is its
     place among the rows of its key in its own range plus the rows of that key in earlier ranges.
+    Copies of one row are sorted as chunks and expanded at the end; a row hash parts other ties.
     """
     sort = [col(c).asc_nulls_last() for c in [*keys, *order]]
+    chunks = collapse_copies(df).withColumn("_hash", row_hash(df))
     # The id is made in the task that sorted the rows and is written with them, so later reads of it
     # agree. Its high bits are the range, its low bits the place within it.
-    ranged = stage(df.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    ranged = stage(
+        chunks.orderBy(*sort, "_hash", "_chunk").withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_range", F.shiftright("_at", 33))
 
-    per_range = Window.partitionBy("_range", *map(col, keys)).orderBy("_at")
-    earlier = Window.partitionBy(*map(col, keys)).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    in_range = Window.partitionBy("_range", *map(col, keys)).orderBy("_at")
+    earlier = Window.partitionBy(*map(col, keys)).orderBy("_range")
     # At most one key per range continues from the range before: the list has a row per range.
     carried = (
-        ranged.groupBy("_range", *map(col, keys)).count()
-        .withColumn("_carry", F.sum("count").over(earlier))
+        ranged.groupBy("_range", *map(col, keys)).agg(F.sum("_copies").alias("_rows"))
+        .withColumn("_carry", _sum_before("_rows", earlier))
         .filter("_carry > 0")
         .select(
             F.col("_range").alias("_in"),
@@ -101,9 +103,19 @@ def _number_by_range(
     same_group = F.col("_range") == F.col("_in")
     for i, k in enumerate(keys):
         same_group = same_group & col(k).eqNullSafe(F.col(f"_key{i}"))
+    first = _sum_before("_copies", in_range)
     return (
-        ranged.withColumn("_place", F.row_number().over(per_range))
+        ranged.withColumn("_first", first)
         .join(F.broadcast(carried), same_group, "left")
-        .withColumn(name, (F.col("_place") + F.coalesce("_carry", F.lit(0))).cast("int"))
+        .withColumn("_first", F.col("_first") + F.coalesce("_carry", F.lit(0)))
+        .repartition("_at")
+        .withColumn(
+            name, F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_copies")))
+        )
         .select(*map(col, df.columns), name)
     )
+
+
+def _sum_before(column: str, window: WindowSpec) -> Column:
+    frame = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(frame), F.lit(0).cast("long"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import session_column
 from ..functions.scoring import is_positive, session_status
-from ..operators.joins import SPLIT_ROWS, routed_left_join, salted_left_join, smallest_shared
+from ..operators.joins import SPLIT_ROWS, routed_left_join, split_left_join, smallest_shared
 from ..operators.numbering import TASK_ROWS, Numbering, number_within
 from ..operators.sets import fan_out_key, tagged_union
 from ..sources.staging import stage
@@ -28,15 +28,16 @@ def live_sessions(
     f_live_session: DataFrame,
     m_session_learner: DataFrame,
     m_client_user_role: DataFrame,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Live sessions, a row per learner. Persons in another role stay, without an id."""
     learners = m_client_user_role.filter(F.col("role") == "learner").select(
         F.col("id").alias("user_role_id"), F.col("user_id").alias("learner_id")
     )
     present = m_session_learner.select(F.col("session_id").alias("id"), "user_role_id")
+    sessions = f_live_session.select("id", "scenario_id", *SESSION_COLUMNS)
     return (
-        f_live_session.select("id", "scenario_id", *SESSION_COLUMNS)
-        .join(present, "id", "left")
+        split_left_join(sessions, present, ["id"], split_rows)
         .join(learners, "user_role_id", "left")
         .select("id", "scenario_id", *SESSION_COLUMNS, "learner_id")
     )
@@ -67,7 +68,7 @@ def ondemand_sessions(
         "learner_id",
     )
     scores = f_session_score.select(F.col("sessionid").alias("id"), "score", F.col("id").alias("_score"))
-    return salted_left_join(sessions, scores, ["id"], split_rows).drop("_score")
+    return split_left_join(sessions, scores, ["id"], split_rows).drop("_score")
 
 
 def f_sessions_final(
@@ -83,7 +84,7 @@ def f_sessions_final(
 ) -> DataFrame:
     sessions = tagged_union(
         {
-            "live": live_sessions(f_live_session, m_session_learner, m_client_user_role),
+            "live": live_sessions(f_live_session, m_session_learner, m_client_user_role, split_rows),
             "ondemand": ondemand_sessions(f_ondemand_session, f_session_score, split_rows),
         },
         "session_type",
@@ -123,7 +124,11 @@ def scenario_lookup(d_scenario: DataFrame, d_project: DataFrame, d_client: DataF
 
 
 def user_roles(
-    d_users: DataFrame, m_user_client: DataFrame, d_client: DataFrame, m_client_user_role: DataFrame
+    d_users: DataFrame,
+    m_user_client: DataFrame,
+    d_client: DataFrame,
+    m_client_user_role: DataFrame,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Users with their client, a row per role; users without either stay."""
     users = d_users.select(
@@ -144,12 +149,8 @@ def user_roles(
     roles = m_client_user_role.select(
         "user_id", F.col("id").alias("client_user_role_id"), F.col("role").alias("user_role")
     )
-    return (
-        users.join(membership, "user_id", "left")
-        .join(clients, "own_client_id", "left")
-        .join(roles, "user_id", "left")
-        .drop("own_client_id")
-    )
+    known = users.join(membership, "user_id", "left").join(clients, "own_client_id", "left")
+    return split_left_join(known, roles, ["user_id"], split_rows).drop("own_client_id")
 
 
 def current_team_scenarios(
@@ -170,7 +171,7 @@ def current_team_scenarios(
         .distinct()
     )
     # Both sides have one row per pair, so the result needs no distinct.
-    return salted_left_join(
+    return split_left_join(
         teams, m_scenario_team.select("team_id", "scenario_id"), ["team_id"], split_rows
     )
 
@@ -238,10 +239,10 @@ def team_sessions(
         *SESSION_COLUMNS, "session_type",
     )
     teams = d_team.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
-    people = user_roles(d_users, m_user_client, d_client, m_client_user_role)
+    people = user_roles(d_users, m_user_client, d_client, m_client_user_role, split_rows)
+    joined = split_left_join(assigned, sessions, ["user_id", "scenario_id"], split_rows)
     joined = (
-        salted_left_join(assigned, sessions, ["user_id", "scenario_id"], split_rows)
-        .join(people, "user_id", "left")
+        split_left_join(joined, people, ["user_id"], split_rows)
         .join(scenario_lookup(d_scenario, d_project, d_client), "scenario_id", "left")
         .join(teams, "team_id", "left")
     )
@@ -321,11 +322,9 @@ def scored_rows(
         rows, "session_id", "session_type", {"ondemand": ondemand, "live": live}, split_rows
     )
     # Events are matched on the live event number; rows without one find none and stay.
-    rows = (
-        rows.join(events, ["scenario_id", "event_number"], "left")
-        .join(blocks, "event_skill_id", "left")
-        .join(bank, "scenario_id", "left")
-    )
+    rows = split_left_join(rows, events, ["scenario_id", "event_number"], split_rows)
+    rows = rows.join(blocks, "event_skill_id", "left")
+    rows = split_left_join(rows, bank, ["scenario_id"], split_rows)
     return rows.select(
         "*",
         F.col("skill").alias("ondemand_skill"),

@@ -13,6 +13,7 @@ from ..functions.columns import col, session_column
 from ..functions.scoring import passed, proficiency
 from ..functions.text import html_clean, not_blank, parse_day, strip_p, trim_ws
 from ..operators.cdc import KEEP_MARKED_LIVE, KEEP_UNMARKED, latest_row, undeleted_groups
+from ..operators.joins import SPLIT_ROWS, split_left_join
 from ..operators.numbering import TASK_ROWS, number_rows
 from ..operators.reshape import json_entries, pivot_entries, unpivot_slots
 from ..sources.staging import stage
@@ -278,17 +279,19 @@ def f_live_skills(
     f_skill_domain_mapping: DataFrame,
     d_building_blocks: DataFrame,
     f_events_mindset: DataFrame,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    events = survey_events(raw_sim_feedback).alias("ev")
     # No column of this join is used. It is here for the rows it repeats.
-    repeats = m_skill_score_mindset.select("mindset_id").alias("rp")
+    repeats = m_skill_score_mindset.select("mindset_id", "events_mindset_id")
+    events = split_left_join(
+        survey_events(raw_sim_feedback), repeats, ["mindset_id"], split_rows
+    ).drop("events_mindset_id").alias("ev")
     mapping = f_skill_domain_mapping.select("skill_id", "domain_id").alias("dm")
     domain = d_building_blocks.select("id", "title", "building_block_type", "level").alias("bb")
     mindset = f_events_mindset.select("id", "mindset_id").alias("em")
     competency = d_building_blocks.select("id", "title", "type").alias("bb1")
     joined = (
-        events.join(repeats, F.expr("ev.mindset_id = rp.mindset_id"), "left")
-        .join(mapping, F.expr("ev.skill_id = dm.skill_id"), "left")
+        events.join(mapping, F.expr("ev.skill_id = dm.skill_id"), "left")
         .join(domain, F.expr("dm.domain_id = bb.id"), "left")
         .join(mindset, F.expr("em.id = ev.mindset_id"), "left")
         .join(competency, F.expr("em.mindset_id = bb1.id"), "left")

@@ -140,7 +140,7 @@ class Small:
             for c in marts.SESSION_COLUMNS if c != "start_date"
         ], "timestamp_ntz'2024-01-01' as start_date")
 
-    def rows(self, client="c2"):
+    def rows(self, client="c2", **sizes):
         from inspect import Parameter, signature
 
         needed = [
@@ -148,7 +148,7 @@ class Small:
             if p.default is Parameter.empty
         ]
         return marts.f_team_sessions_final(
-            **{n: getattr(self, n) for n in needed}, fan_out_client=client, fan_out_copies=("x", "y")
+            **{n: getattr(self, n) for n in needed}, fan_out_client=client, fan_out_copies=("x", "y"), **sizes
         )
 
 
@@ -177,7 +177,7 @@ def test_team_sessions(frame):
     assert len(out.columns) == 32
 
 
-def score(frame, small, client):
+def score(frame, small, client, **sizes):
     skills = frame([("s2", "Listening", 2.0, 8.0)], "sessionid string, skill string, skill_score double,"
                    " SessionScore double")
     live = frame(
@@ -190,7 +190,17 @@ def score(frame, small, client):
                    "scenario_id string, events_sequence int, skill_id string, archived boolean")
     blocks = frame([("B1", "Empathy")], "id string, title string")
     bank = frame([("b1", "S1", 3), ("b2", "S1", 4)], "id string, scenario_id string, min_passing_score int")
-    return marts.f_score(small.rows(client), skills, live, events, blocks, bank)
+    return marts.f_score(small.rows(client, **split_only(sizes)), skills, live, events, blocks, bank, **sizes)
+
+
+def split_only(sizes):
+    return {k: v for k, v in sizes.items() if k == "split_rows"}
+
+
+def test_results_do_not_depend_on_how_large_keys_are_split(frame):
+    plain = score(frame, Small(frame), "c2")
+    split = score(frame, Small(frame), "c2", task_rows=1, split_rows=1)
+    assert Counter(map(tuple, split.collect())) == Counter(map(tuple, plain.collect()))
 
 
 def test_score(frame):

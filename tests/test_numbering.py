@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rosterlens.operators import joins
 from rosterlens.operators.numbering import Numbering, number_rows, number_within
 from rosterlens.sources.staging import stage
 
@@ -44,7 +45,7 @@ def test_numbers_do_not_depend_on_the_way(rows, task_rows):
     out = number_rows(rows, ["k"], ["v", "id"], "n", task_rows)
     assert bag(out) == bag(plain(rows, ["k"], ["v", "id"], "n"))
     assert out.columns == ["k", "v", "id", "role", "n"]
-    assert dict(out.dtypes)["n"] == "int"
+    assert dict(out.dtypes)["n"] == "bigint"
 
 
 def test_two_keys_by_range(rows):
@@ -65,6 +66,15 @@ def test_within_an_owner_shuffles_once(rows):
     assert plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("task_rows", [3, 100_000])
+def test_copies_are_numbered_one_by_one(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(joins, "COPY_CHUNK", 4)
+    df = stage(spark.range(60).selectExpr("if(id < 40, 'a', null) as k", "if(id % 3 = 0, 1, id) as v"))
+    out = number_rows(df, ["k"], ["v"], "n", task_rows)
+    assert bag(out.select("k", "n")) == bag(plain(df, ["k"], ["v"], "n").select("k", "n"))
+    assert bag(out) == bag(plain(df, ["k"], ["v"], "n"))
+
+
 def test_empty(rows):
     assert number_rows(rows.filter("false"), ["k"], ["v"], "n", 10).count() == 0
 
