@@ -240,12 +240,14 @@ def team_sessions(
     )
     teams = d_team.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
     people = user_roles(d_users, m_user_client, d_client, m_client_user_role, split_rows)
-    joined = split_left_join(assigned, sessions, ["user_id", "scenario_id"], split_rows)
-    joined = (
-        split_left_join(joined, people, ["user_id"], split_rows)
+    # Assignments are fewer and narrower than sessions, so they meet the dimensions first and every
+    # session is shuffled once, for the last join.
+    known = (
+        split_left_join(assigned, people, ["user_id"], split_rows)
         .join(scenario_lookup(d_scenario, d_project, d_client), "scenario_id", "left")
         .join(teams, "team_id", "left")
     )
+    joined = split_left_join(known, sessions, ["user_id", "scenario_id"], split_rows)
     return joined.select(
         F.coalesce("found_client_id", "user_client_id").alias("client_id"),
         "user_id", "user_activation_date", "first_name", "last_name", "email",
@@ -312,6 +314,7 @@ def scored_rows(
         F.col("skill_id").alias("event_skill_id"),
     )
     blocks = d_building_blocks.select(F.col("id").alias("event_skill_id"), "title")
+    events = events.join(blocks, "event_skill_id", "left")
     bank = d_scenario_bank_event_scoring.select(
         "scenario_id", F.col("id").alias("scenario_bank_id"), "min_passing_score"
     )
@@ -323,7 +326,6 @@ def scored_rows(
     )
     # Events are matched on the live event number; rows without one find none and stay.
     rows = split_left_join(rows, events, ["scenario_id", "event_number"], split_rows)
-    rows = rows.join(blocks, "event_skill_id", "left")
     rows = split_left_join(rows, bank, ["scenario_id"], split_rows)
     return rows.select(
         "*",

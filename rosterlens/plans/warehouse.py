@@ -285,29 +285,35 @@ def f_live_skills(
     repeats = m_skill_score_mindset.select("mindset_id", "events_mindset_id")
     events = split_left_join(
         survey_events(raw_sim_feedback), repeats, ["mindset_id"], split_rows
-    ).drop("events_mindset_id").alias("ev")
-    mapping = f_skill_domain_mapping.select("skill_id", "domain_id").alias("dm")
-    domain = d_building_blocks.select("id", "title", "building_block_type", "level").alias("bb")
-    mindset = f_events_mindset.select("id", "mindset_id").alias("em")
-    competency = d_building_blocks.select("id", "title", "type").alias("bb1")
-    joined = (
-        events.join(mapping, F.expr("ev.skill_id = dm.skill_id"), "left")
-        .join(domain, F.expr("dm.domain_id = bb.id"), "left")
-        .join(mindset, F.expr("em.id = ev.mindset_id"), "left")
-        .join(competency, F.expr("em.mindset_id = bb1.id"), "left")
+    ).drop("events_mindset_id")
+    # Each lookup is put together at the size of its dimension: one row per skill, one per mindset.
+    domains = f_skill_domain_mapping.select("skill_id", "domain_id").join(
+        d_building_blocks.select(
+            F.col("id").alias("domain_id"),
+            strip_p(F.col("title")).alias("skill_name"),
+            "building_block_type", "level",
+        ),
+        "domain_id", "left",
+    )
+    competencies = f_events_mindset.select(
+        F.col("id").alias("mindset_id"), F.col("mindset_id").alias("block_id")
+    ).join(
+        d_building_blocks.select(
+            F.col("id").alias("block_id"),
+            F.col("id").alias("CompetencyID"),
+            F.col("title").alias("mindset_score"),
+            F.col("type").alias("mindset_type"),
+        ),
+        "block_id", "left",
     )
     session = session_column(events)
-    return joined.select(
+    return events.join(domains, "skill_id", "left").join(competencies, "mindset_id", "left").select(
         session, "webportal", "finished", "recordeddate", "generationType",
         passed(F.col("score")).alias("score"),
-        "strengthAssessmentId", "opportunitiesAssessmentId", "event_number",
-        "ev.skill_id", "old_skill_name",
-        F.col("bb1.id").alias("CompetencyID"),
-        strip_p(F.col("bb.title")).alias("skill_name"),
-        "bb.building_block_type", "bb.level", "dm.domain_id", "ev.mindset_id",
-        F.col("bb1.title").alias("mindset_score"),
-        F.col("bb1.type").alias("mindset_type"),
-        proficiency(F.col("bb1.title"), F.col("bb1.type")).alias("skill_score"),
+        "strengthAssessmentId", "opportunitiesAssessmentId", "event_number", "skill_id",
+        "old_skill_name", "CompetencyID", "skill_name", "building_block_type", "level", "domain_id",
+        "mindset_id", "mindset_score", "mindset_type",
+        proficiency(F.col("mindset_score"), F.col("mindset_type")).alias("skill_score"),
     )
 
 
