@@ -20,10 +20,16 @@ FAN_OUT_CLIENT = "C5"
 FAN_OUT_COPIES = ("C5-COPY-A", "C5-COPY-B")
 
 
-# Tables that may be large but come as one file, with a column to deal them out by.
+# Tables that may be large but come as one file, with columns that together tell rows apart.
 DEAL_BY = {
-    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
-    "conversations": "conv_id", "pages": "page_id", "part": "p_partkey", "customer": "c_custkey",
+    "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    "events": ["event_id"],
+    "documents": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "pages": ["page_id"],
+    "part": ["p_partkey"],
+    "customer": ["c_custkey"],
 }
 
 
@@ -39,7 +45,7 @@ def tables_in(spark: SparkSession, folder: str) -> Tables:
     def table(name: str) -> DataFrame:
         df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
         if name in DEAL_BY and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, DEAL_BY[name])
+            df = df.repartition(cores, *DEAL_BY[name])
         return df
 
     return table

@@ -8,17 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only when Spark itself is local."""
+    """The shared folder the cluster names; a local one, gone at exit, only if Spark is local."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found and spark.sparkContext.master.startswith("local"):
         app = spark.sparkContext.applicationId
         if app not in _local_dirs:
-            _local_dirs[app] = tempfile.mkdtemp(prefix="staging-")
-        found = _local_dirs[app]
+            _local_dirs[app] = tempfile.TemporaryDirectory(prefix="staging-", ignore_cleanup_errors=True)
+        found = _local_dirs[app].name
     if not found:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
     return found.rstrip("/")
