@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,8 +307,24 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     """Every warehouse model under its name, then the operators and marts."""
     models = {name: _model(name) for name in MODELS if name not in MARTS}
-    return models | {name: _over(query) for name, query in QUERIES.items()}
+    return models | {name: _over(query) for name, query in QUERIES.items()} | _document_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | _document_queries()[1]
+
+
+@cache
+def _document_queries() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the operators on documents, and of their pipeline, where those are installed."""
+    found, sql = {}, {}
+    if find_spec("rosterlens.llm"):
+        from rosterlens.llm import queries as documents
+
+        found, sql = documents.QUERIES, documents.SQL
+        if find_spec("corpus_pipeline"):
+            import corpus_pipeline
+
+            found = found | {"pipeline": corpus_pipeline.run}
+            sql = sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found, sql
