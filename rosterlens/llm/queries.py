@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens.llm.common import table
+from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.exact_dedup import exact_groups
+from rosterlens.llm.packing import packed
 from rosterlens.llm.secret_scan import count_of, digest, scan_versions
 from rosterlens.llm.token_counts import token_counts
 
@@ -22,6 +24,10 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), with_ids=False).withColumnRenamed("id", "doc_id").drop("ids")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")
@@ -35,7 +41,18 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op7_token_counts, op8_exact_dedup)}
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    items = F.col("items")
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_secret_scan, op6_packing, op7_token_counts, op8_exact_dedup, op10_decontamination,
+)}
 
 SQL = {
     "op8_exact_dedup": """
@@ -48,4 +65,29 @@ SQL = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op10_decontamination": """
+        WITH t AS (
+          SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+        ), s AS (
+          SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+        ), item AS (
+          SELECT id AS item_id, list_slice(w, i, i + 9) AS win
+          FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM s WHERE side = 'b' AND len(w) > 0)
+        ), place AS (
+          SELECT id AS doc_id, i, n, list_slice(w, i, i + n - 1) AS win
+          FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                FROM s, (SELECT DISTINCT len(win) AS n FROM item) WHERE side = 'd' AND len(w) >= n)
+        ), hit AS (SELECT doc_id, i, n, item_id FROM place JOIN item USING (win)),
+        spots AS (
+          SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY 1
+        ), items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY 1
+        )
+        SELECT s.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM s LEFT JOIN spots ON s.id = spots.doc_id LEFT JOIN items ON s.id = items.doc_id WHERE side = 'd'
+    """,
 }

@@ -43,22 +43,20 @@ def processor(model: str) -> tuple[sentencepiece.SentencePieceProcessor, bool]:
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The text cut before each run of spaces, the first space of a run left out.
+    """The text, which ends in no space, cut before each run of spaces, the first space of a run left out.
 
     Encoding sets one space before what it is given, so each part is encoded as it stands in the text.
     """
     parts = text.split(" ")
     if "" not in parts:
         return parts
-    if SPACE in text:  # spelled out in the text, it acts as a space
-        return [text]
     out, gap = [], ""
-    for i, part in enumerate(parts):
-        if not part and i < len(parts) - 1:
+    for part in parts:
+        if part:
+            out.append(gap + part)
+            gap = ""
+        else:
             gap += " "
-            continue
-        out.append(gap + part)
-        gap = ""
     return out
 
 
@@ -80,7 +78,7 @@ class Lengths(dict):
 def count_text(text: str, lengths: Lengths, apart: bool) -> int:
     if not text:
         return 0
-    if not apart or SPACE in text:
+    if not apart or SPACE in text or text[-1] == " ":
         return len(lengths.sp.encode(text))
     return sum(map(lengths.__getitem__, pre_tokens(text)))
 
