@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterlens.llm.common import table
 from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.exact_dedup import exact_groups
+from rosterlens.llm.minhash import near_groups
 from rosterlens.llm.packing import packed
 from rosterlens.llm.secret_scan import count_of, digest, scan_versions
 from rosterlens.llm.token_counts import token_counts
@@ -41,6 +42,13 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = F.col("items")
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
@@ -51,7 +59,8 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secret_scan, op6_packing, op7_token_counts, op8_exact_dedup, op10_decontamination,
+    op3_secret_scan, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
+    op10_decontamination,
 )}
 
 SQL = {
@@ -65,6 +74,24 @@ SQL = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op9_minhash_dedup": """
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+          SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        link AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) JOIN n x ON x.doc_id = a.doc_id
+          JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+        ), reach AS (
+          SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON other = a
+        ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM least LEFT JOIN n USING (doc_id)
+    """,
     "op10_decontamination": """
         WITH t AS (
           SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
