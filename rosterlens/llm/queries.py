@@ -8,10 +8,31 @@ from pyspark.sql import functions as F
 from rosterlens.llm.common import table
 from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.exact_dedup import exact_groups
+from rosterlens.llm.labelled import labelled_sample, remainder
 from rosterlens.llm.minhash import near_groups
 from rosterlens.llm.packing import packed
+from rosterlens.llm.quality import fit_quality, quality_scores
 from rosterlens.llm.secret_scan import count_of, digest, scan_versions
 from rosterlens.llm.token_counts import token_counts
+from rosterlens.llm.toxicity import fit_toxicity, toxicity_scores
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = fit_quality(labelled_sample(docs, table(spark, folder, "labels"), "quality", ~held_out, "doc_id", "text"))
+    return quality_scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = fit_toxicity(labelled_sample(docs, table(spark, folder, "labels"), "toxic", ~held_out, "doc_id", "text"))
+    return toxicity_scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
 
 
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +80,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secret_scan, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
+    op1_quality, op2_toxicity, op3_secret_scan, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
     op10_decontamination,
 )}
 
