@@ -9,6 +9,7 @@ from rosterlens.llm.common import table
 from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.exact_dedup import exact_groups
 from rosterlens.llm.labelled import labelled_sample, remainder
+from rosterlens.llm.language_id import fit_language, languages
 from rosterlens.llm.minhash import near_groups
 from rosterlens.llm.packing import packed
 from rosterlens.llm.quality import fit_quality, quality_scores
@@ -46,6 +47,14 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return languages(docs, fit_language(docs, ~held_out)).select(
+        F.col("id").alias("doc_id"), (remainder(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), with_ids=False).withColumnRenamed("id", "doc_id").drop("ids")
 
@@ -80,7 +89,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_toxicity, op3_secret_scan, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
+    op1_quality, op2_toxicity, op3_secret_scan, op5_language_id, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
     op10_decontamination,
 )}
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.llm.common import slices, staged
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6, 7)
 CACHE_ENTRIES = 300_000
 NO_LETTERS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
