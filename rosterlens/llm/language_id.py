@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from rosterlens.llm.common import slices, staged
 
 WINDOW = 96  # bytes that are read together
-BATCH = 1024  # windows side by side
+BATCH = 4096  # windows side by side
+SLOPE = np.float32(0.2)  # of the gates, which are straight between 0 and 1
 PAD = 256  # the number of the byte that is none
 LETTER = regex.compile(r"\p{L}")
 
@@ -42,7 +43,7 @@ def windows_of(text: bytes) -> np.ndarray:
 class ByteGRU:
     """Two gated recurrent networks of `size` units whose states stand side by side: forwards, backwards.
 
-    Gates are (update, reset, candidate). `table` is what a byte adds to them, 2 x 257 x 3 x size; `turn`
+    Gates are (update, reset, candidate); the first two are piecewise linear. `table` is what a byte adds to them, 2 x 257 x 3 x size; `turn`
     what the state adds, 2 x size x 3 x size; `out` maps both states to the languages.
     """
 
@@ -65,47 +66,60 @@ class ByteGRU:
     def parameters(self) -> list[np.ndarray]:
         return [self.table, self.turn, self.out, self.bias]
 
-    def states(self, rows: np.ndarray, way: int, trace: list | None = None) -> np.ndarray:
-        """(position, window, size) states of one way; padding leaves the state as it is."""
+    def states(self, rows: np.ndarray, way: int, trace: list) -> np.ndarray:
+        """(position, window, size) states of one way, with what backpropagation needs."""
         table, turn = self.table[way], self.turn[way]
         size = turn.shape[0]
-        gates, candidate = np.ascontiguousarray(turn[:, : 2 * size]), np.ascontiguousarray(turn[:, 2 * size :])
         states = np.empty((rows.shape[1], len(rows), size), np.float32)
         h = np.zeros((len(rows), size), np.float32)
-        padded = (rows == PAD).any()
         for t in range(rows.shape[1]) if way == 0 else range(rows.shape[1] - 1, -1, -1):
-            byte = rows[:, t]
-            given = table[byte]
-            g = h @ gates
-            g += given[:, : 2 * size]
-            g *= 0.5
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
+            given = table[rows[:, t]]
+            g = np.clip(SLOPE * (h @ turn[:, : 2 * size] + given[:, : 2 * size]) + 0.5, 0, 1)
             z, r = g[:, :size], g[:, size:]
-            back = h @ candidate
-            n = r * back
-            n += given[:, 2 * size :]
-            np.tanh(n, out=n)
-            if padded:
-                z = np.where((byte == PAD)[:, None], np.float32(1), z)
-            if trace is not None:
-                trace.append((t, h, z, r, n, back))
-            h = h - n
-            h *= z
-            h += n
+            back = h @ turn[:, 2 * size :]
+            n = np.tanh(r * back + given[:, 2 * size :])
+            trace.append((t, h, z, r, n, back))
+            h = n + z * (h - n)
             states[t] = h
         return states
 
     def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        """(position, window, language) labels of every position."""
-        size = self.turn.shape[1]
-        logits = self.states(rows, 0) @ self.out[:size]
-        logits += self.states(rows, 1) @ self.out[size:]
-        logits += self.bias
-        logits -= logits.max(axis=2, keepdims=True)
+        """(position, language, window) labels of every position.
+
+        The same as `states` of both ways at once, windows last, so that every step works on whole runs of
+        memory.
+        """
+        size, (n, width) = self.turn.shape[1], rows.shape
+        table = self.table.transpose(0, 2, 1).copy()
+        turn = self.turn.transpose(0, 2, 1).copy()
+        table[:, : 2 * size] = table[:, : 2 * size] * SLOPE + 0.5
+        turn[:, : 2 * size] *= SLOPE
+        gates, candidate = turn[:, : 2 * size], turn[:, 2 * size :]
+        columns = np.ascontiguousarray(rows.T)
+        states = np.empty((2, width, size, n), np.float32)
+        h = np.zeros((2, size, n), np.float32)
+        given = np.empty((2, 3 * size, n), np.float32)
+        g, c = np.empty((2, 2 * size, n), np.float32), np.empty((2, size, n), np.float32)
+        for t in range(width):
+            for way, column in ((0, columns[t]), (1, columns[width - 1 - t])):
+                np.take(table[way], column, axis=1, out=given[way], mode="clip")
+            np.matmul(gates, h, out=g)
+            g += given[:, : 2 * size]
+            np.clip(g, 0, 1, out=g)
+            np.matmul(candidate, h, out=c)
+            c *= g[:, size:]
+            c += given[:, 2 * size :]
+            np.tanh(c, out=c)
+            h -= c
+            h *= g[:, :size]
+            h += c
+            states[0, t], states[1, width - 1 - t] = h
+        logits = self.out[:size].T @ states[0]
+        logits += self.out[size:].T @ states[1]
+        logits += self.bias[:, None]
+        logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
+        logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
     def gradients(self, rows: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
@@ -128,9 +142,9 @@ class ByteGRU:
             dh = np.zeros((len(rows), size), np.float32)
             for t, before, z, r, n, back in reversed(traces[way]):
                 dh = dh + d_states[t, :, way * size : (way + 1) * size]
-                d_z = dh * (before - n) * z * (1 - z)
+                d_z = dh * (before - n) * SLOPE * ((z > 0) & (z < 1))
                 d_n = dh * (1 - z) * (1 - n * n)
-                d_r = d_n * back * r * (1 - r)
+                d_r = d_n * back * SLOPE * ((r > 0) & (r < 1))
                 d_gates = np.concatenate([d_z, d_r, d_n], axis=1)
                 np.add.at(d_table[way], rows[:, t], d_gates)
                 d_back = d_n * r
@@ -211,10 +225,10 @@ def pooled(model: ByteGRU, texts: list[str | None]) -> np.ndarray:
     for i in range(0, len(rows), BATCH):
         some = rows[i : i + BATCH]
         labels = model.probabilities(some)
-        labels *= (some != PAD).T[:, :, None]
+        labels *= (some != PAD).T[:, None, :]
         sums = labels.sum(axis=0)
         for k in range(out.shape[1]):
-            out[:, k] += np.bincount(owner[i : i + BATCH], sums[:, k], len(texts))
+            out[:, k] += np.bincount(owner[i : i + BATCH], sums[k], len(texts))
     total = out.sum(axis=1, keepdims=True)
     return np.divide(out, total, out=out, where=total > 0)
 
