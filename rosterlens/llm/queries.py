@@ -10,6 +10,7 @@ from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.exact_dedup import exact_groups
 from rosterlens.llm.labelled import labelled_sample, remainder
 from rosterlens.llm.language_id import fit_language, languages
+from rosterlens.llm.line_dedup import line_report
 from rosterlens.llm.minhash import near_groups
 from rosterlens.llm.packing import packed
 from rosterlens.llm.quality import fit_quality, quality_scores
@@ -47,6 +48,13 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "n_near",
+        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"),
+    )
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -89,11 +97,36 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_toxicity, op3_secret_scan, op5_language_id, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
+    op1_quality, op2_toxicity, op3_secret_scan, op4_line_dedup, op5_language_id, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
     op10_decontamination,
 )}
 
 SQL = {
+    "op4_line_dedup": """
+        WITH RECURSIVE t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+        l AS (
+          SELECT doc_id, i AS no, x[i + 1] AS line, length(x[i + 1]) AS n
+          FROM (SELECT doc_id, x, unnest(range(len(x))) AS i FROM t)
+        ), place AS (SELECT line, n, {'d': doc_id, 'i': no} AS p FROM l WHERE n >= 24),
+        node AS (SELECT line, n, min(p) AS own FROM place GROUP BY 1, 2),
+        link AS (
+          SELECT a.line AS a, b.line AS b FROM node a JOIN node b ON b.n BETWEEN a.n - 1 AND a.n + 1
+          WHERE a.line <> b.line AND levenshtein(a.line, b.line) <= 1
+        ), reach AS (
+          SELECT DISTINCT a AS line, a AS other FROM link UNION SELECT reach.line, link.b FROM reach JOIN link ON other = a
+        ), keep AS (
+          SELECT r.line, min(own) AS keeper FROM reach r JOIN node ON node.line = r.other GROUP BY 1
+        ), gone AS (
+          SELECT p.d AS doc_id, p.i AS no, p = own AS near
+          FROM place JOIN node USING (line) LEFT JOIN keep USING (line) WHERE p <> coalesce(keeper, own)
+        ), per AS (
+          SELECT doc_id, count(*) AS n_dropped, count(*) FILTER (near) AS n_near,
+                 string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS dropped FROM gone GROUP BY 1
+        )
+        SELECT doc_id, len(x) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_near, 0) AS n_near,
+               coalesce(dropped, '') AS dropped
+        FROM t LEFT JOIN per USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH n AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
