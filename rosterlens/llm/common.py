@@ -39,11 +39,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that the texts of each take about `most_bytes` (a longer text stands alone)."""
+def slices(
+    batches: Iterable[pa.RecordBatch], text: str, field: str | None = None, most_bytes: int = 8 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the texts of each take about `most_bytes` (a longer text stands alone).
+
+    The texts are a column, or a field of a column of structs.
+    """
     for batch in batches:
         start, size = 0, 0
-        for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        texts = batch.column(text) if field is None else batch.column(text).field(field)
+        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
             n = n or 0
             if size and size + n > most_bytes:
                 yield batch.slice(start, i - start)

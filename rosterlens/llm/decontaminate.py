@@ -12,7 +12,7 @@ the documents staged between them. Documents are never shuffled.
 Defined results: a null or wordless text has no words and no hits. An item of fewer words than a window,
 but not none, is one window; an item without words has none. Items that repeat an id count once; a null id
 is the text `null`. An empty benchmark hits nothing; empty documents give no rows. Rows are independent, so
-repeats and null ids pass through. Other columns are not read.
+repeats and null ids pass through, and so do all columns.
 """
 
 from __future__ import annotations
@@ -167,13 +167,15 @@ def occurrences(ids: np.ndarray, windows: Windows, prefixes: Prefixes) -> tuple[
     return np.concatenate([none, *starts]), np.concatenate([none, *found])
 
 
-def _matched(spark, windows: Windows, prefixes: Prefixes):
+def _matched(spark, windows: Windows, prefixes: Prefixes, text_col: str):
+    """Adds what a block of items hits; `row` holds the document's columns and passes through."""
     shared = spark.sparkContext.broadcast((windows, prefixes))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, prefixes = shared.value
-        for batch in slices(batches, "text"):
-            ids, begins = numbered(batch.column("text").to_pylist(), windows.vocab)
+        for batch in slices(batches, "row", text_col):
+            texts = batch.column("row").field(text_col).to_pylist()
+            ids, begins = numbered(texts, windows.vocab)
             start, window = occurrences(ids, windows, prefixes)
             edge = np.zeros(len(ids) + 1, np.int64)
             np.add.at(edge, start, 1)
@@ -197,40 +199,39 @@ def _matched(spark, windows: Windows, prefixes: Prefixes):
                 items[d].update(old or ())
             yield pa.record_batch(
                 [
-                    batch.column("id"), batch.column("text"), pa.array(np.diff(begins) - 1),
+                    batch.column("row"), pa.array(np.diff(begins) - 1),
                     pa.array(runs, RUNS), pa.array([sorted(i) for i in items], pa.list_(pa.string())),
                 ],
-                ["id", "text", "n_words", "runs", "items"],
+                ["row", "n_words", "runs", "items"],
             )
 
     return run
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = 10, block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """(id, n_words, n_hit, runs of hit words, ids of the items hit) of every document."""
+    """(row, n_words, n_hit, runs of hit words, ids of the items hit); `row` holds the columns of `docs`."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
         F.col(item_text_col).cast("string").alias("text"),
     )
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     state = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<struct<start:long,end:long>>").alias("runs"),
         F.lit(None).cast("array<string>").alias("items"),
     )
-    kind = state.schema["id"].dataType.simpleString()
-    out = f"id {kind}, text string, n_words long, runs array<struct<start:long,end:long>>, items array<string>"
-    texts = state.select("text")
+    texts = docs.select(F.col(text_col).alias("text"))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         windows = Windows([(r.item, r.text) for r in rows], window)
         prefixes = Prefixes(windows, shingle_counts(texts, windows) if len(windows.length) else {})
-        state = state.mapInArrow(_matched(docs.sparkSession, windows, prefixes), out)
+        state = state.mapInArrow(_matched(docs.sparkSession, windows, prefixes, text_col), state.schema)
         if blocks > 1:
             state = staged(state)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    return state.select("id", "n_words", n_hit.alias("n_hit"), "runs", "items")
+    return state.select("row", "n_words", n_hit.alias("n_hit"), "runs", "items")

@@ -126,11 +126,11 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least[some] = minima([sets[i] for i in some])
         yield pa.record_batch(
             [
-                batch.column("id"), pa.array([node_of(t) for t in tokens], pa.int64()),
+                batch.column("id"), batch.column("version"), pa.array([node_of(t) for t in tokens], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()), lists(packed_bits(least)), lists(buckets(least)),
                 pa.array([len(t) >= SHINGLE for t in tokens]),
             ],
-            ["id", "node", "n", "bits", "buckets", "long"],
+            ["id", "version", "node", "n", "bits", "buckets", "long"],
         )
 
 
@@ -175,10 +175,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component) of every row; documents are linked from `percent` similarity."""
+    """(id, version, n_shingles, component) of every row; documents are linked from `percent` similarity.
+
+    The version, a hash of the text, tells apart rows that share an id but not a text.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = staged(rows.mapInArrow(
-        _signed, "id long, node long, n long, bits array<long>, buckets array<long>, long boolean"
+    signed = staged(rows.withColumn("version", F.xxhash64("text")).mapInArrow(
+        _signed, "id long, version long, node long, n long, bits array<long>, buckets array<long>, long boolean"
     ))
     nodes = staged(
         signed.where("node IS NOT NULL").groupBy("node")
@@ -236,6 +239,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.select("node", "id").join(
         linked.select("node", "component").join(least, "component").select("node", "least"), "node", "left"
     ).select("node", F.coalesce("least", "id").alias("component"))
-    return signed.select("id", "node", "n").join(staged(named), "node", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")
+    return signed.select("id", "version", "node", "n").join(staged(named), "node", "left").select(
+        "id", "version", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")
     )

@@ -89,8 +89,9 @@ def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = F.col("items")
-    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return contamination(docs, table(spark, folder, "benchmark")).select(
+        "row.doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
