@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cache
+from functools import cache, partial
 from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,26 +17,30 @@ from rosterlens.operators import search
 from rosterlens.operators.cdc import latest_row
 from rosterlens.operators.checks import AcceptedValues, NotNull, Unique, UniqueCombination, check_table
 from rosterlens.operators.joins import routed_left_join, smallest_shared
-from rosterlens.operators.numbering import number_rows
+from rosterlens.operators.numbering import number_rows, number_rows_large
 from rosterlens.operators.sets import fan_out_key, tagged_union
 from rosterlens.plans import marts, warehouse
-from rosterlens.plans.build import MODELS, check_all, inputs
+from rosterlens.plans.build import CHECKS, MODELS, check_all, inputs
 from rosterlens.sources import sinks
 from rosterlens.sources.shaping import FAN_OUT_CLIENT, FAN_OUT_COPIES, SHAPES, tables_in
-from rosterlens.sources.staging import stage
+from rosterlens.sources.staging import stage, staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 OPTIONS = {
     "f_team_sessions_final": {"fan_out_client": FAN_OUT_CLIENT, "fan_out_copies": FAN_OUT_COPIES}
 }
 # Tables that queries read several times: written once per query, as the build job does.
-SHARED = {"f_sessions_final", "f_team_sessions_final", "f_live_skills", "f_ondemand_skills"}
+SHARED = {
+    "f_sessions_final", "f_team_sessions_final", "f_live_skills", "f_ondemand_skills", "d_scenario",
+    "d_building_blocks", "f_events_mindset", "f_session_score", "m_client_user_role", "m_session_learner",
+}
 
 
 class Trial:
     """Shaped feeds and models over the tables of one folder, each made when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
         self.base = tables_in(spark, folder)
         self.made: dict[str, DataFrame] = {}
 
@@ -166,11 +171,16 @@ def tagged_union_sessions(t: Trial) -> DataFrame:
     )
 
 
-def routing_join(t: Trial) -> DataFrame:
+def routing_join(t: Trial, **bound: int) -> DataFrame:
     ondemand = t["f_ondemand_skills"].select(F.col("sessionid").alias("id"), "skill", "skill_score")
     live = t["f_live_skills"].select(F.col("sessionid").alias("id"), "event_number", "skill_id")
     sessions = t["f_sessions_final"].select("id", "learner_id", "session_type")
-    return routed_left_join(sessions, "id", "session_type", {"ondemand": ondemand, "live": live})
+    return routed_left_join(sessions, "id", "session_type", {"ondemand": ondemand, "live": live}, **bound)
+
+
+def routing_join_split(t: Trial) -> DataFrame:
+    """The same with a bound that many sessions are over."""
+    return routing_join(t, split_rows=3)
 
 
 def user_client_roles(t: Trial) -> DataFrame:
@@ -202,13 +212,18 @@ def fan_out_client(t: Trial) -> DataFrame:
     )
 
 
-def attempt_numbers(t: Trial) -> DataFrame:
+def attempt_numbers(t: Trial, number: Callable[..., DataFrame] = number_rows) -> DataFrame:
     keys = ["scenario_client_id", "learner_id", "scenario_id", "session_type"]
-    return number_rows(t["f_sessions_final"], keys, ["start_date", "id"], "attempt").select(
+    return number(t["f_sessions_final"], keys, ["start_date", "id"], "attempt").select(
         "id", "learner_id", "scenario_id", "session_type", "start_date", "attempt"
     )
 
 
+def attempt_numbers_ranged(t: Trial) -> DataFrame:
+    """The same with a bound that the large groups, as those without a learner, are over."""
+    return attempt_numbers(t, partial(number_rows_large, task_rows=300))
+
+
 def competency_attempts(t: Trial) -> DataFrame:
     named = t["f_live_skills"].withColumn("competency", F.coalesce("mindset_score", "skill_name"))
     return number_rows(
@@ -243,9 +258,16 @@ def check_unique_combo(t: Trial) -> DataFrame:
 
 
 def check_declared(t: Trial) -> DataFrame:
-    names = ["d_users", "f_live_session", "f_skill_domain_mapping", "f_skill_domain_name",
-             "m_session_learner"]
-    return check_all({n: t[n] for n in names})
+    return check_all({n: t[n] for n in CHECKS})
+
+
+def written_sessions(t: Trial) -> DataFrame:
+    """A table replaced twice and read back."""
+    path = f"{staging_dir(t.spark)}/written-{uuid.uuid4().hex}"
+    sessions = latest_session(t)
+    sinks.write_table(sessions.limit(1), path)
+    sinks.write_table(sessions, path, order=["id"])
+    return t.spark.read.parquet(path)
 
 
 def preview_text(t: Trial) -> DataFrame:
@@ -263,9 +285,7 @@ def lexical_topk(t: Trial) -> DataFrame:
 
 def mention_tags(t: Trial) -> DataFrame:
     names = t.base("benchmark").select(F.explode(words(F.col("text"))).alias("name"))
-    return search.mention_tags(
-        t.base("documents"), "doc_id", "text", names.filter(F.length("name") > 8), "name"
-    )
+    return search.mention_tags(t.base("documents"), "doc_id", "text", names, "name")
 
 
 QUERIES: dict[str, Callable[[Trial], DataFrame]] = {
@@ -275,9 +295,10 @@ QUERIES: dict[str, Callable[[Trial], DataFrame]] = {
         tombstone_null_dropped, tombstone_ignored, any_delete_pairs, earliest_created_score,
         html_clean_pages, strip_p_pages, slot_unpivot, explode_answers, json_pivot_answers,
         flatten_report, proficiency_ladder, best_score_lookup, tagged_union_sessions, routing_join,
-        user_client_roles, anti_history, one_team_per_pair, fan_out_client, attempt_numbers,
+        routing_join_split, user_client_roles, anti_history, one_team_per_pair, fan_out_client,
+        attempt_numbers, attempt_numbers_ranged,
         competency_attempts, mindset_types, check_unique, check_not_null, check_accepted,
-        check_unique_combo, check_declared, preview_text, lexical_topk, mention_tags,
+        check_unique_combo, check_declared, written_sessions, preview_text, lexical_topk, mention_tags,
     ]
 } | {
     "session_status": status_of_sessions,

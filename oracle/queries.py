@@ -30,6 +30,31 @@ def _tokens(text: str) -> str:
     return f"regexp_split_to_array(regexp_replace(lower({text}), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+')"
 
 
+# Tables with one key column, or with several that are a key together.
+DECLARED = dict.fromkeys(
+    """d_building_blocks d_client d_events d_industry d_project d_scenario d_scenario_bank_event_scoring d_team
+    d_users f_events_assessment f_events_mindset f_live_session f_ondemand_session f_ondemand_session_event
+    f_session_insights_service f_session_score f_skill_score m_client_user_role m_scenario_building_block
+    m_user_client""".split(), ("id",)
+) | {
+    "d_learner_confidence": ("session_id",), "d_post_simulation": ("sessionid",),
+    "f_skill_domain_mapping": ("skill_id",), "m_skill_score_mindset": ("events_mindset_id",),
+    "d_scenario_goals": ("scenario_id", "goal_index"), "f_live_skills": ("sessionid", "skill_id", "event_number"),
+    "f_ondemand_skills": ("sessionid", "skill", "rn"), "m_scenario_team": ("scenario_id", "team_id"),
+    "m_session_learner": ("session_id", "user_role_id"), "m_team_member": ("team_id", "user_role_id"),
+}
+
+
+def _declared(table: str, keys: tuple[str, ...]) -> str:
+    kind = "unique" if len(keys) == 1 else "unique_combination"
+    known = f"AND {keys[0]} IS NOT NULL" if len(keys) == 1 else ""
+    parts = [f"""SELECT '{table}' AS "table", '{kind}' AS "check", '{", ".join(keys)}' AS "columns",
+            count(*) FILTER (WHERE n > 1 {known}) AS failing_rows
+            FROM (SELECT {", ".join(keys)}, count(*) AS n FROM {table} GROUP BY ALL)"""]
+    parts += [f"SELECT '{table}', 'not_null', '{k}', count(*) - count({k}) FROM {table}" for k in keys]
+    return " UNION ALL ".join(parts)
+
+
 OPERATORS = {
     "latest_by_revision": """
         SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice,
@@ -121,23 +146,14 @@ OPERATORS = {
                count(*) AS failing_rows
         FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""",
     "check_declared": " UNION ALL ".join(
-        f"""SELECT '{t}' AS "table", 'unique' AS "check", '{c}' AS "columns",
-               count(*) FILTER (WHERE n > 1 AND {c} IS NOT NULL) AS failing_rows
-            FROM (SELECT {c}, count(*) AS n FROM {t} GROUP BY {c})
-            UNION ALL SELECT '{t}', 'not_null', '{c}', count(*) FILTER (WHERE {c} IS NULL) FROM {t}"""
-        for t, c in (("d_users", "id"), ("f_live_session", "id"), ("f_skill_domain_mapping", "skill_id"))
-    ) + """
-        UNION ALL SELECT 'f_skill_domain_name', 'unique', 'id', NULL
+        [_declared(t, keys) for t, keys in DECLARED.items()]
+        + ["""SELECT 'f_skill_domain_name', 'unique', 'id', NULL
         UNION ALL SELECT 'f_skill_domain_name', 'not_null', 'id', NULL
         UNION ALL SELECT 'm_session_learner', 'accepted_values', 'has_d_value',
             count(DISTINCT has_d_value) FROM m_session_learner WHERE has_d_value <> '0'
-        UNION ALL SELECT 'm_session_learner', 'unique_combination', 'session_id, user_role_id', count(*)
-        FROM (FROM m_session_learner SELECT session_id GROUP BY session_id, user_role_id HAVING count(*) > 1)
-        UNION ALL SELECT 'm_session_learner', 'not_null', c, n FROM (
-            SELECT unnest(['session_id', 'user_role_id', 'has_d_value']) AS c,
-                   unnest([count(*) - count(session_id), count(*) - count(user_role_id),
-                           count(*) - count(has_d_value)]) AS n
-            FROM m_session_learner)""",
+        UNION ALL SELECT 'm_session_learner', 'not_null', 'has_d_value', count(*) - count(has_d_value)
+            FROM m_session_learner"""]
+    ),
     "preview_text": """
         SELECT id, scenario_id, coalesce(status, '') AS status, coalesce(start_date::VARCHAR, '') AS start_date,
                coalesce(billable::VARCHAR, '') AS billable
@@ -169,9 +185,14 @@ OPERATORS = {
         SELECT doc_id, (i - 1)::INTEGER AS position, token
         FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i
               FROM (SELECT doc_id, {_tokens('"text"')} AS w FROM documents))
-        WHERE token IN (SELECT unnest({_tokens('"text"')}) FROM benchmark) AND length(token) > 8""",
+        WHERE token IN (SELECT unnest({_tokens('"text"')}) FROM benchmark) AND length(token) > 2""",
 }
 
+for name in ("routing_join", "attempt_numbers"):  # the same rows, another way
+    OPERATORS[name + ("_split" if name == "routing_join" else "_ranged")] = OPERATORS[name]
+
+OPERATORS["written_sessions"] = OPERATORS["latest_session"]
+
 WAREHOUSE = {
     name: f"SELECT * FROM {name}"
     for name in MODELS

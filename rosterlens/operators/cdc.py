@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import col
+from .joins import hashable
 
 # The three ways a model treats the delete mark.
 KEEP_UNMARKED = "op <> 'D' or op is null"
@@ -38,7 +38,7 @@ def latest_row(
         used = {*keys, *(c for c, _ in order)}
         tiebreak = [
             f.name for f in df.schema.fields
-            if f.name not in used and not isinstance(f.dataType, (T.MapType, T.VariantType))
+            if f.name not in used and hashable(f.dataType)
         ]
     sort = [
         f"{name} {'desc' if way == 'desc' else 'asc'} nulls last"

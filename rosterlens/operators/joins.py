@@ -18,14 +18,18 @@ SPLIT_ROWS = 5_000_000
 NULL_SPREAD = 4096
 
 
-COPY_CHUNK = 100_000
+def hashable(kind: T.DataType) -> bool:
+    """No map or variant anywhere inside: what can be hashed, compared and sorted by."""
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def row_hash(df: DataFrame) -> Column:
     """A hash over all columns of a row that can be hashed."""
-    return F.xxhash64(*[
-        col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ])
+    return F.xxhash64(*[col(f.name) for f in df.schema.fields if hashable(f.dataType)])
 
 
 def split_left_join(
@@ -34,20 +38,18 @@ def split_left_join(
     """`left.join(right, on, "left")` that also splits large right keys.
 
     Spark's own skew handling splits the left side of a left join, never the right. So the rows per
-    right key are counted first, with map-side combine over the key columns. Without a key above
-    `split_rows` this is the plain join. Otherwise the rows of a large key are dealt out by row hash,
-    copies of one row in chunks, and the left rows of that key repeated once per part. A large key has a match in some part, so
-    repeats that met an empty part are dropped. Left rows with a NULL key match nothing; they are
-    spread instead of meeting in one task.
+    right key are counted, with map-side combine over the key columns, as part of the plan. The right rows of a
+    key above `split_rows` are dealt out by a hash of the row and of the task it comes from, which parts
+    copies too, and the left rows of that key are repeated once per part. A large key has a match in some
+    part, so repeats that met an empty part are dropped. Left rows with a NULL key match nothing; they
+    are spread instead of meeting in one task. Rows are moved as they are, so no value changes.
     """
     right = right.dropna(subset=list(on))
-    large = (
+    large = F.broadcast(
         right.groupBy(*on).count().filter(F.col("count") > split_rows)
         .select(*on, F.ceil(F.col("count") / split_rows).cast("int").alias("_parts"))
     )
     columns = [*left.columns, *(c for c in right.columns if c not in on)]
-    if large.isEmpty():
-        return left.join(right, list(on), "left").select(*columns)
 
     any_null = reduce(Column.__or__, [col(c).isNull() for c in on])
     spread = -1 - F.pmod(row_hash(left), F.lit(NULL_SPREAD)).cast("int")
@@ -56,38 +58,20 @@ def split_left_join(
         .when(F.col("_parts").isNull(), F.array(F.lit(0)))
         .otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
     )
-    repeated = left.join(F.broadcast(large), list(on), "left").withColumn("_part", F.explode(parts))
+    repeated = left.join(large, list(on), "left").withColumn("_part", F.explode(parts))
     part = F.when(F.col("_parts").isNull(), 0).otherwise(
-        F.pmod(F.xxhash64(row_hash(right), F.col("_chunk")), F.col("_parts"))
+        F.pmod(F.xxhash64(row_hash(right), F.spark_partition_id()), F.col("_parts"))
     )
-    dealt = collapse_copies(right).join(F.broadcast(large), list(on), "left").select(
-        *right.columns, "_copies", part.cast("int").alias("_part")
+    dealt = right.join(large, list(on), "left").select(
+        *right.columns, part.cast("int").alias("_part"), F.lit(True).alias("_found")
     )
     return (
         repeated.join(dealt, [*on, "_part"], "left")
-        .filter(F.col("_parts").isNull() | F.col("_copies").isNotNull())
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
+        .filter(F.col("_parts").isNull() | F.col("_found"))
         .select(*columns)
     )
 
 
-def collapse_copies(df: DataFrame) -> DataFrame:
-    """Each distinct row once per COPY_CHUNK copies of it, with their number `_copies` and a `_chunk` id.
-
-    Counting combines copies before the shuffle, and the chunks can be dealt out like other rows.
-    """
-    counted = df.groupBy(*map(col, df.columns)).agg(F.count("*").alias("_all"))
-    last = F.floor((F.col("_all") - 1) / COPY_CHUNK)
-    return (
-        counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .withColumn(
-            "_copies",
-            F.least(F.lit(COPY_CHUNK), F.col("_all") - F.col("_chunk") * COPY_CHUNK).cast("int"),
-        )
-        .drop("_all")
-    )
-
-
 def routed_left_join(
     left: DataFrame,
     key: str,

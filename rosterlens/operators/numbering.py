@@ -1,98 +1,122 @@
-"""Row numbers over groups of any size."""
+"""Row numbers over groups of any size.
+
+`number_rows` and `number_within` are plain windows: lazy, and one task for each group. The functions that
+end in `_large` measure first and cut groups above a bound into ordered ranges; they start jobs and write
+staged tables, so they belong to a build, which passes them to the models that number rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..sources.staging import stage
-from .joins import collapse_copies, row_hash
+from .joins import row_hash
 
 # One task sorts a group up to this size; larger ones are cut into ordered ranges.
 TASK_ROWS = 5_000_000
 
 
-def _largest(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group, by a count with map-side combine over the key columns only."""
-    return df.groupBy(*map(col, keys)).count().agg(F.max("count")).first()[0] or 0
+@dataclass(frozen=True)
+class Numbering:
+    keys: Sequence[str]
+    order: Sequence[str]
+    name: str
 
 
-def _by_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """`row_number()` per key, ascending with NULLs last."""
     sort = [col(c).asc_nulls_last() for c in order]
     window = Window.partitionBy(*map(col, keys)).orderBy(*sort)
     return df.withColumn(name, F.row_number().over(window).cast("long"))
 
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    task_rows: int | None = TASK_ROWS,
-) -> DataFrame:
-    """`row_number()` per key, ascending with NULLs last.
+def number_within(df: DataFrame, owner: str, numberings: Sequence[Numbering]) -> DataFrame:
+    """Several row numbers whose groups never reach across two values of `owner`: one shuffle for all."""
+    df = df.repartition(col(owner))
+    for n in numberings:
+        df = number_rows(df, [owner, *(k for k in n.keys if k != owner)], n.order, n.name)
+    return df
+
 
-    A window sorts each group in one task. So the largest group is measured first; pass a table or
-    staged rows as `df`, since that reads it once more. Above `task_rows` the rows are numbered by
-    range. None skips the measuring.
+def _parted(df: DataFrame, keys: Sequence[str], task_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows of groups within the bound, rows of larger ones, how many those are).
+
+    Counting combines before the shuffle and moves key columns only. At most rows / task_rows groups
+    are larger, which bounds what is broadcast.
     """
-    if task_rows is not None and _largest(df, keys) > task_rows:
-        return _number_by_range(df, keys, order, name)
-    return _by_window(df, keys, order, name)
+    large = df.groupBy(*[col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).count().filter(
+        F.col("count") > task_rows
+    )
+    rows = large.agg(F.sum("count")).first()[0] or 0
+    if not rows:
+        return df, df.limit(0), 0
+    same = reduce(Column.__and__, [col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    large = F.broadcast(large.drop("count"))
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi"), rows
 
 
-@dataclass(frozen=True)
-class Numbering:
-    keys: Sequence[str]
-    order: Sequence[str]
-    name: str
+def number_rows_large(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """As `number_rows`, with groups above `task_rows` numbered range by range."""
+    usual, large, rows = _parted(stage(df), keys, task_rows)
+    numbered = number_rows(usual, keys, order, name)
+    if not rows:
+        return numbered
+    return numbered.unionByName(number_by_range(large, keys, order, name, rows, task_rows))
 
 
-def number_within(
-    df: DataFrame, owner: str, numberings: Sequence[Numbering], task_rows: int | None = TASK_ROWS
+def number_within_large(
+    df: DataFrame, owner: str, numberings: Sequence[Numbering], task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """Several row numbers whose groups never reach across two values of `owner`.
+    """As `number_within`, with owners above `task_rows` numbered range by range, each numbering alone."""
+    usual, large, rows = _parted(stage(df), [owner], task_rows)
+    numbered = number_within(usual, owner, numberings)
+    if not rows:
+        return numbered
+    for n in numberings:
+        large = number_by_range(large, n.keys, n.order, n.name, rows, task_rows)
+    return numbered.unionByName(large)
+
+
+def ranges_of(df: DataFrame, sort: Sequence[Column], rows: int, task_rows: int) -> DataFrame:
+    """`df` written in ordered ranges, with `_range` and the place `_at`.
 
-    One shuffle by owner then serves all of them. When some owner has more than `task_rows` rows each
-    numbering goes its own way, as `number_rows` does.
+    Range borders come from a sample, so twice as many ranges are made as would do; only rows alike in
+    all of `sort` can make one larger than `task_rows`.
     """
-    if task_rows is not None and _largest(df, [owner]) > task_rows:
-        for n in numberings:
-            df = number_rows(df, n.keys, n.order, n.name, task_rows)
-        return df
-    df = df.repartition(col(owner))
-    for n in numberings:
-        df = _by_window(df, [owner, *(k for k in n.keys if k != owner)], n.order, n.name)
-    return df
+    # The id is made in the task that sorted the rows and is written with them, so later reads of it
+    # agree. Its high bits are the range, its low bits the place within it.
+    return stage(
+        df.repartitionByRange(2 * -(-rows // task_rows), *sort).sortWithinPartitions(*sort)
+        .withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_range", F.shiftright("_at", 33))
 
 
-def _number_by_range(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
+def number_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int, task_rows: int
 ) -> DataFrame:
     """Sort all rows by key and order, number them per range, and carry counts across ranges.
 
     A group may fill many ranges. Each range holds a run of consecutive rows, so a row's number is its
-    place among the rows of its key in its own range plus the rows of that key in earlier ranges.
-    Copies of one row are sorted as chunks and expanded at the end; a row hash parts other ties.
+    place among the rows of its key in its own range plus the rows of that key in earlier ranges. A row
+    hash parts ties.
     """
     sort = [col(c).asc_nulls_last() for c in [*keys, *order]]
-    chunks = collapse_copies(df).withColumn("_hash", row_hash(df))
-    # The id is made in the task that sorted the rows and is written with them, so later reads of it
-    # agree. Its high bits are the range, its low bits the place within it.
-    ranged = stage(
-        chunks.orderBy(*sort, "_hash", "_chunk").withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_range", F.shiftright("_at", 33))
+    ranged = ranges_of(df.withColumn("_hash", row_hash(df)), [*sort, F.col("_hash")], rows, task_rows)
 
     in_range = Window.partitionBy("_range", *map(col, keys)).orderBy("_at")
-    earlier = Window.partitionBy(*map(col, keys)).orderBy("_range")
+    earlier = Window.partitionBy(*map(col, keys)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # At most one key per range continues from the range before: the list has a row per range.
     carried = (
-        ranged.groupBy("_range", *map(col, keys)).agg(F.sum("_copies").alias("_rows"))
-        .withColumn("_carry", _sum_before("_rows", earlier))
+        ranged.groupBy("_range", *map(col, keys)).agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_carry", F.sum("_rows").over(earlier))
         .filter("_carry > 0")
         .select(
             F.col("_range").alias("_in"),
@@ -103,19 +127,9 @@ def _number_by_range(
     same_group = F.col("_range") == F.col("_in")
     for i, k in enumerate(keys):
         same_group = same_group & col(k).eqNullSafe(F.col(f"_key{i}"))
-    first = _sum_before("_copies", in_range)
     return (
-        ranged.withColumn("_first", first)
+        ranged.withColumn(name, F.row_number().over(in_range).cast("long"))
         .join(F.broadcast(carried), same_group, "left")
-        .withColumn("_first", F.col("_first") + F.coalesce("_carry", F.lit(0)))
-        .repartition("_at")
-        .withColumn(
-            name, F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_copies")))
-        )
+        .withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0)))
         .select(*map(col, df.columns), name)
     )
-
-
-def _sum_before(column: str, window: WindowSpec) -> Column:
-    frame = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(column).over(frame), F.lit(0).cast("long"))

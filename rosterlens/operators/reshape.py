@@ -35,13 +35,16 @@ def unpivot_slots(
 def json_entries(text: Column, fields: Sequence[str], mode: str = "FAILFAST") -> Column:
     """JSON text to an array of structs of text; keys are matched in any case.
 
-    Text that is not JSON fails the query; pass mode="PERMISSIVE" to get NULL for it.
+    Of keys that are the same, or differ in case only, the last one counts. Text that is not JSON fails the query; pass mode="PERMISSIVE" to get NULL for it.
     """
     parsed = F.from_json(text, "array<map<string,string>>", {"mode": mode})
-    lowered = F.transform(parsed, lambda m: F.transform_keys(m, lambda k, v: F.lower(k)))
+
+    def last(entries: Column, field: str) -> Column:
+        same = F.filter(entries, lambda e: F.lower(e["key"]) == field.lower())
+        return F.try_element_at(same, F.lit(-1))["value"]
+
     return F.transform(
-        lowered,
-        lambda m: F.struct(*[F.try_element_at(m, F.lit(f.lower())).alias(f) for f in fields]),
+        parsed, lambda m: F.struct(*[last(F.map_entries(m), f).alias(f) for f in fields])
     )
 
 

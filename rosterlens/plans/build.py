@@ -5,17 +5,19 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Mapping
 from dataclasses import replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import session_column
+from ..operators.numbering import TASK_ROWS, number_rows_large, number_within_large
 from ..operators.checks import (
     AcceptedValues, Check, NotNull, Unique, UniqueCombination, check_table, columns_of, kind_of,
 )
 from ..sources.raw import RAW_TABLES, read_raw
-from ..sources.sinks import write_table
+from ..sources.sinks import describe_table, write_table
+from ..sources.staging import staging_run
 from . import marts, warehouse
 
 # Every model after those it reads.
@@ -42,6 +44,28 @@ VIEWS = {
     "m_skill_score_mindset",
 }
 DISABLED = {"f_skill_domain_name"}
+# What is kept with every table.
+META = {"owner": "analytics", "pii": False}
+CATALOG = "catalog:"
+
+
+def large_groups(task_rows: int = TASK_ROWS) -> dict[str, dict[str, object]]:
+    """Options with which the models that number rows measure their groups first, and split large ones."""
+    return {
+        "f_ondemand_skills": {"number": partial(number_rows_large, task_rows=task_rows)},
+        "f_score": {"number": partial(number_within_large, task_rows=task_rows)},
+    }
+
+
+def comment_of(model: str) -> str:
+    """What a model is and what it is made from."""
+    doc = (MODELS[model].__doc__ or "").strip().split("\n")[0]
+    kind = {"d": "Dimension", "m": "Bridge", "f": "Fact"}[model[0]]
+    return f"{doc or kind} Built from {', '.join(inputs(model))}." if doc else f"{kind} built from {', '.join(inputs(model))}."
+
+
+def column_comments(df: DataFrame) -> dict[str, str]:
+    return {"row_number": "Rank of the row among the versions of its key; 1 is the current one."} if "row_number" in df.columns else {}
 
 
 def inputs(model: str) -> list[str]:
@@ -61,25 +85,31 @@ def build_all(
 ) -> dict[str, DataFrame]:
     """Rebuild every model from the raw tables and return them as DataFrames.
 
-    Tables are written under `out` and read back, so each is computed once and later models scan only
-    the columns they use. Views are registered and stay lazy. `options` holds further arguments per
-    model, such as other clients to fan out.
+    Tables are written under the folder `out`, or into a schema named `catalog:<schema>` with their
+    descriptions and metadata, and read back, so each is computed once and later models scan only the columns
+    they use. Views are registered and stay lazy. `options` holds further arguments per model, such as
+    other clients to fan out. What is staged on the way is removed at the end.
     """
     tables = (
         {name: read_raw(spark, raw, name) for name in RAW_TABLES}
         if isinstance(raw, str) else dict(raw)
     )
+    options = {k: {**large_groups().get(k, {}), **(options or {}).get(k, {})} for k in MODELS}
+    schema = out.removeprefix(CATALOG) if out.startswith(CATALOG) else None
     built = {}
     for name, model in MODELS.items():
         if name in DISABLED and not with_disabled:
             continue
-        df = model(**{t: tables[t] for t in inputs(name)}, **(options or {}).get(name, {}))
-        if name in VIEWS:
-            df.createOrReplaceTempView(name)
-        else:
-            path = f"{out.rstrip('/')}/{name}"
-            write_table(df, path, order=["session_id"] if name == "f_score" else ())
-            df = spark.read.parquet(path)
+        with staging_run(spark):
+            df = model(**{t: tables[t] for t in inputs(name)}, **options[name])
+            if name in VIEWS:
+                df.createOrReplaceTempView(name)
+            else:
+                to = f"{schema}.{name}" if schema else f"{out.rstrip('/')}/{name}"
+                write_table(df, to, order=["session_id"] if name == "f_score" else (), table=bool(schema))
+                if schema:
+                    describe_table(spark, to, comment_of(name), column_comments(df), META)
+                df = spark.table(to) if schema else spark.read.parquet(to)
         tables[name] = built[name] = df
     return built
 

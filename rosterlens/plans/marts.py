@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import session_column
 from ..functions.scoring import is_positive, session_status
 from ..operators.joins import SPLIT_ROWS, routed_left_join, split_left_join, smallest_shared
-from ..operators.numbering import TASK_ROWS, Numbering, number_within
+from ..operators.numbering import Numbering, number_within
 from ..operators.sets import fan_out_key, tagged_union
-from ..sources.staging import stage
 
 # The client whose rows are shown under two further client ids.
 FAN_OUT_CLIENT = "55d98b8a-a265-4be5-aa95-e32eeeb4e5d9"
@@ -163,12 +162,9 @@ def current_team_scenarios(
     """What each user is assigned to now: (user_id, team_id, scenario_id), users without any kept."""
     roles = m_client_user_role.select("user_id", F.col("id").alias("user_role_id"))
     members = m_team_member.select("user_role_id", "team_id")
+    users = split_left_join(d_users.select(F.col("id").alias("user_id")), roles, ["user_id"], split_rows)
     teams = (
-        d_users.select(F.col("id").alias("user_id"))
-        .join(roles, "user_id", "left")
-        .join(members, "user_role_id", "left")
-        .select("user_id", "team_id")
-        .distinct()
+        split_left_join(users, members, ["user_role_id"], split_rows).select("user_id", "team_id").distinct()
     )
     # Both sides have one row per pair, so the result needs no distinct.
     return split_left_join(
@@ -185,25 +181,20 @@ def all_team_scenarios(
 ) -> DataFrame:
     """Current assignments plus (user, scenario) pairs that only sessions show.
 
-    One full join tells the two apart: pairs without a current row are the historical ones. Only for
-    those a team is looked up, in the raw feeds on purpose, so that ended memberships count; among
-    several the smallest id is taken.
+    Pairs without a current row are the historical ones. Only for those a team is looked up, in the raw
+    feeds on purpose, so that ended memberships count; among several the smallest id is taken.
     """
     played = (
-        f_sessions_final.select(F.col("learner_id").alias("user_id"), "scenario_id")
-        .dropna().distinct().withColumn("_played", F.lit(True))
+        f_sessions_final.select(F.col("learner_id").alias("user_id"), "scenario_id").dropna().distinct()
     )
-    known = current.withColumn("_current", F.lit(True))
-    both = known.join(played, ["user_id", "scenario_id"], "full")
-    now = both.filter("_current").select("user_id", "team_id", "scenario_id")
-    past = both.filter("_current is null").select("user_id", "scenario_id")
+    past = played.join(current.select("user_id", "scenario_id"), ["user_id", "scenario_id"], "left_anti")
 
     role_users = m_client_user_role.select(F.col("id").alias("user_role_id"), "user_id")
     user_teams = raw_team_member.select("user_role_id", "team_id").distinct().join(
         role_users, "user_role_id"
     )
     chosen = smallest_shared(past, user_teams, raw_scenario_team, "user_id", "scenario_id", "team_id")
-    return now.unionByName(
+    return current.select("user_id", "team_id", "scenario_id").unionByName(
         past.join(chosen, ["user_id", "scenario_id"], "left").select("user_id", "team_id", "scenario_id")
     )
 
@@ -227,12 +218,8 @@ def team_sessions(
     current = current_team_scenarios(
         d_users, m_client_user_role, m_team_member, m_scenario_team, split_rows
     )
-    # Narrow rows that are used twice below; joined to the wide tables only once.
-    current = stage(current)
-    assigned = stage(
-        all_team_scenarios(
-            current, f_sessions_final, m_client_user_role, raw_scenario_team, raw_team_member
-        )
+    assigned = all_team_scenarios(
+        current, f_sessions_final, m_client_user_role, raw_scenario_team, raw_team_member
     )
     sessions = f_sessions_final.select(
         F.col("learner_id").alias("user_id"), "scenario_id", F.col("id").alias("session_id"),
@@ -318,9 +305,10 @@ def scored_rows(
     bank = d_scenario_bank_event_scoring.select(
         "scenario_id", F.col("id").alias("scenario_bank_id"), "min_passing_score"
     )
+    # Neither names nor addresses are in the mart, so they do not travel.
     rows = f_team_sessions_final.filter(
         (F.col("user_role") == "learner") & (F.col("scenario_generation_type") == 1)
-    )
+    ).select(*[c for c in f_team_sessions_final.columns if c in SCORE_COLUMNS])
     rows = routed_left_join(
         rows, "session_id", "session_type", {"ondemand": ondemand, "live": live}, split_rows
     )
@@ -364,25 +352,23 @@ def f_score(
     d_events: DataFrame,
     d_building_blocks: DataFrame,
     d_scenario_bank_event_scoring: DataFrame,
-    task_rows: int | None = TASK_ROWS,
     split_rows: int = SPLIT_ROWS,
+    number: Callable[..., DataFrame] = number_within,
 ) -> DataFrame:
-    rows = stage(
-        scored_rows(
-            f_team_sessions_final, f_ondemand_skills, f_live_skills, d_events, d_building_blocks,
-            d_scenario_bank_event_scoring, split_rows,
-        )
+    """`number` gives the attempts; a build with very large users passes `number_within_large`."""
+    rows = scored_rows(
+        f_team_sessions_final, f_ondemand_skills, f_live_skills, d_events, d_building_blocks,
+        d_scenario_bank_event_scoring, split_rows,
     )
     order = ["start_date", *ATTEMPT_TIES]
     # A role belongs to one user, so the groups of both numberings lie within a user. Rows alike in
     # everything else differ in their attempt, which makes the second order as good as total.
-    rows = number_within(
+    rows = number(
         rows,
         "user_id",
         [
             Numbering(["client_id", "user_id", "scenario_id", "skill", "session_type"], order, "attempt"),
             Numbering(["client_user_role_id", "competency"], [*order, "attempt"], "CompetencyAttempt"),
         ],
-        task_rows,
     )
     return rows.select(*SCORE_COLUMNS)

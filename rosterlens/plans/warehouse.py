@@ -6,6 +6,8 @@ Those that pass the raw row through keep the rank column, as the tables always h
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,8 @@ from ..functions.scoring import passed, proficiency
 from ..functions.text import html_clean, not_blank, parse_day, strip_p, trim_ws
 from ..operators.cdc import KEEP_MARKED_LIVE, KEEP_UNMARKED, latest_row, undeleted_groups
 from ..operators.joins import SPLIT_ROWS, split_left_join
-from ..operators.numbering import TASK_ROWS, number_rows
+from ..operators.numbering import number_rows
 from ..operators.reshape import json_entries, pivot_entries, unpivot_slots
-from ..sources.staging import stage
 
 REVISION = [("modify_revision", "desc")]
 VERSION = [("version", "desc")]
@@ -124,9 +125,9 @@ QUESTION_IDS = [
 ANSWER_FIELDS = ["questionText", "answerText", "selectedAnswerNumber"]
 
 
-def survey_answers(raw_post_simulation: DataFrame) -> DataFrame:
+def survey_answers(raw_post_simulation: DataFrame, session_id: str | None = None) -> DataFrame:
     """The latest survey per session with its answers as an array of cleaned structs."""
-    source = session_column(raw_post_simulation, "POST_SIMULATION.")
+    source = session_id or session_column(raw_post_simulation, "POST_SIMULATION.")
     session = source.split(".")[-1].lower()
     surveys = raw_post_simulation.withColumn(session, trim_ws(col(source))).filter(
         not_blank(col(session))
@@ -155,8 +156,8 @@ def survey_answers(raw_post_simulation: DataFrame) -> DataFrame:
     return parsed.withColumn("answers", clean)
 
 
-def d_post_simulation(raw_post_simulation: DataFrame) -> DataFrame:
-    answers = survey_answers(raw_post_simulation)
+def d_post_simulation(raw_post_simulation: DataFrame, session_id: str | None = None) -> DataFrame:
+    answers = survey_answers(raw_post_simulation, session_id)
     carry = [c for c in answers.columns if c != "answers"]
     return pivot_entries(answers, "answers", "questionId", QUESTION_IDS, ANSWER_FIELDS, carry)
 
@@ -236,9 +237,9 @@ def f_session_insights_service(raw_session_insights_service: DataFrame) -> DataF
 SLOTS = 5
 
 
-def survey_events(raw_sim_feedback: DataFrame) -> DataFrame:
-    """The latest survey per session, a row per filled slot."""
-    source = session_column(raw_sim_feedback, "SIM_FEEDBACK.")
+def survey_events(raw_sim_feedback: DataFrame, session_id: str | None = None) -> DataFrame:
+    """The latest survey per session, a row per filled slot. `session_id` names its column if several could be."""
+    source = session_id or session_column(raw_sim_feedback, "SIM_FEEDBACK.")
     session = source.split(".")[-1].lower()
     surveys = raw_sim_feedback.withColumn(session, trim_ws(col(source))).filter(not_blank(col(session)))
     # Ranking and output both use the trimmed date.
@@ -280,11 +281,12 @@ def f_live_skills(
     d_building_blocks: DataFrame,
     f_events_mindset: DataFrame,
     split_rows: int = SPLIT_ROWS,
+    session_id: str | None = None,
 ) -> DataFrame:
     # No column of this join is used. It is here for the rows it repeats.
     repeats = m_skill_score_mindset.select("mindset_id", "events_mindset_id")
     events = split_left_join(
-        survey_events(raw_sim_feedback), repeats, ["mindset_id"], split_rows
+        survey_events(raw_sim_feedback, session_id), repeats, ["mindset_id"], split_rows
     ).drop("events_mindset_id")
     # Each lookup is put together at the size of its dimension: one row per skill, one per mindset.
     domains = f_skill_domain_mapping.select("skill_id", "domain_id").join(
@@ -332,15 +334,11 @@ def ondemand_skill_scores(f_skill_score: DataFrame, f_session_score: DataFrame)
 
 
 def f_ondemand_skills(
-    f_skill_score: DataFrame, f_session_score: DataFrame, task_rows: int | None = TASK_ROWS
+    f_skill_score: DataFrame, f_session_score: DataFrame, number: Callable[..., DataFrame] = number_rows
 ) -> DataFrame:
-    # All scores without a session share one group, which may be large.
+    """`number` ranks the skills; all scores without a session share one group, which may be large."""
     scores = ondemand_skill_scores(f_skill_score, f_session_score)
-    if task_rows is not None:
-        scores = stage(scores)
-    return number_rows(
-        scores, ["sessionid"], ["skill", "skill_score_id"], "rn", task_rows
-    ).drop("skill_score_id")
+    return number(scores, ["sessionid"], ["skill", "skill_score_id"], "rn").drop("skill_score_id")
 
 
 # Bridges

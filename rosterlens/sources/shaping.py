@@ -20,33 +20,12 @@ FAN_OUT_CLIENT = "C5"
 FAN_OUT_COPIES = ("C5-COPY-A", "C5-COPY-B")
 
 
-# Tables that may be large but come as one file, with columns that together tell rows apart.
-DEAL_BY = {
-    "orders": ["o_orderkey"],
-    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-    "events": ["event_id"],
-    "documents": ["doc_id"],
-    "conversations": ["conv_id", "turn"],
-    "pages": ["page_id"],
-    "part": ["p_partkey"],
-    "customer": ["c_custkey"],
-}
-
-
 def tables_in(spark: SparkSession, folder: str) -> Tables:
-    """The tables of a folder by name, each opened once.
-
-    A file that cannot be split is read by one task. Rows of such tables are dealt out after the scan;
-    tables that already fill the cores are left alone.
-    """
-    cores = spark.sparkContext.defaultParallelism
+    """The tables of a folder by name, each opened once."""
 
     @cache
     def table(name: str) -> DataFrame:
-        df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-        if name in DEAL_BY and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, *DEAL_BY[name])
-        return df
+        return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
     return table
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,27 +21,59 @@ def write_table(
     target_bytes: int | None = TARGET_FILE_BYTES,
     order: Sequence[str] = (),
     table: bool = False,
+    ordered_as_a_whole: bool = False,
 ) -> None:
     """Replace a Snappy Parquet table: a path, or a catalog name with `table=True`.
 
-    The rebalance step lets adaptive execution merge small and split large output partitions towards
-    `target_bytes` (of shuffle data, so file sizes are close, not equal). `order` sorts within files.
+    The new table is written beside the old one and takes its place at the end, so a failed write leaves
+    the old table as it was. The rebalance step lets adaptive execution merge small and split large output
+    partitions towards `target_bytes` (of shuffle data, so file sizes are close, not equal). `order`
+    sorts within files, or across them too with `ordered_as_a_whole`.
     """
     spark = df.sparkSession
+    new = f"{to.rstrip('/')}__new_{uuid.uuid4().hex[:12]}"
     before = spark.conf.get(ADVISORY_SIZE, None)
+    sort = [col(c).asc_nulls_last() for c in order]
+    if ordered_as_a_whole:
+        df = df.orderBy(*sort)
+    else:
+        df = df.hint("rebalance") if target_bytes is not None else df
+        df = df.sortWithinPartitions(*sort) if order else df
     if target_bytes is not None:
-        df = df.hint("rebalance")
         spark.conf.set(ADVISORY_SIZE, str(target_bytes))
-    if order:
-        df = df.sortWithinPartitions(*[col(c).asc_nulls_last() for c in order])
-    writer = df.write.mode("overwrite").option("compression", "snappy").format("parquet")
+    writer = df.write.option("compression", "snappy").format("parquet")
     try:
-        writer.saveAsTable(to) if table else writer.save(to)
+        writer.saveAsTable(new) if table else writer.save(new)
+    except BaseException:
+        _drop(spark, new, table)
+        raise
     finally:
         if before is None:
             spark.conf.unset(ADVISORY_SIZE)
         else:
             spark.conf.set(ADVISORY_SIZE, before)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {_name(to)}")
+        spark.sql(f"ALTER TABLE {_name(new)} RENAME TO {_name(to)}")
+    else:
+        _drop(spark, to, False)
+        files, path = _files(spark, new)
+        if not files.rename(path, _files(spark, to)[1]):
+            raise OSError(f"{new} was written but could not take the place of {to}")
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _drop(spark: SparkSession, name: str, table: bool) -> None:
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {_name(name)}")
+    else:
+        files, path = _files(spark, name)
+        files.delete(path, True)
 
 
 def _text(value: str) -> str:

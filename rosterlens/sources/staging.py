@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
+_run: ContextVar[str | None] = ContextVar("staging run", default=None)
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one, gone at exit, only if Spark is local."""
-    found = spark.conf.get(CHECKPOINT_DIR, None)
-    if not found and spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _local_dirs:
-            _local_dirs[app] = tempfile.TemporaryDirectory(prefix="staging-", ignore_cleanup_errors=True)
-        found = _local_dirs[app].name
-    if not found:
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+    """The shared folder the cluster names; where it names none, one in the warehouse."""
+    found = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get(WAREHOUSE_DIR)}/.staging"
     return found.rstrip("/")
 
 
+@contextmanager
+def staging_run(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside lie in one folder, which is removed at the end."""
+    folder = f"{staging_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Work before this point is not repeated when executors are lost or when the result is used more
     than once, and as the copy is columnar each use reads only the columns it needs.
     """
-    path = f"{staging_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{_run.get() or staging_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,3 +90,8 @@ def test_hot_key_is_cut_down_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as k", "id as v", "id * 2 as w")
     plan = latest_row(df, ["k"], [("v", "desc")])._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_maps_inside_structs_are_no_tiebreak(spark):
+    df = spark.sql("SELECT 1 AS id, 1 AS v, named_struct('m', map('a', 1)) AS s, array(map('a', 1)) AS l, 'x' AS t")
+    assert latest_row(df, ["id"], [("v", "desc")]).count() == 1

@@ -4,7 +4,6 @@ import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from rosterlens.operators import joins
 from rosterlens.operators.joins import routed_left_join, split_left_join, smallest_shared
 
 
@@ -25,13 +24,26 @@ def test_split_left_join_equals_left_join(spark, split):
     assert bag(split_left_join(left, right, ["k", "r"], split)) == bag(expected)
 
 
-def test_large_key_of_equal_rows_keeps_every_copy(frame, monkeypatch):
-    monkeypatch.setattr(joins, "COPY_CHUNK", 2)
+def test_large_key_of_equal_rows_keeps_every_copy(frame):
     left = frame([("x", 1), ("y", 2)], "k string, a int")
     right = frame([("x", 7)] * 9, "k string, b int")
     assert bag(split_left_join(left, right, ["k"], 2)) == Counter({("x", 1, 7): 9, ("y", 2, None): 1})
 
 
+@pytest.mark.parametrize("split", [1, 10_000])
+def test_values_are_moved_as_they_are(spark, frame, split):
+    """Negative zero and NaN are the same on both sides of the bound, inside arrays too."""
+    left = frame([("x",), ("y",)], "k string")
+    right = spark.sql("""
+        SELECT 'x' AS k, double('-0.0') AS b, array(double('-0.0'), double('NaN')) AS c, map('m', double('-0.0')) AS d
+        UNION ALL SELECT 'x', 0.0D, array(0.0D), map('m', 1.0D) UNION ALL SELECT 'x', double('NaN'), NULL, NULL""")
+    rows = split_left_join(left, right, ["k"], split).select("k", F.expr("string(b)"), F.expr("string(c)"), F.expr("string(d)"))
+    assert bag(rows) == Counter({
+        ("x", "-0.0", "[-0.0, NaN]", "{m -> -0.0}"): 1, ("x", "0.0", "[0.0]", "{m -> 1.0}"): 1,
+        ("x", "NaN", None, None): 1, ("y", None, None, None): 1,
+    })
+
+
 def test_routed_join_keeps_unrouted_rows(frame):
     left = frame(
         [("s1", "live"), ("s1", "ondemand"), ("s2", "live"), (None, None), ("s1", "other")],

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rosterlens.operators import joins
-from rosterlens.operators.numbering import Numbering, number_rows, number_within
-from rosterlens.sources.staging import stage
+from rosterlens.operators.numbering import (
+    Numbering, number_rows, number_rows_large, number_within, number_within_large, ranges_of,
+)
+from rosterlens.sources.staging import stage, staging_dir, staging_run
 
 
 def bag(df):
@@ -35,21 +36,22 @@ def many_ranges(spark):
     spark.conf.set(key, "true")
 
 
-def test_ranges_cut_through_a_group(rows):
-    ranged = rows.orderBy("k", "v", "id").withColumn("p", F.spark_partition_id())
-    assert max(r[1] for r in ranged.groupBy("k").agg(F.countDistinct("p")).collect()) > 1
+def test_no_range_is_larger_than_the_bound(rows):
+    sort = [F.col(c).asc_nulls_last() for c in ("k", "v", "id")]
+    sizes = [r["count"] for r in ranges_of(rows, sort, 3000, 100).groupBy("_range").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 100
 
 
-@pytest.mark.parametrize("task_rows", [None, 10, 100_000])
+@pytest.mark.parametrize("task_rows", [10, 200, 100_000])
 def test_numbers_do_not_depend_on_the_way(rows, task_rows):
-    out = number_rows(rows, ["k"], ["v", "id"], "n", task_rows)
-    assert bag(out) == bag(plain(rows, ["k"], ["v", "id"], "n"))
+    out = number_rows_large(rows, ["k"], ["v", "id"], "n", task_rows)
+    assert bag(out) == bag(number_rows(rows, ["k"], ["v", "id"], "n")) == bag(plain(rows, ["k"], ["v", "id"], "n"))
     assert out.columns == ["k", "v", "id", "role", "n"]
     assert dict(out.dtypes)["n"] == "bigint"
 
 
 def test_two_keys_by_range(rows):
-    out = number_rows(rows, ["k", "role"], ["v", "id"], "n", 10)
+    out = number_rows_large(rows, ["k", "role"], ["v", "id"], "n", 10)
     assert bag(out) == bag(plain(rows, ["k", "role"], ["v", "id"], "n"))
 
 
@@ -57,7 +59,8 @@ def test_two_keys_by_range(rows):
 def test_within_an_owner(rows, task_rows):
     many = [Numbering(["k", "role"], ["v", "id"], "n"), Numbering(["k"], ["id", "n"], "m")]
     expected = plain(plain(rows, ["k", "role"], ["v", "id"], "n"), ["k"], ["id", "n"], "m")
-    assert bag(number_within(rows, "k", many, task_rows)) == bag(expected)
+    assert bag(number_within(rows, "k", many)) == bag(expected)
+    assert bag(number_within_large(rows, "k", many, task_rows)) == bag(expected)
 
 
 def test_within_an_owner_shuffles_once(rows):
@@ -67,26 +70,34 @@ def test_within_an_owner_shuffles_once(rows):
 
 
 @pytest.mark.parametrize("task_rows", [3, 100_000])
-def test_copies_are_numbered_one_by_one(spark, monkeypatch, task_rows):
-    monkeypatch.setattr(joins, "COPY_CHUNK", 4)
-    df = stage(spark.range(60).selectExpr("if(id < 40, 'a', null) as k", "if(id % 3 = 0, 1, id) as v"))
-    out = number_rows(df, ["k"], ["v"], "n", task_rows)
+def test_copies_are_numbered_one_by_one(spark, task_rows):
+    df = stage(spark.range(60).selectExpr(
+        "if(id < 40, 'a', null) as k", "if(id % 3 = 0, 1, id) as v", "if(id % 2 = 0, double('-0.0'), 0.0D) as z"
+    ))
+    out = number_rows_large(df, ["k"], ["v"], "n", task_rows)
     assert bag(out.select("k", "n")) == bag(plain(df, ["k"], ["v"], "n").select("k", "n"))
-    assert bag(out) == bag(plain(df, ["k"], ["v"], "n"))
+    assert bag(out.selectExpr("k", "v", "string(z)")) == bag(df.selectExpr("k", "v", "string(z)"))
 
 
 def test_empty(rows):
-    assert number_rows(rows.filter("false"), ["k"], ["v"], "n", 10).count() == 0
+    assert number_rows_large(rows.filter("false"), ["k"], ["v"], "n", 10).count() == 0
+
+
+def test_staged_tables_of_a_run_are_removed(spark, tmp_path):
+    with staging_run(spark) as folder:
+        df = stage(spark.range(5).toDF("a"))
+        assert df.inputFiles()[0].removeprefix("file://").startswith(folder.removeprefix("file:"))
+        df.write.parquet(str(tmp_path / "kept"))
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 5
+    assert not __import__("os").path.exists(folder.removeprefix("file:"))
 
 
-def test_staging_needs_a_shared_folder_on_a_cluster():
+def test_staging_folder_is_the_shared_one_or_in_the_warehouse():
     from types import SimpleNamespace
 
-    from rosterlens.sources.staging import staging_dir
+    def session(**conf):
+        known = {k.replace("_", "."): v for k, v in conf.items()}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: known.get(key, default)))
 
-    cluster = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: default),
-        sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"),
-    )
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        staging_dir(cluster)
+    assert staging_dir(session(spark_checkpoint_dir="s3://x/")) == "s3://x"
+    assert staging_dir(session(spark_sql_warehouse_dir="/wh")) == "/wh/.staging"

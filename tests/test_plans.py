@@ -6,6 +6,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from rosterlens.plans import marts
+from rosterlens.plans.build import MODELS, inputs
+from rosterlens.sources.shaping import SHAPES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -31,23 +34,42 @@ def read_columns(text):
 
 def test_scans_read_only_what_is_used(spark):
     [keys] = read_columns(plan(spark, "check_unique_combo"))
-    # The two further columns deal out the rows of the single file.
-    assert keys == {"l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"}
+    assert keys == {"l_orderkey", "l_linenumber"}
+    assert plan(spark, "check_unique_combo").count("Exchange hashpartitioning") == 1
+    assert plan(spark, "latest_by_revision").count("Exchange hashpartitioning") == 1
     assert read_columns(plan(spark, "html_clean_pages")) == [{"page_id", "html"}]
     [columns] = read_columns(plan(spark, "latest_by_revision"))
     assert len(columns) == 9 and "l_returnflag" not in columns
 
 
-def test_filters_of_the_score_mart_reach_the_scan(spark, tmp_path):
-    from pyspark.sql import functions as F
+@pytest.fixture
+def trial(spark):
+    """The feeds as written tables, so that no model is behind them."""
+    return entry.Trial(spark, FOLDER)
 
-    rows = spark.createDataFrame([("learner", 1, "s")], "user_role string, scenario_generation_type int, s string")
-    rows.write.parquet(str(tmp_path / "t"))
-    text = plan_of(
-        spark.read.parquet(str(tmp_path / "t"))
-        .filter((F.col("user_role") == "learner") & (F.col("scenario_generation_type") == 1))
-    )
-    assert "EqualTo(user_role,learner)" in text and "EqualTo(scenario_generation_type,1)" in text
+
+def test_filters_of_the_score_mart_reach_the_scan(trial):
+    names = inputs("f_score")
+    text = plan_of(marts.scored_rows(**{n: trial[n] for n in names}))
+    [scan] = {s for s in re.findall(r"PushedFilters: \[(.*?)\]", text) if "user_role" in s}
+    assert "EqualTo(user_role,learner)" in scan and "EqualTo(scenario_generation_type,1)" in scan
+    assert not {"first_name", "last_name", "email", "full_name"} & set().union(*read_columns(text))
+
+
+def test_models_start_no_job(spark, trial):
+    """With their inputs at hand, making a model is making a plan."""
+    shaped = {name: trial[name] for name in SHAPES}
+    tables = dict(shaped)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("models", "models")
+    for name, model in MODELS.items():
+        tables[name] = model(**{t: tables[t] for t in inputs(name)}, **entry.OPTIONS.get(name, {}))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert list(tracker.getJobIdsForGroup("models")) == []
+
+
+def test_historical_pairs_come_from_an_anti_join(spark):
+    assert "FullOuter" not in plan(spark, "anti_history")
 
 
 @pytest.mark.parametrize("name", ["d_client", "f_live_session", "latest_by_revision", "f_session_score"])
@@ -64,8 +86,7 @@ def test_archived_rows_are_dropped_after_ranking(spark):
 def test_pivot_adds_no_shuffle_and_no_grouping(spark):
     text = plan(spark, "d_post_simulation")
     assert "Aggregate" not in text
-    # One deals out the single file, one brings the versions of a survey together.
-    assert text.count("Exchange hashpartitioning") == 2
+    assert text.count("Exchange hashpartitioning") == 1
 
 
 def test_slots_come_from_one_scan(spark):
@@ -82,3 +103,11 @@ def test_no_cross_joins_and_no_python(spark, name):
     text = plan(spark, name)
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
         assert word not in text
+
+
+def test_search_reads_the_documents_once_and_ranks_before_the_shuffle(spark):
+    text = plan(spark, "lexical_topk")
+    assert sum("doc_id" in c for c in read_columns(text)) <= 2
+    assert text.count("WindowGroupLimit") == 2
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?)\)", text)
+    assert [d for d in dealt if "doc_id" in d and "query_id" in d] == []

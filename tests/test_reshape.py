@@ -94,3 +94,21 @@ def test_tagged_union_widens_and_fills(spark):
     assert [(r.kind, str(r.day), r.billable) for r in out] == [
         ("live", "2024-01-01 00:00:00", True), ("ondemand", "2024-01-02 10:00:00", None),
     ]
+
+
+def test_of_repeated_keys_the_last_counts(frame):
+    from rosterlens.operators.reshape import explode_json
+
+    text = '[{"questionId": "a", "QuestionID": "b", "x": 1, "x": 2}, {"questionid": null, "y": 1}]'
+    out = explode_json(frame([(1, text)], "id int, t string"), "t", ["questionId", "x"], ["id"])
+    assert [tuple(r) for r in out.collect()] == [(1, "b", "2"), (1, None, None)]
+
+
+def test_session_column_by_name(frame):
+    extra = SURVEY + ", `POST_SIMULATION.parentSessionId` string"
+    rows = [(*survey("s1", "2024-01-01", [q("Q1", "w", "b", 2)]), "p")]
+    with pytest.raises(ValueError):
+        d_post_simulation(frame(rows, extra))
+    name = [c for c in frame(rows, extra).columns if c.lower().endswith("sessionid")][0]
+    out = d_post_simulation(frame(rows, extra), session_id=name).collect()
+    assert [r.sessionid for r in out] == ["s1"]

@@ -18,6 +18,29 @@ def test_write_replaces_and_restores_settings(spark, tmp_path):
     assert spark.conf.get(ADVISORY_SIZE, None) == before
 
 
+@pytest.mark.parametrize("table", [False, True])
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path, table):
+    to = "replaced" if table else str(tmp_path / "t")
+    if table:
+        spark.sql("drop table if exists replaced")
+    write_table(spark.range(7), to, table=table)
+    bad = spark.range(7).select(F.expr("if(id = 5, raise_error('bad row'), id)").cast("long").alias("id"))
+    with pytest.raises(Exception, match="bad row"):
+        write_table(bad, to, table=table)
+    assert (spark.table(to) if table else spark.read.parquet(to)).count() == 7
+    if table:
+        assert [r.tableName for r in spark.sql("show tables").collect() if "__new_" in r.tableName] == []
+    else:
+        assert os.listdir(tmp_path) == ["t"]
+
+
+def test_order_over_all_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(1000).selectExpr("(id * 37) % 1000 AS a").repartition(5), path, order=["a"], ordered_as_a_whole=True)
+    names = sorted(f for f in os.listdir(path) if f.startswith("part"))
+    assert [r.a for f in names for r in spark.read.parquet(f"{path}/{f}").collect()] == list(range(1000))
+
+
 def test_rebalance_is_planned(spark):
     df = spark.range(10).hint("rebalance")
     assert "REBALANCE_PARTITIONS" in df._jdf.queryExecution().executedPlan().toString()
