@@ -13,6 +13,11 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
+def held_out_rows(id_col: Column, modulus: int, rest: int) -> Column:
+    """True for the ids with that remainder; a null id is not held out."""
+    return F.coalesce(remainder(id_col, modulus) == rest, F.lit(False))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col: str, text_col: str, rows: int = SAMPLE_ROWS
 ) -> DataFrame:

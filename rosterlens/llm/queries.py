@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rosterlens.llm.common import table
 from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.exact_dedup import exact_groups
-from rosterlens.llm.labelled import labelled_sample, remainder
+from rosterlens.llm.labelled import held_out_rows, labelled_sample
 from rosterlens.llm.language_id import fit_language, languages
 from rosterlens.llm.line_dedup import line_report
 from rosterlens.llm.minhash import near_groups
@@ -21,7 +21,7 @@ from rosterlens.llm.toxicity import fit_toxicity, toxicity_scores
 
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    held_out = remainder(F.col("doc_id"), 5) == 0
+    held_out = held_out_rows(F.col("doc_id"), 5, 0)
     model = fit_quality(labelled_sample(docs, table(spark, folder, "labels"), "quality", ~held_out, "doc_id", "text"))
     return quality_scores(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
@@ -30,7 +30,7 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    held_out = remainder(F.col("doc_id"), 4) == 2
+    held_out = held_out_rows(F.col("doc_id"), 4, 2)
     model = fit_toxicity(labelled_sample(docs, table(spark, folder, "labels"), "toxic", ~held_out, "doc_id", "text"))
     return toxicity_scores(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
@@ -57,9 +57,9 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    held_out = remainder(F.col("doc_id"), 4) == 2
+    held_out = held_out_rows(F.col("doc_id"), 4, 2)
     return languages(docs, fit_language(docs, ~held_out)).select(
-        F.col("id").alias("doc_id"), (remainder(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+        F.col("id").alias("doc_id"), held_out_rows(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score"
     )
 
 
