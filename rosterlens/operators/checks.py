@@ -84,20 +84,23 @@ def _results(df: DataFrame, measures: Sequence[tuple[Check, Column]]) -> DataFra
 def check_table(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """(check, columns, failing_rows) for every check.
 
-    Null checks on columns without another check share one pass; the others need one aggregation per
-    set of columns, which combines equal values before the shuffle.
+    Each set of columns takes one aggregation, which combines equal values before the shuffle. Null checks
+    go with a set that has their column; those without one share a pass.
     """
     groups: dict[tuple[str, ...], list[Check]] = {}
     for check in checks:
-        groups.setdefault(columns_of(check), []).append(check)
-    null_only = [c for found in groups.values() if all(isinstance(c, NotNull) for c in found) for c in found]
+        if not isinstance(check, NotNull):
+            groups.setdefault(columns_of(check), []).append(check)
+    null_only = []
+    for check in checks:
+        if isinstance(check, NotNull):
+            with_it = [found for columns, found in groups.items() if check.column in columns]
+            (with_it[0] if with_it else null_only).append(check)
 
     parts = []
     if null_only:
         parts.append(_results(df, [(c, F.count_if(col(c.column).isNull())) for c in null_only]))
     for columns, found in groups.items():
-        if found[0] in null_only:
-            continue
         sizes = df.groupBy(*map(col, columns)).agg(F.count("*").alias("_n"))
         parts.append(_results(sizes, [(c, _failing(c)) for c in found]))
     return reduce(DataFrame.unionByName, parts)
