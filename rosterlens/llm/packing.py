@@ -19,6 +19,7 @@ result. Columns besides id and text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,8 @@ from rosterlens.llm.common import slices
 
 TAIL = ".,!?;:%*#&$|"  # signs after a word that are a pre-token of their own
 SENTENCE = (".", "!", "?")
-CACHE_ENTRIES = 500_000
+SPACE, NEWLINE = "Ġ", "Ċ"  # how the vocabulary spells them
+CACHE_ENTRIES = 800_000
 
 
 @cache
@@ -50,6 +52,8 @@ class WordIds:
     def __init__(self, name: str):
         self.tokenizer = tokenizer(name)
         self.newline = self.whole("\n")
+        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(specials) or "(?!)").search
         self.tables: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
         self.parts: dict[str, bytes] = {}
 
@@ -57,13 +61,19 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, lead: str, words: set[str]) -> dict[str, bytes]:
-        """The table of the lead, with all of `words` in it; full tables begin anew."""
+        """The table of the lead, with all of `words` in it; full tables begin anew.
+
+        Left out are words whose ids depend on their surroundings: empty ones, as between two spaces, those
+        with other white space, and those that hold a special string.
+        """
         table = self.tables[lead]
         if len(table) > CACHE_ENTRIES:
             table.clear()
         new = words - table.keys()
         split = {}
         for word in new:
+            if word.split() != [word] or self.special(word):
+                continue
             stem = word.rstrip(TAIL)
             split[word] = (lead + stem, word[len(stem) :]) if stem.isalpha() else (lead + word, "")
         self._encode({part for pair in split.values() for part in pair if part})
@@ -91,46 +101,55 @@ class TextEncoder:
 
     def __init__(self, name: str):
         self.words = WordIds(name)
-        self.specials = [t.content for t in tokenizer(name).get_added_tokens_decoder().values()]
+        tokens = [tokenizer(name).id_to_token(i) or "" for i in range(tokenizer(name).get_vocab_size())]
+        self.stops = np.array([t.endswith(SENTENCE) for t in tokens])
+        self.opens = np.array([t.startswith((SPACE, NEWLINE)) for t in tokens])
+        self.breaks = np.array([t.startswith(NEWLINE) for t in tokens])
+
+    def ends(self, ids: bytes) -> np.ndarray:
+        """Before each space that follows a stop, and before each newline."""
+        at = np.frombuffer(ids, "<u4")
+        return np.flatnonzero((self.stops[at[:-1]] & self.opens[at[1:]]) | self.breaks[at[1:]]) + 1
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
-        split: list[list[list[str]] | None] = []
+        split = [[line.split(" ") for line in text.split("\n")] for text in texts]
         first: set[str] = set()
         later: set[str] = set()
-        for text in texts:
-            # Apart from single spaces and newlines between words, white space sticks to its neighbours.
-            plain = text.split()
-            if not plain or " ".join(plain) != text.replace("\n", " ") or any(s in text for s in self.specials):
-                split.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            split.append(lines)
+        for lines in split:
             for parts in lines:
                 first.add(parts[0])
                 later.update(parts[1:])
         first_ids, later_ids = self.words.learn("", first), self.words.learn(" ", later)
         for text, lines in zip(texts, split):
-            if lines is None:
-                yield self.words.whole(text), np.zeros(0, np.int64)
-                continue
             out: list[bytes] = []
-            ends: list[bool] = []
-            for parts in lines:
-                if out:
+            try:
+                for parts in lines:
+                    out.append(first_ids[parts[0]])
+                    out += map(later_ids.__getitem__, parts[1:])
                     out.append(self.words.newline)
-                    ends.append(True)
-                out.append(first_ids[parts[0]])
-                out += map(later_ids.__getitem__, parts[1:])
-                ends += [p.endswith(SENTENCE) for p in parts]
-            at = np.cumsum(np.fromiter(map(len, out), np.int64, len(out))) // 4
-            yield b"".join(out), at[np.array(ends)]
+                out.pop()
+                ids = b"".join(out)
+            except KeyError:  # a word that cannot be encoded alone
+                ids = self.words.whole(text)
+            yield ids, self.ends(ids)
+
+
+@cache
+def encoder(name: str) -> TextEncoder:
+    """One for all tasks of a worker, so that what it has learnt stays."""
+    return TextEncoder(name)
 
 
 def places(n: int, sentences: np.ndarray, gap: int, sentence_cost: int, word_cost: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a document of n tokens may be cut, and at what cost; its end costs nothing."""
-    inner = np.unique(sentences[(sentences > 0) & (sentences < n)])
-    edges = np.r_[0, inner, n]
-    wide = np.flatnonzero(np.diff(edges) > gap)
+    """Where a document of n tokens may be cut, and at what cost; its end costs nothing.
+
+    `sentences` are positions of their ends, rising, without repeats.
+    """
+    inner = sentences[sentences < n]
+    edges = np.concatenate(([0], inner, [n]))
+    wide = np.flatnonzero(edges[1:] - edges[:-1] > gap)
+    if not len(wide):
+        return edges[1:], np.concatenate((np.full(len(inner), sentence_cost), [0]))
     filled = [np.arange(edges[i] + gap, edges[i + 1], gap) for i in wide.tolist()]
     at = np.concatenate([inner, *filled, [n]])
     cost = np.concatenate([
@@ -224,9 +243,10 @@ def packed(
     block_tokens: int = 1 << 20, with_ids: bool = True,
 ) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of every piece."""
+    gap = min(gap, max(size // 16, 1))  # no place is out of reach
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(vocabulary)
+        encode = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         stream = Stream(size, TaskContext.get().partitionId() << 33, with_ids)
         schema = None
