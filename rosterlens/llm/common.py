@@ -59,32 +59,30 @@ def slices(
             yield batch.slice(start)
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-
-def _star(edges: DataFrame, keep) -> DataFrame:
-    """Every node's edges moved to the smallest id it knows; `keep` filters the moved ends."""
-    least = staged(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-    return edges.join(least, "a").where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node is either a leaf of one edge (as `a`) or a root (as `b`)."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leaf")).union(edges.select("b", F.lit(0)))
+    nodes = ends.groupBy("id").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("least"))
+    return nodes.where((F.col("leaves") > 1) | ((F.col("leaves") == 1) & (F.col("least") == 0))).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in `links` (a, b): the smallest id it is linked with, at any distance.
 
-    Alternates large-star and small-star steps, each a grouping and a join, until nothing changes; long
+    Alternates large-star and small-star steps, each a grouping and a join, until all edges are stars; long
     chains take logarithmically many rounds. The tables of a round are staged, and hot centres are plain
     shuffled joins of two staged tables, which adaptive execution splits. No links: no rows.
     """
-    edges = staged(links.where("a <> b").select("a", "b").distinct())
-    seen = None
-    while (now := _fingerprint(edges)) != seen:
-        seen = now
+    # Towards the smaller id, so that a root is the smallest of its star.
+    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _are_stars(edges):
+        # Each node's larger neighbours move to the smallest node it knows.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = staged(_star(both, F.col("b") > F.col("a")).where("a <> b").distinct())
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = staged(down.groupBy("a").agg(F.min("b").alias("m")))
-        small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        # Then its smaller ones, and it itself.
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(small.union(least.select("a", F.col("m").alias("b"))).distinct())
     ids = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

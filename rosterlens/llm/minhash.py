@@ -8,9 +8,10 @@ are equal by chance, their similarity is estimated, and only pairs well below th
 others are compared as full sets, so every link is confirmed. A pair at the threshold shares no bucket with
 probability (1 - 0.75^4)^32 = 5e-6, and fails the estimate with less.
 
-No bucket is expanded into all its pairs. First every node is compared with the smallest node of each of its
-buckets, which gives components; then, in buckets that still hold several components, nodes of different
-components meet in a join whose condition already holds the estimate. All tables that are used twice are
+No bucket is expanded into all its pairs. First every node is compared with the best centre of its buckets,
+which gives components; then with centres that are still in other components; last, in buckets that
+still hold several components, nodes of different components meet in a join whose condition already holds
+the estimate. All tables that are used twice are
 staged, so joins on hot buckets and nodes are plain joins of two shuffles that adaptive execution splits.
 
 Defined results: documents of fewer than five words have one shingle, the whole sequence, and link only with
@@ -37,11 +38,14 @@ BANDS, BAND_ROWS = 32, 4
 MINIMA = BANDS * BAND_ROWS
 BITS = 2
 PER_LONG = 64 // BITS
+MARGIN = 0.2  # over four standard errors of the estimate
 LOW_OF_PAIR = 0x5555555555555555
 MULTIPLIERS = np.random.default_rng(20).integers(1, 2**31, MINIMA, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 ADDENDS = np.random.default_rng(21).integers(0, 2**32, MINIMA, dtype=np.int64).astype(np.uint32)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_ENTRIES = 500_000
+MARKS, CHUNK = 1 << 27, 1 << 15  # bits in all, and bits of one bitmap of Spark's
+STRONG = 0.78  # estimated similarity of the pairs that are confirmed before weaker ones
 AT_ONCE = 1 << 16
 
 
@@ -134,14 +138,40 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in slices(batches, "text"):
-        tokens = [words(t) for t in batch.column("text").to_pylist()]
-        sets = [shingle_set(t, hashes).view(np.int64) for t in tokens]
-        yield pa.record_batch(
-            [pa.array([node_of(t) for t in tokens], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"]
-        )
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bit for each of MARKS residues of node numbers, set if some node has it: 16 MB at any size."""
+    at = F.col("node").bitwiseAND(MARKS - 1) + 1
+    rows = (
+        nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("chunk"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    )
+    out = np.zeros((MARKS // CHUNK, CHUNK // 8), np.uint8)
+    for r in rows:
+        out[r.chunk - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _sets_of_marked(spark, nodes: DataFrame):
+    """The full sets of texts whose node may be among `nodes`; without a shuffle of texts."""
+    shared = spark.sparkContext.broadcast(_marks(nodes))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, marks = WordHashes(), shared.value
+        for batch in slices(batches, "text"):
+            found: dict[int, np.ndarray] = {}
+            for text in batch.column("text").to_pylist():
+                tokens = words(text)
+                node = node_of(tokens)
+                if node is None or node in found:
+                    continue
+                bit = node & (MARKS - 1)
+                if marks[bit >> 3] >> (bit & 7) & 1:
+                    found[node] = shingle_set(tokens, hashes).view(np.int64)
+            yield pa.record_batch(
+                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["node", "set"]
+            )
+
+    return run
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -156,9 +186,9 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unlike / MINIMA) - chance) / (1 - chance)
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
-    """The estimate is not far below the threshold, and the sizes allow it."""
-    near = estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= percent / 100 - 0.25
+def _may_link(x: str, y: str, percent: int, least: float | None = None) -> Column:
+    """The estimate is not far below the threshold (or is `least` at least), and the sizes allow it."""
+    near = estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= (percent / 100 - MARGIN if least is None else least)
     sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
     return sizes & near
 
@@ -174,6 +204,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * union).select("a", "b")
 
 
+def _merged(links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components."""
+    if more.isEmpty():
+        return links, found
+    links = links.union(more)
+    return links, components(links)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, version, n_shingles, component) of every row; documents are linked from `percent` similarity.
 
@@ -189,50 +227,68 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              F.first("buckets").alias("buckets"), F.first("long").alias("long"))
     )
     placed = staged(nodes.where("long").select("node", F.explode("buckets").alias("bucket")))
-    shared = staged(
-        placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("node").alias("size"))
-        .where("pivot < last")
-    )
-    members = staged(placed.join(shared, "bucket").where("node <> pivot").select("bucket", "pivot", "node", "size"))
+    shared = staged(placed.groupBy("bucket").agg(F.count("node").alias("size")).where("size > 1"))
+    members = staged(placed.join(shared, "bucket"))
     bits = nodes.select("node", "n", "bits")
 
-    stars = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # The centre of a bucket is its node with the most company: what copies were made of, rather than a copy.
+    company = staged(members.groupBy("node").agg(F.sum("size").alias("company")))
+    centres = staged(
+        members.join(company, "node").groupBy("bucket")
+        .agg(F.max_by("node", "company").alias("centre"), F.max("company").alias("company"))
+    )
+    stars = (
+        members.join(centres, "bucket").where("node <> centre")
+        .groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.max("company").alias("company"))
+    )
     stars = staged(
         stars.join(bits.alias("y"), F.col("b") == F.col("y.node"))
-        .join(bits.alias("x"), F.col("a") == F.col("x.node")).where(_may_link("x", "y", percent)).select("a", "b")
+        .join(bits.alias("x"), F.col("a") == F.col("x.node")).where(_may_link("x", "y", percent))
+        .select("a", "b", "company")
     )
     # Every node that a pair may name: those of the stars, and those of buckets with more than two.
     named = (
         stars.select(F.col("a").alias("node")).union(stars.select("b"))
         .union(members.where("size > 2").select("node")).distinct()
     )
-    wanted = staged(named.join(nodes.select("node", "id"), "node"))
-    asked = wanted.select(F.col("id").alias("asked")).distinct()
-    texts = rows.join(asked, F.col("id").eqNullSafe(F.col("asked")), "left_semi")
+    wanted = staged(named)
     sets = staged(
-        texts.mapInArrow(_sets, "node long, set array<long>").join(wanted.select("node"), "node", "left_semi")
-        .dropDuplicates(["node"])
+        rows.select("text").mapInArrow(_sets_of_marked(docs.sparkSession, wanted), "node long, set array<long>")
+        .join(wanted, "node", "left_semi").dropDuplicates(["node"])
     )
-    links = staged(_confirmed(stars, sets, percent))
-    found = components(links)
 
-    labelled = members.where("size > 2").join(found.withColumnRenamed("id", "node"), "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
-    )
-    labelled = staged(labelled)
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = staged(
-        labelled.join(mixed.where("low < high").select("bucket"), "bucket").join(bits, "node")
+    # Each node with its best centre, then with the centres that are still in another component.
+    best = staged(stars.groupBy("b").agg(F.max_by("a", "company").alias("a")).select("a", "b"))
+    links = staged(_confirmed(best, sets, percent))
+    found = components(links)
+    of_a, of_b = (
+        found.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}")) for x in ("a", "b")
     )
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = staged(_confirmed(across, sets, percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    apart = ~F.col("component_a").eqNullSafe(F.col("component_b")) | F.col("component_a").isNull()
+    others = stars.select("a", "b").join(of_b, "b", "left").join(of_a, "a", "left").where(apart).select("a", "b")
+    more = staged(_confirmed(others.join(best, ["a", "b"], "left_anti"), sets, percent))
+    links, found = _merged(links, found, more)
+
+    # Last, nodes of different components that share a bucket: the likely links first, which leaves few
+    # components for the rest.
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for least in (STRONG, percent / 100 - MARGIN):
+        labelled = staged(
+            members.where("size > 2").join(found.withColumnRenamed("id", "node"), "node", "left")
+            .select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        )
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        open_ = staged(
+            labelled.join(mixed.where("low < high").select("bucket"), "bucket").join(bits, "node")
+        )
+        x, y = open_.alias("x"), open_.alias("y")
+        across = x.join(
+            y,
+            (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
+            & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent, least),
+        ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        more = staged(_confirmed(across.join(tried, ["a", "b"], "left_anti"), sets, percent))
+        links, found = _merged(links, found, more)
 
     linked = found.withColumnRenamed("id", "node").join(nodes.select("node", "id"), "node")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))

@@ -5,7 +5,7 @@ import numpy as np
 
 from .conftest import prose
 from rosterlens.llm.common import components
-from rosterlens.llm.minhash import BITS, MINIMA, WordHashes, buckets, estimate, minima, near_groups, packed_bits, shingle_set, words
+from rosterlens.llm.minhash import BITS, MARKS, MINIMA, WordHashes, _marks, buckets, estimate, minima, near_groups, packed_bits, shingle_set, words
 
 
 def shingles(text):
@@ -99,3 +99,9 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: min(nodes[:61]) for n in nodes[:61]} | {n: min(nodes[70:]) for n in nodes[70:]}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_marks_are_those_of_the_nodes(spark):
+    nodes = [0, 1, 7, 8, 32767, 32768, -1, -(2**63), 2**63 - 1, MARKS + 5]
+    marks = _marks(spark.createDataFrame([(n,) for n in nodes], "node long"))
+    assert np.flatnonzero(np.unpackbits(marks, bitorder="little")).tolist() == sorted({n & (MARKS - 1) for n in nodes})
