@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 The features of a document are the n-grams of its distinct words, each word with its edges marked. Over a
-bounded sample of labelled documents Spark counts in how many toxic and other documents each n-gram occurs;
-the `features` whose shares differ most clearly are kept, each scaled by the log of the ratio of its shares.
+bounded sample of labelled documents Spark counts in how many toxic and other documents the n-grams of toxic
+ones occur; the `features` whose shares differ most clearly are kept, each scaled by the log of the ratio of its shares.
 A logistic regression over the scaled features is fitted in numpy, and all texts are scored in one pass
 without a shuffle, words looked up in the worker's cache.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rosterlens.llm.common import slices, staged
 
 SIZES = (3, 4, 5, 6, 7)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 NO_LETTERS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
@@ -59,24 +59,26 @@ class ToxicityModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
-def _gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    of_word: dict[str, set[str]] = {}
+def _grams_of_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of the task each n-gram occurs."""
+    counts: Counter = Counter()
     for batch in slices(batches, "text"):
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-            found: set[str] = set()
-            for word in set((text or "").split()):
-                if (known := of_word.get(word)) is None:
-                    if len(of_word) > CACHE_ENTRIES:
-                        of_word.clear()
-                    known = of_word[word] = grams(word)
-                found |= known
-            counts[label].update(found)
-    every = list(counts[0].keys() | counts[1].keys())
-    yield pa.record_batch(
-        [pa.array(every, pa.string()), *(pa.array([c[g] for g in every], pa.int64()) for c in counts)],
-        ["gram", "other", "toxic"],
-    )
+        for text in batch.column("text").to_pylist():
+            counts.update(set().union(*map(grams, set((text or "").split()))))
+    yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
+
+
+def _rows_with(numbers: dict[str, int]):
+    """In how many texts of the task, by label, each of the numbered n-grams occurs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts = FeaturesOf(numbers), np.zeros((2, len(numbers)), np.int64)
+        for batch in slices(batches, "text"):
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                counts[label, list(of.text(text))] += 1
+        yield pa.record_batch([pa.array(np.arange(len(numbers))), *map(pa.array, counts)], ["number", "other", "toxic"])
+
+    return run
 
 
 def logistic(rows: list[list[int]], labels: np.ndarray, scale: np.ndarray, ridge: float, steps: int) -> tuple[float, np.ndarray]:
@@ -100,26 +102,37 @@ def logistic(rows: list[list[int]], labels: np.ndarray, scale: np.ndarray, ridge
     return b, w
 
 
-def fit_toxicity(sample: DataFrame, features: int = 1024, least_rows: int = 3, ridge: float = 0.5, steps: int = 400) -> ToxicityModel:
-    """A model from a bounded sample (label, text); what the driver sees is bounded by it and `features`."""
+def fit_toxicity(
+    sample: DataFrame, features: int = 1024, candidates: int = 65_536, least_rows: int = 3, ridge: float = 0.5, steps: int = 400
+) -> ToxicityModel:
+    """A model from a bounded sample (label, text).
+
+    Candidates are the n-grams of most toxic rows, `least_rows` at least. What the driver sees is bounded
+    by the sample, `candidates` and `features`.
+    """
     sample = staged(sample)
     totals = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not other:
         share = (toxic + 0.5) / (toxic + other + 2)
         return ToxicityModel(float(np.log(share / (1 - share))))
-    counted = sample.repartition(8).mapInArrow(_gram_counts, "gram string, other long, toxic long").groupBy("gram").agg(
-        F.sum("other").alias("other"), F.sum("toxic").alias("toxic")
+    rows = sample.repartition(8)
+    frequent = (
+        rows.where("label = 1").mapInArrow(_grams_of_texts, "gram string, n long").groupBy("gram")
+        .agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows).orderBy(F.desc("n"), "gram").limit(candidates)
     )
+    names = [r.gram for r in frequent.collect()]
+    counted = rows.mapInArrow(
+        _rows_with({g: i for i, g in enumerate(names)}), "number long, other long, toxic long"
+    ).groupBy("number").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     p, q = (F.col("toxic") + 1) / (toxic + 2), (F.col("other") + 1) / (other + 2)
     pooled = (F.col("toxic") + F.col("other") + 2) / (toxic + other + 4)
     clear = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1 / (toxic + 2) + 1 / (other + 2)))
     kept = (
-        counted.where(F.col("toxic") + F.col("other") >= least_rows)
-        .select("gram", F.log(p / q).alias("ratio"), clear.alias("clear")).where("clear > 4")
-        .orderBy(F.desc("clear"), "gram").limit(features).collect()
+        counted.select("number", F.log(p / q).alias("ratio"), clear.alias("clear")).where("clear > 4")
+        .orderBy(F.desc("clear"), "number").limit(features).collect()
     )
-    numbers = {r.gram: i for i, r in enumerate(kept)}
+    numbers = {names[r.number]: i for i, r in enumerate(kept)}
     scale = np.array([r.ratio for r in kept], float)
 
     def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
