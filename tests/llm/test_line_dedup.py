@@ -71,11 +71,16 @@ def test_edit_distance_within_the_band(spark):
     for _ in range(250):
         a = "".join(rng.choice("ab🙂") for _ in range(rng.randrange(6, 40)))
         b = edited(a, rng.randrange(5), rng)
-        rows += [(a, b, t, distance(a, b)) for t in (1, 2, 3) if abs(len(a) - len(b)) <= t and len(a) > t]
+        rows += [(a, b, t, distance(a, b)) for t in (1, 2, 3) if abs(len(a) - len(b)) <= t]
+    for a, b in (("", "a"), ("a", ""), ("a", "b"), ("ab", "ba"), ("abc", "c"), ("", "")):
+        rows += [(a, b, t, distance(a, b)) for t in (1, 2, 3) if abs(len(a) - len(b)) <= t]
     df = spark.createDataFrame(rows, "a string, b string, t int, d int")
     found = df.withColumn("got", F.when(F.col("t") == 1, ld.edit_distance(F.col("a"), F.col("b"), 1))
                           .when(F.col("t") == 2, ld.edit_distance(F.col("a"), F.col("b"), 2))
                           .otherwise(ld.edit_distance(F.col("a"), F.col("b"), 3)))
+    cut = ld.trimmed(df.withColumns({"x": F.col("a"), "y": F.col("b")}), "x", "y").collect()
+    for r in cut:
+        assert distance(r.x, r.y) == r.d and (not (r.x and r.y) or (r.x[0] != r.y[0] and r.x[-1] != r.y[-1]))
     wrong = [r for r in found.collect() if (r.got if r.got <= r.t else 99) != (r.d if r.d <= r.t else 99)]
     assert not wrong
 
