@@ -10,8 +10,8 @@ probability (1 - 0.75^4)^32 = 5e-6, and fails the estimate with less.
 
 No bucket is expanded into all its pairs. First every node is compared with the best centre of its buckets,
 which gives components; then with centres that are still in other components; last, in buckets that
-still hold several components, nodes of different components meet in a join whose condition already holds
-the estimate. All tables that are used twice are
+still hold several components, nodes of different components meet in a join whose condition holds the estimate
+and the comparison of the full sets, so that it emits links and nothing else. All tables that are used twice are
 staged, so joins on hot buckets and nodes are plain joins of two shuffles that adaptive execution splits.
 
 Defined results: documents of fewer than five words have one shingle, the whole sequence, and link only with
@@ -45,7 +45,6 @@ ADDENDS = np.random.default_rng(21).integers(0, 2**32, MINIMA, dtype=np.int64).a
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_ENTRIES = 500_000
 MARKS, CHUNK = 1 << 27, 1 << 15  # bits in all, and bits of one bitmap of Spark's
-STRONG = 0.78  # estimated similarity of the pairs that are confirmed before weaker ones
 AT_ONCE = 1 << 16
 
 
@@ -186,22 +185,25 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unlike / MINIMA) - chance) / (1 - chance)
 
 
-def _may_link(x: str, y: str, percent: int, least: float | None = None) -> Column:
-    """The estimate is not far below the threshold (or is `least` at least), and the sizes allow it."""
-    near = estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= (percent / 100 - MARGIN if least is None else least)
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """The estimate is not far below the threshold, and the sizes allow it."""
+    near = estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= percent / 100 - MARGIN
     sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
     return sizes & near
 
 
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Two full sets reach the threshold: 100 * shared >= percent * (all - shared)."""
+    return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     both = (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     )
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return both.where(100 * shared >= percent * union).select("a", "b")
+    return both.where(_alike(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
 
 
 def _merged(links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,26 +271,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = staged(_confirmed(others.join(best, ["a", "b"], "left_anti"), sets, percent))
     links, found = _merged(links, found, more)
 
-    # Last, nodes of different components that share a bucket: the likely links first, which leaves few
-    # components for the rest.
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for least in (STRONG, percent / 100 - MARGIN):
-        labelled = staged(
-            members.where("size > 2").join(found.withColumnRenamed("id", "node"), "node", "left")
-            .select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        )
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = staged(
-            labelled.join(mixed.where("low < high").select("bucket"), "bucket").join(bits, "node")
-        )
-        x, y = open_.alias("x"), open_.alias("y")
-        across = x.join(
-            y,
-            (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent, least),
-        ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        more = staged(_confirmed(across.join(tried, ["a", "b"], "left_anti"), sets, percent))
-        links, found = _merged(links, found, more)
+    # Last, nodes of different components that share a bucket. Their sets come along, so that the join
+    # itself confirms a link and hands on nothing else.
+    labelled = staged(
+        members.where("size > 2").join(found.withColumnRenamed("id", "node"), "node", "left")
+        .select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    )
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = staged(labelled.join(mixed.where("low < high").select("bucket"), "bucket"))
+    open_ = open_.join(bits.join(sets, "node"), "node")
+    x, y = open_.alias("x"), open_.alias("y")
+    across = x.join(
+        y,
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent)
+        & _alike(F.col("x.set"), F.col("y.set"), percent),
+    )
+    more = staged(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    links, found = _merged(links, found, more)
 
     linked = found.withColumnRenamed("id", "node").join(nodes.select("node", "id"), "node")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
