@@ -38,7 +38,7 @@ from rosterlens.llm.common import slices
 TAIL = ".,!?;:%*#&$|"  # signs after a word that are a pre-token of their own
 SENTENCE = (".", "!", "?")
 SPACE, NEWLINE = "Ġ", "Ċ"  # how the vocabulary spells them
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_200_000
 
 
 @cache
@@ -55,7 +55,7 @@ class WordIds:
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(specials) or "(?!)").search
         self.tables: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.parts: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # runs of signs
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -69,31 +69,40 @@ class WordIds:
         table = self.tables[lead]
         if len(table) > CACHE_ENTRIES:
             table.clear()
+        if len(self.tails) > CACHE_ENTRIES // 10:
+            self.tails.clear()
         new = words - table.keys()
-        split = {}
+        if not new:
+            return table
+        odd = self.special("\n".join(new))
+        split = []
+        whole = set()
         for word in new:
-            if word.split() != [word] or self.special(word):
+            if word.split() != [word] or (odd and self.special(word)):
                 continue
             stem = word.rstrip(TAIL)
-            split[word] = (lead + stem, word[len(stem) :]) if stem.isalpha() else (lead + word, "")
-        self._encode({part for pair in split.values() for part in pair if part})
-        for word, (head, tail) in split.items():
-            table[word] = self.parts[head] + self.parts[tail] if tail else self.parts[head]
+            if stem != word and stem.isalpha():
+                whole.add(stem)
+                split.append((word, stem, word[len(stem) :]))
+            else:
+                whole.add(word)
+        table.update(self._encoded(lead, whole - table.keys()))
+        tails = self.tails
+        tails.update(self._encoded("", {tail for _, _, tail in split} - tails.keys()))
+        for word, stem, tail in split:
+            table[word] = table[stem] + tails[tail]
         return table
 
-    def _encode(self, parts: set[str]) -> None:
+    def _encoded(self, lead: str, parts: set[str]) -> Iterator[tuple[str, bytes]]:
         """One call for many parts: a newline between them is a token that no word has."""
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts.clear()
-        new = list(parts - self.parts.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            joined = "".join("\n" + part for part in some)
+        every = list(parts)
+        for i in range(0, len(every), 20_000):
+            some = every[i : i + 20_000]
+            joined = f"\n{lead}" + f"\n{lead}".join(some)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            every = ids.tobytes()
-            cut = [*(4 * np.flatnonzero(ids == np.frombuffer(self.newline, "<u4"))).tolist(), len(every)]
-            for part, a, b in zip(some, cut[:-1], cut[1:], strict=True):
-                self.parts[part] = every[a + 4 : b]
+            data = ids.tobytes()
+            cut = [*(4 * np.flatnonzero(ids == np.frombuffer(self.newline, "<u4"))).tolist(), len(data)]
+            yield from ((part, data[a + 4 : b]) for part, a, b in zip(some, cut[:-1], cut[1:], strict=True))
 
 
 class TextEncoder:
