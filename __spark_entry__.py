@@ -200,10 +200,10 @@ def one_team_per_pair(t: Trial) -> DataFrame:
         .dropna().distinct()
     )
     roles = t["m_client_user_role"].select(F.col("id").alias("user_role_id"), "user_id")
-    return smallest_shared(
-        pairs, t["raw_team_member"].join(roles, "user_role_id"), t["raw_scenario_team"],
-        "user_id", "scenario_id", "team_id",
-    )
+    # Read several times below, so the link lists are written once, with the columns that are used.
+    user_teams = stage(t["raw_team_member"].join(roles, "user_role_id").select("user_id", "team_id").distinct())
+    scenario_teams = stage(t["raw_scenario_team"].select("scenario_id", "team_id").distinct())
+    return smallest_shared(pairs, user_teams, scenario_teams, "user_id", "scenario_id", "team_id")
 
 
 def fan_out_client(t: Trial) -> DataFrame:
