@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from rosterlens.llm import line_dedup as ld
 
 
@@ -113,3 +114,46 @@ def test_no_python_in_the_plan(spark, capsys):
     ld.near_links(rows, 1).explain("formatted")
     plan = capsys.readouterr().out
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def by_length(classes, n):
+    return max((t for start, t in classes if n >= start), default=0)
+
+
+@pytest.mark.parametrize("classes", [((12, 1), (20, 2), (40, 4), (90, 8)), ((12, 3), (60, 12))])
+def test_thresholds_that_grow_with_length(make, classes):
+    rng = random.Random(len(classes))
+    words = ["a", "of", "the", "plain", "ñandú", "🙂", "wordier", "x1"]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (4, 5, 9, 12, 25, 40)] + ["abcde" * 12, "z" * 100]
+    pairs = [
+        (d, "\n".join(edited(rng.choice(base), rng.choice([0, 1, 2, 3, 4, 6, 8, 9, 12, 14]), rng) for _ in range(rng.randrange(1, 5))))
+        for d in range(40)
+    ]
+    places = [(i, n, line) for i, t in pairs for n, line in enumerate(t.split("\n")) if len(line) >= 12]
+    distinct = list(dict.fromkeys(p[2] for p in places))
+    root = {line: line for line in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if distance(a, b) <= by_length(classes, min(len(a), len(b))):
+                root[find(a)] = find(b)
+    seen, expected = set(), {i: [] for i, _ in pairs}
+    for i, n, line in places:
+        if find(line) in seen:
+            expected[i].append(n)
+        seen.add(find(line))
+    got = {r.id: list(r.dropped) for r in ld.line_report(make(pairs), threshold=classes, least_chars=12).collect()}
+    assert sum(map(len, expected.values())) > 20
+    assert got == expected
+
+
+def test_a_replaced_word_in_a_passage_goes(spark, make):
+    text = " ".join(f"word{i} of a passage" for i in range(15))
+    docs = make([(1, text), (2, text.replace("word7 ", "something ")), (3, "short lines may differ by one edit")])
+    cut = {n: {r.doc_id: r.text for r in stage(spark, docs, "").collect()} for n, stage in cp.STAGES if n == "line_dedup"}
+    assert cut["line_dedup"] == {1: text, 2: "", 3: "short lines may differ by one edit"}
