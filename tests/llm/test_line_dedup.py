@@ -157,3 +157,11 @@ def test_a_replaced_word_in_a_passage_goes(spark, make):
     docs = make([(1, text), (2, text.replace("word7 ", "something ")), (3, "short lines may differ by one edit")])
     cut = {n: {r.doc_id: r.text for r in stage(spark, docs, "").collect()} for n, stage in cp.STAGES if n == "line_dedup"}
     assert cut["line_dedup"] == {1: text, 2: "", 3: "short lines may differ by one edit"}
+
+
+def test_short_lines_that_are_repeated_as_they_are(spark, make):
+    docs = make([(1, "All rights reserved.\nhome"), (2, "All rights reserved.\nhome\nAll rights reserved!"), (3, "own")])
+    stage = dict(cp.STAGES)["line_dedup"]
+    got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    assert got == {1: "All rights reserved.\nhome", 2: "home\nAll rights reserved!", 3: "own"}
+    assert all(not r.dropped for r in ld.line_report(docs).collect())
