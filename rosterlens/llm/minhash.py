@@ -215,9 +215,9 @@ def _merged(links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFr
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id, version, n_shingles, component) of every row; documents are linked from `percent` similarity.
+    """(id, version, n_shingles, component, group) of every row; documents are linked from `percent` similarity.
 
-    The version, a hash of the text, tells apart rows that share an id but not a text.
+    The group tells components apart whatever their ids are, null for documents without words. The version, a hash of the text, tells apart rows that share an id but not a text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(rows.withColumn("version", F.xxhash64("text")).mapInArrow(
@@ -293,8 +293,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = found.withColumnRenamed("id", "node").join(nodes.select("node", "id"), "node")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
     named = nodes.select("node", "id").join(
-        linked.select("node", "component").join(least, "component").select("node", "least"), "node", "left"
-    ).select("node", F.coalesce("least", "id").alias("component"))
+        linked.select("node", "component").join(least, "component").select("node", "least", F.col("component").alias("group")), "node", "left"
+    ).select("node", F.coalesce("least", "id").alias("component"), F.coalesce("group", "node").alias("group"))
     return signed.select("id", "version", "node", "n").join(staged(named), "node", "left").select(
-        "id", "version", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")
+        "id", "version", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "group"
     )

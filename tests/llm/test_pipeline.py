@@ -54,6 +54,16 @@ def test_decisions_take_effect(spark):
     assert clean.count() == docs.count() - hit
 
 
+def test_one_row_of_a_near_group_stays(spark, make):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = make([(None, a), (None, a + " more"), (3, b), (3, b), (3, b + " more"), (None, b), (None, "own words here"), (None, None), (None, "")])
+    left = [(r.doc_id, r.text) for r in dict(cp.STAGES)["near_dedup"](spark, docs, FOLDER).collect()]
+    alone = [(None, "own words here"), (None, None), (None, "")]
+    assert [x for x in alone if x not in left] == [] and len(left) == 5
+    assert sum(x in ((None, a), (None, a + " more")) for x in left) == 1
+    assert sum(x in ((3, b), (3, b + " more")) for x in left) == 1
+
+
 def test_every_dealt_operator_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(SQL) <= set(QUERIES)
