@@ -103,12 +103,12 @@ def logistic(rows: list[list[int]], labels: np.ndarray, scale: np.ndarray, ridge
 
 
 def fit_toxicity(
-    sample: DataFrame, features: int = 1024, candidates: int = 65_536, least_rows: int = 3, ridge: float = 0.5, steps: int = 400
+    sample: DataFrame, features: int = 1024, least_rows: int = 3, ridge: float = 0.5, steps: int = 400
 ) -> ToxicityModel:
     """A model from a bounded sample (label, text).
 
-    Candidates are the n-grams of most toxic rows, `least_rows` at least. What the driver sees is bounded
-    by the sample, `candidates` and `features`.
+    Candidates are all n-grams of `least_rows` toxic rows or more. What the driver sees is bounded by the
+    sample and `features`.
     """
     sample = staged(sample)
     totals = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -119,7 +119,7 @@ def fit_toxicity(
     rows = sample.repartition(8)
     frequent = (
         rows.where("label = 1").mapInArrow(_grams_of_texts, "gram string, n long").groupBy("gram")
-        .agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows).orderBy(F.desc("n"), "gram").limit(candidates)
+        .agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows).orderBy("gram")
     )
     names = [r.gram for r in frequent.collect()]
     counted = rows.mapInArrow(

@@ -126,3 +126,11 @@ def test_languages_of_odd_rows(odd, odd_pairs, none, make):
     assert li.languages(none, model).count() == 0
     untaught = li.fit_language(none, F.lit(True))
     assert {r.lang_pred for r in li.languages(odd, untaught).collect()} == {"und"}
+
+
+def test_rare_telling_grams_are_not_pushed_out(spark):
+    rng = np.random.default_rng(3)
+    common = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(5_000))
+    assert len(set().union(*map(grams, common.split()))) > 65_536
+    rows = [(int(i < 20), common + (" zzyzzx" if i < 14 else "")) for i in range(40)]
+    assert "zzyzzx" in fit_toxicity(spark.createDataFrame(rows, "label int, text string")).numbers
