@@ -30,6 +30,7 @@ from rosterlens.llm.common import slices
 
 SPACE = "▁"  # how the vocabulary spells a space
 CACHE_ENTRIES = 600_000
+LONGEST = 64  # characters of a pre-token in the table; longer ones are not counted and stay in their task
 
 
 @cache
@@ -90,7 +91,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, model: str, table_size: int
         counts: Counter = Counter()
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                counts.update((text or "").split(" "))
+                counts.update(p for p in (text or "").split(" ") if len(p) <= LONGEST)
             if len(counts) > CACHE_ENTRIES:  # lossy counting: rare ones go, and count afresh
                 least = sorted(counts.values())[len(counts) // 2]
                 counts = Counter({k: n for k, n in counts.items() if n > least})
@@ -104,7 +105,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, model: str, table_size: int
         .groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(table_size).collect()
     )
     sp = processor(model)[0]
-    return {r.part: len(sp.encode(r.part)) for r in rows if r.part and len(r.part) <= 64}
+    return {r.part: len(sp.encode(r.part)) for r in rows if r.part}
 
 
 def token_counts(

@@ -29,3 +29,11 @@ def test_full_cache_starts_anew(monkeypatch):
     text = " ".join(f"word{i} of" for i in range(50))
     assert tc.count_text(text, lengths, apart) == len(sp.encode(text))
     assert len(lengths) <= 6
+
+
+def test_long_parts_are_not_counted_for_the_table(make, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tc, "processor", lambda model: (type("P", (), {"encode": lambda self, t: seen.append(t) or [t]})(), True))
+    docs = make([(i, "日" * 65 + " short " + "x" * 64) for i in range(3)])
+    assert set(tc.frequent_lengths(docs, "text", MODEL, 9, 9)) == {"short", "x" * 64}
+    assert set(tc.frequent_lengths(make([(1, "日" * 65 + " a")]), "text", MODEL, 1, 1)) == {"a"}
