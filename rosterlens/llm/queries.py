@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlens.llm.best_fit import best_fit_packed
 from rosterlens.llm.common import table
 from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.exact_dedup import exact_groups
@@ -97,9 +98,14 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    packed = best_fit_packed(table(spark, folder, "documents"), with_ids=False)
+    return packed.withColumnRenamed("id", "doc_id").drop("ids")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_toxicity, op3_secret_scan, op4_line_dedup, op5_language_id, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
-    op10_decontamination,
+    op10_decontamination, op11_best_fit,
 )}
 
 SQL = {
