@@ -16,6 +16,7 @@ from rosterlens.llm.minhash import near_groups
 from rosterlens.llm.packing import packed
 from rosterlens.llm.quality import fit_quality, quality_scores
 from rosterlens.llm.secret_scan import count_of, digest, scan_versions
+from rosterlens.llm.source_audit import source_divergence
 from rosterlens.llm.token_counts import token_counts
 from rosterlens.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -103,9 +104,13 @@ def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id").drop("ids")
 
 
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_toxicity, op3_secret_scan, op4_line_dedup, op5_language_id, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
-    op10_decontamination, op11_best_fit,
+    op10_decontamination, op11_best_fit, op12_source_audit,
 )}
 
 SQL = {
@@ -187,4 +192,35 @@ SQL = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM s LEFT JOIN spots ON s.id = spots.doc_id LEFT JOIN items ON s.id = items.doc_id WHERE side = 'd'
     """,
+    "op12_source_audit": """
+        WITH d AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), t AS MATERIALIZED (SELECT id, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+        cell AS (
+          SELECT lang, source, term, coalesce(n, 0) AS n, v
+          FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), p AS MATERIALIZED (
+          SELECT *, CAST(1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS HUGEINT) AS p,
+                 CAST(1 + 1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 2)
+                      // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS HUGEINT) AS q
+          FROM cell
+        ), part AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+            SELECT x.lang, x.source AS s, y.source AS o, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+            FROM p x JOIN p y USING (lang, term) GROUP BY ALL
+          ) z ON z.lang = a.lang AND z.s = a.source AND z.o = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM part QUALIFY part = 'pair' OR rank <= 10
+    """,
 }
