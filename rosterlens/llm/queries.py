@@ -14,6 +14,7 @@ from rosterlens.llm.language_id import fit_language, languages
 from rosterlens.llm.line_dedup import line_report
 from rosterlens.llm.minhash import near_groups
 from rosterlens.llm.packing import packed
+from rosterlens.llm.prefix_trie import conversation_trie
 from rosterlens.llm.quality import fit_quality, quality_scores
 from rosterlens.llm.secret_scan import count_of, digest, scan_versions
 from rosterlens.llm.source_audit import source_divergence
@@ -108,9 +109,13 @@ def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence(table(spark, folder, "documents")).select("lang", "source", "part", "item", "value", "rank")
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_toxicity, op3_secret_scan, op4_line_dedup, op5_language_id, op6_packing, op7_token_counts, op8_exact_dedup, op9_minhash_dedup,
-    op10_decontamination, op11_best_fit, op12_source_audit,
+    op10_decontamination, op11_best_fit, op12_source_audit, op13_prefix_trie,
 )}
 
 SQL = {
@@ -223,4 +228,34 @@ SQL = {
                CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
         FROM part QUALIFY part = 'pair' OR rank <= 10
     """,
+    "op13_prefix_trie": """
+        WITH o AS (
+          SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')}
+                 ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+        ), h AS (
+          SELECT c, l, xor(list_reduce(
+            list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::UBIGINT)),
+            lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda k: k::UBIGINT)),
+              lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::UBIGINT) % 4 AS h FROM o
+        ), s AS (
+          SELECT h.c, list_concat(coalesce(b.l, [])[1:h], h.l[h + 1:]) AS s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20
+        ), p AS MATERIALIZED (
+          SELECT c, d, md5(CAST(s[1:d] AS VARCHAR)) AS p, s[d].x AS x, len(s) AS n
+          FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM s)
+        ), name AS MATERIALIZED (SELECT c, d, x, n, min(c) OVER (PARTITION BY d, p) AS v FROM p),
+        node AS (
+          SELECT v, d, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(coalesce(any_value(x), ''), '[^\x20\x09-\x0D]+')) AS saved,
+                 coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends FROM name GROUP BY 1, 2
+        ), tree AS MATERIALIZED (SELECT node.*, name.v AS parent FROM node LEFT JOIN name ON name.c = node.v AND name.d = node.d - 1),
+        child AS (SELECT parent AS v, d - 1 AS d, count(*) AS k FROM tree WHERE d > 0 GROUP BY 1, 2),
+        own AS MATERIALIZED (SELECT tree.*, coalesce(k, 0) AS k FROM tree LEFT JOIN child USING (v, d)),
+        total AS (
+          SELECT name.v, name.d, sum(own.saved) AS saved, count(*) FILTER (own.k = 0) AS leaves
+          FROM own JOIN name ON name.c = own.v AND name.d <= own.d GROUP BY 1, 2
+        )
+        SELECT v AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, k AS n_children, leaves AS n_leaves,
+               CAST(total.saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+        FROM own JOIN total USING (v, d)
+    """,
 }
