@@ -11,8 +11,9 @@ Which piece is the how-manieth of its length follows from its place in its task
 before, a prefix sum over (length, task). Each piece then looks up its own bin; nothing is gathered by length or bin,
 and one length may hold most pieces.
 
-Token ids are those of the whole text. This vocabulary drops white space and no token spans it, so words are encoded
-alone and kept by the worker, in a table bounded by bytes; texts that may hold a special string are encoded whole.
+Token ids are those of the whole text. This vocabulary drops white space and case and no token spans a space, or a letter
+and a sign, so the distinct words of a batch are encoded alone and kept by the worker, in a table bounded by bytes; texts
+that may hold a special string are encoded whole.
 
 Defined results: a null or empty text is its end id alone. Rows are independent documents, so repeats and null ids
 are packed like any other; pieces alike may swap bins between runs. An empty table gives no rows. Columns besides id and
@@ -21,6 +22,7 @@ text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -31,77 +33,116 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from rosterlens.llm.common import slices, staged
 
-KEPT_BYTES = 96 << 20  # of words and their ids that a worker keeps, with what Python adds to them
+KEPT_BYTES = 160 << 20  # of words and their ids that a worker keeps, with what Python adds to them
 KEPT_CHARS = 64  # longer words are not kept
 ENTRY_BYTES = 200
+BATCH_BYTES = 16 << 20
+LETTER = "[a-z\u00e0-\u00f6\u00f8-\u00ff]"
+LETTERS = re.compile(f"{LETTER}+\\Z")
+LETTER_SIGN = f"({LETTER})([.,!?;:])"
 RANK_BITS = 48
 
 
+def _parts(words: list[str], most_chars: int = 1 << 20) -> Iterator[list[str]]:
+    some, chars = [], 0
+    for word in words:
+        if some and chars + len(word) > most_chars:
+            yield some
+            some, chars = [], 0
+        some.append(word)
+        chars += len(word)
+    if some:
+        yield some
+
+
 class SpacedIds:
-    """Ids of texts as little-endian bytes, word by word."""
+    """Ids of texts, by distinct words of a batch."""
 
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
-        self.special_start = {s[:2] for s, _ in special}
+        self.special = "|".join(re.escape(start) for start in sorted({s[:2] for s, _ in special}))
         self.mark, self.mark_id = special[-1]
-        self.table: dict[str, bytes] = {"": b""}
+        # Words of lower-case letters are in their final form and one pre-token: only the model and its alphabet are needed.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.tokenizer.model.end_of_word_suffix
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.is_end = np.array([(t or "").endswith(suffix) for t in names])
+        self.table: dict[str, bytes] = {}
         self.held = 0
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _encoded(self, words: list[str]) -> Iterator[bytes]:
         """One call for many words, with a special token between them that no word has."""
         joined = f" {self.mark} ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ids == self.mark_id)
-        for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            yield ids[a:b].tobytes()
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Keeps what is short, and returns the ids of what is too long to keep."""
-        if self.held > KEPT_BYTES:
-            self.table, self.held = {"": b""}, 0
+        data = ids.tobytes()
+        for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True):
+            yield data[a:b]
+
+    def _encoded_letters(self, words: list[str]) -> Iterator[bytes]:
+        """The same for words of lower-case letters, whose last token shows that it ends a word."""
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
+        data = ids.tobytes()
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            yield data[a:b]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Keeps what is short; returns the ids of what is too long to keep."""
         long: dict[str, bytes] = {}
-        some: list[str] = []
-        chars = 0
-        for word in [*words, None]:
-            if some and (word is None or chars + len(word) > 1 << 20):
-                for known, ids in zip(some, self._encoded(some), strict=True):
-                    if len(known) > KEPT_CHARS:
-                        long[known] = ids
-                    else:
-                        self.table[known] = ids
-                        self.held += ENTRY_BYTES + len(known) + len(ids)
-                some, chars = [], 0
-            if word is not None:
-                some.append(word)
-                chars += len(word)
+        letters = LETTERS.match
+        for only_letters, encoded in ((True, self._encoded_letters), (False, self._encoded)):
+            for some in _parts([w for w in words if (letters(w) is not None) == only_letters]):
+                some_ids = list(encoded(some))
+                short = {w: ids for w, ids in zip(some, some_ids, strict=True) if len(w) <= KEPT_CHARS}
+                self.table.update(short)
+                self.held += ENTRY_BYTES * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
+                if len(short) < len(some):
+                    long.update((w, ids) for w, ids in zip(some, some_ids) if len(w) > KEPT_CHARS)
         return long
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [
-            None if any(s in text for s in self.special_start) else text.replace("\n", " ").split(" ") for text in texts
-        ]
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column of strings without nulls."""
+        odd = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        # Neither the case of A-Z nor a space between a letter and a sign makes a difference, but for distinct words.
+        plain = pc.replace_substring_regex(pc.ascii_lower(plain), LETTER_SIGN, r"\1 \2")
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if self.held > KEPT_BYTES:
-            self.table, self.held = {"": b""}, 0
-        long = self._learn(set().union(*filter(None, split)) - self.table.keys())
-        table = self.table
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield self.whole(text)
-            elif long and not long.keys().isdisjoint(words):
-                yield b"".join([table[w] if w in table else long[w] for w in words])
-            else:
-                yield b"".join(map(table.__getitem__, words))
+            self.table, self.held = {}, 0
+        found = list(map(self.table.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        if new:
+            long = self._learn(new)
+            found = [long[w] if w in long else self.table[w] for w in words] if long else list(map(self.table.__getitem__, words))
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[codes]
+        ends = np.cumsum(sizes, dtype=np.int32)  # batches are far from 2^31 bytes
+        at = np.repeat(start[codes] - ends + sizes, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = ids[at]
+        cuts = np.concatenate(([0], ends))[np.cumsum(np.concatenate(([0], split.value_lengths().to_numpy(zero_copy_only=False))))]
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            yield self.whole(texts[i].as_py()) if odd[i] else flat[a:b]
 
 
 @cache
@@ -229,20 +270,17 @@ PIECES = [
 def _cut(vocabulary: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         seen: Counter[int] = Counter()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", most_bytes=BATCH_BYTES):
             schema = pa.schema([("id", batch.schema.field("id").type), *PIECES])
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             out = []
-            for key, ids in zip(batch.column("id").to_pylist(), encode(texts), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    n = len(part) // 4
-                    out.append((
-                        key, piece, at // 4, n, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None, task, seen[n]
-                    ))
+            for key, ids in zip(batch.column("id").to_pylist(), encode(pc.fill_null(batch.column("text"), "")), strict=True):
+                ids = np.concatenate((ids, end)).astype("<u4", copy=False)
+                for piece, at in enumerate(range(0, len(ids), size)):
+                    part = ids[at : at + size]
+                    n = len(part)
+                    out.append((key, piece, at, n, zlib.crc32(part), part.view(np.int32) if with_ids else None, task, seen[n]))
                     seen[n] += 1
             yield pa.record_batch(list(map(list, zip(*out))), schema=schema)
 
