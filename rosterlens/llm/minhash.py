@@ -44,6 +44,7 @@ MULTIPLIERS = np.random.default_rng(20).integers(1, 2**31, MINIMA, dtype=np.int6
 ADDENDS = np.random.default_rng(21).integers(0, 2**32, MINIMA, dtype=np.int64).astype(np.uint32)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_ENTRIES = 500_000
+KEPT_BYTES = 64  # of a word in the cache
 MARKS, CHUNK = 1 << 27, 1 << 15  # bits in all, and bits of one bitmap of Spark's
 AT_ONCE = 1 << 16
 
@@ -55,9 +56,11 @@ def words(text: str | None) -> list[bytes]:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) > CACHE_ENTRIES:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -39,6 +39,7 @@ TAIL = ".,!?;:%*#&$|"  # signs after a word that are a pre-token of their own
 SENTENCE = (".", "!", "?")
 SPACE, NEWLINE = "Ġ", "Ċ"  # how the vocabulary spells them
 CACHE_ENTRIES = 1_200_000
+LONGEST = 64  # characters of a word in the cache; texts with longer ones are encoded whole
 
 
 @cache
@@ -63,7 +64,7 @@ class WordIds:
     def learn(self, lead: str, words: set[str]) -> dict[str, bytes]:
         """The table of the lead, with all of `words` in it; full tables begin anew.
 
-        Left out are words whose ids depend on their surroundings: empty ones, as between two spaces, those
+        Left out are words over LONGEST characters, and those whose ids depend on their surroundings: empty ones, as between two spaces, those
         with other white space, and those that hold a special string.
         """
         table = self.tables[lead]
@@ -78,7 +79,7 @@ class WordIds:
         split = []
         whole = set()
         for word in new:
-            if word.split() != [word] or (odd and self.special(word)):
+            if len(word) > LONGEST or word.split() != [word] or (odd and self.special(word)):
                 continue
             stem = word.rstrip(TAIL)
             if stem != word and stem.isalpha():

@@ -151,7 +151,7 @@ def fit_quality(sample: DataFrame, trees: int = 24, depth: int = 3, penalty: flo
 
 
 def quality_scores(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 for each text."""
+    """`docs` with a score from 0 to 1 for each text, in place of a column that has its name."""
     of = statistics(F.col(text_col))
     used = {s for rule, _ in model.rules for s, _, _ in rule}
     named = {f"{PREFIX}{n}": c.cast("double") for i, (n, c) in enumerate(of.items()) if i in used}

@@ -1,10 +1,11 @@
 """Secrets found through a ledger of content-addressed blobs.
 
-Every version of a path is one blob, named by the SHA-256 of its content. The ledger says which blobs have
-been scanned by which version of the rules, and what was found. A scan takes only (blob, rules version)
-pairs that the ledger lacks, each once however many paths hold it, appends what it finds, and joins the
+Every version of a path is one blob, named by the SHA-256 of its content. The ledger is a table that says which blobs
+have been scanned by which version of the rules, and what was found. `scan_into` reads it, scans only the (blob, rules version)
+pairs it lacks, each once however many paths hold it, appends them with what it found, and joins the
 findings back to all paths. Each rule names a sieve that every match of it must contain, so blobs that pass
-no sieve enter the ledger as clean without being moved; only the others are shuffled.
+no sieve enter the ledger as clean without being moved; only the others are shuffled. Contents are read once: that
+pass writes path, blob and, for suspects alone, the content.
 
 Defined results: null content counts as empty and has no spans. Paths that repeat get a row for each of
 their rows; null paths likewise. An empty table gives no rows. Columns besides path and content are not
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens.llm.common import slices, staged
@@ -89,8 +90,19 @@ def sieved(content: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
-def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob binary, rules_version string, found {FOUND}")
+LEDGER = f"blob binary, rules_version string, found {FOUND}"
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LEDGER)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger in a folder; empty before the first scan."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return empty_ledger(spark)
+    return spark.read.schema(LEDGER).parquet(folder)
 
 
 def scan_versions(
@@ -101,31 +113,42 @@ def scan_versions(
     content = F.coalesce(F.col(content_col).cast("string"), F.lit(""))
     rows = versions.select(F.col(path_col).alias("path"), content.alias("content"))
     rows = rows.withColumn("blob", F.unhex(F.sha2("content", 256))).withColumn("suspect", sieved(F.col("content"), rules))
+    manifest = staged(rows.select("path", "blob", "suspect", F.when(F.col("suspect"), F.col("content")).alias("content")))
     known = (ledger if ledger is not None else empty_ledger(versions.sparkSession)).where(
         F.col("rules_version") == rules_version
-    )
-    suspects = rows.where("suspect").select("blob", "content")
-    unseen = suspects if ledger is None else suspects.join(known.select("blob"), "blob", "left_anti")
+    ).select("blob", "found")
+    suspects = manifest.where("suspect").select("blob", "content")
     # One scan for each unseen blob: copies fold within their task before the shuffle.
-    todo = unseen.groupBy("blob").agg(F.first("content").alias("content"))
+    todo = suspects.join(known.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("content").alias("content"))
     fresh = staged(todo.mapInArrow(_scan(rules), f"blob binary, found {FOUND}").where(F.size("found") > 0))
-    hits = fresh if ledger is None else fresh.union(known.where(F.size("found") > 0).select("blob", "found"))
-    manifest = rows.select("path", "blob", "suspect")
+    hits = fresh.union(known.where(F.size("found") > 0))
     none = F.array().cast(FOUND)
     dirty = (
         manifest.where("suspect").join(hits, "blob", "left")
         .select("path", "blob", F.coalesce("found", none).alias("found"))
     )
     clean = manifest.where(~F.col("suspect")).select("path", "blob", none.alias("found"))
-    gained = manifest.select("blob").distinct() if ledger is None else (
-        manifest.select("blob").distinct().join(known.select("blob"), "blob", "left_anti")
-    )
+    gained = manifest.select("blob").distinct().join(known.select("blob"), "blob", "left_anti")
     gained = gained.join(fresh, "blob", "left").select(
         "blob", F.lit(rules_version).alias("rules_version"), F.coalesce("found", none).alias("found")
     )
     return dirty.union(clean), gained
 
 
+def scan_into(
+    folder: str, versions: DataFrame, path_col: str, content_col: str, rules: tuple[Rule, ...] = RULES,
+    rules_version: str = RULES_VERSION,
+) -> DataFrame:
+    """(path, blob, found) of every version; the ledger in `folder` gains what it lacked.
+
+    The ledger is the only state: a scan that fails before its append leaves it as it was, and the next one does the work again.
+    """
+    found, gained = scan_versions(versions, path_col, content_col, read_ledger(versions.sparkSession, folder), rules, rules_version)
+    found = staged(found)  # it may read the ledger, which is about to change
+    gained.write.mode("append").parquet(folder)
+    return found
+
+
 def digest(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of the spans, comma-joined."""
     if kinds:

@@ -1,9 +1,10 @@
 """How far sources of a language diverge in their terms, from stripes folded in the mapper.
 
-Each task folds whole documents into hash stripes, (lang, term) -> (documents with the term, count per source). A task whose
-stripes take `held_bytes` spills them and begins anew. Spilled stripes are dealt and sorted by key, and a stream over
-each partition merges them, one key at a time; a term in fewer than `least_docs` documents ends there. So a
-frequent word travels once per task and spill, not once per occurrence.
+Each task folds whole documents into hash stripes, (lang, term) -> per source, the count and the documents with the term. The terms of a
+batch are numbered and counted as arrays, and its stripes are added to those the task holds. When these take `held_bytes`, they are
+spilled and begun anew. A stripe is laid out as a row per source, its cells. Spilled stripes are dealt and sorted by key, and a stream over
+each partition merges them; a term in fewer than `least_docs` documents ends there. So a frequent word travels once per
+task and spill, not once per occurrence.
 
 Of the merged stripes, `term` rows come from each cell alone: its smoothed share in the source against the one in the
 whole language. `pair` rows are sums over all kept terms, most of which a source may lack. With p0 the share of a term that
@@ -22,122 +23,161 @@ columns are not read.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.llm.common import slices, staged
 
-TERM = re.compile(rb"[a-z\x80-\xff]+")  # of UTF-8 with A-Z lower-cased: ASCII letters and all that is not ASCII
+# Of UTF-8, terms are runs of ASCII letters and of all bytes that are not ASCII; A-Z are lower-cased, the rest parts them.
+TERM_BYTES = bytes(c if c >= 0x80 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 SCALE = 1_000_000_000
-HELD_BYTES = 64 << 20
-STRIPE_BYTES, CELL_BYTES = 450, 110  # what Python needs besides the bytes of a term
+HELD_BYTES = 96 << 20
 BATCH = 1 << 14
 SALTS = 16
 PAIRS = 1 << 20  # sums of pairs that a task holds
-STRIPE = pa.schema([
-    ("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())),
-    ("counts", pa.list_(pa.int64())),
-])
-STRIPE_SQL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
-
-
-class Stripes:
-    """lang -> term -> [documents, {source: count}], and about how many bytes they hold."""
-
-    def __init__(self) -> None:
-        self.found: dict[str, dict[bytes, list]] = {}
-        self.held = 0
-
-    def fold(self, lang: str, source: str, text: bytes) -> None:
-        of_lang = self.found.setdefault(lang, {})
-        new = cells = size = 0
-        for term, n in Counter(TERM.findall(text.lower())).items():
-            stripe = of_lang.get(term)
-            if stripe is None:
-                of_lang[term] = [1, {source: n}]
-                new += 1
-                size += len(term)
-                continue
-            stripe[0] += 1
-            counts = stripe[1]
-            if source in counts:
-                counts[source] += n
-            else:
-                counts[source] = n
-                cells += 1
-        self.held += STRIPE_BYTES * new + size + CELL_BYTES * cells
-
-    def spilled(self) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for lang, of_lang in self.found.items():
-            for term, (docs, counts) in of_lang.items():
-                rows.append((lang, term, docs, list(counts), list(counts.values())))
-                size += len(term) + CELL_BYTES * len(counts)
-                if len(rows) >= BATCH or size > 8 << 20:
-                    yield pa.record_batch(list(map(list, zip(*rows))), schema=STRIPE)
-                    rows, size = [], 0
-        if rows:
-            yield pa.record_batch(list(map(list, zip(*rows))), schema=STRIPE)
-        self.__init__()
+KEY, SUMS = ["lang", "term", "source"], ["n", "docs"]
+CELLS_SQL = "lang string, term string, source string, n long, docs long"
+MERGED_SQL = "lang string, term string, source string, n long, n_lang long, first boolean"
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+
+
+def stripes_of(batch: pa.RecordBatch) -> pa.Table:
+    """The cells of the stripes of some documents (lang, source, text without nulls)."""
+    texts = batch.column("text").cast(pa.binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    apart = data[int(offsets[0]) : int(offsets[-1])].to_pybytes().translate(TERM_BYTES) if data else b""
+    texts = pa.Array.from_buffers(
+        pa.string(), len(texts), [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(apart)])
+    split = pc.split_pattern(texts, " ")
+    terms = split.flatten().dictionary_encode()
+    term = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+    some = term != pc.index(terms.dictionary, "").as_py()
+    v = max(len(terms.dictionary), 1)
+    places = np.sort(doc[some] * v + term[some])
+    first = _firsts(places)
+    counts = np.diff(np.append(first, len(places)))
+    doc, term = np.divmod(places[first], v)
+    langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+    group = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy(zero_copy_only=False)
+    cell = group[doc] * v + term
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = _firsts(cell)
+    group, term = np.divmod(cell[first], v)
+    lang, source = np.divmod(group, max(len(sources.dictionary), 1))
+    return pa.table({
+        "lang": langs.dictionary.take(pa.array(lang)), "term": terms.dictionary.take(pa.array(term)),
+        "source": sources.dictionary.take(pa.array(source)),
+        "n": pa.array(np.add.reduceat(counts[order], first) if len(first) else first, pa.int64()),
+        "docs": pa.array(np.diff(np.append(first, len(cell))), pa.int64()),
+    })
 
 
 def _fold(held_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes = Stripes()
+        held: list[pa.Table] = []
+        size = 0
         for batch in slices(batches, "text"):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
-                stripes.fold(lang, source, text)
-                if stripes.held > held_bytes:
-                    yield from stripes.spilled()
-        yield from stripes.spilled()
+            held.append(stripes_of(batch))
+            size += held[-1].nbytes
+            if size > held_bytes:
+                added = pa.concat_tables(held).group_by(KEY, use_threads=False).aggregate([(c, "sum") for c in SUMS])
+                held = [added.rename_columns([*KEY, *SUMS])]
+                if (size := held[0].nbytes) > held_bytes // 2:
+                    yield from held[0].to_batches(max_chunksize=BATCH)
+                    held, size = [], 0
+        if held:
+            added = pa.concat_tables(held).group_by(KEY, use_threads=False).aggregate([(c, "sum") for c in SUMS])
+            yield from added.rename_columns([*KEY, *SUMS]).to_batches(max_chunksize=BATCH)
 
     return run
 
 
+def _cells_added(rows: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(where each cell of the groups begins in `order`, the order, sources, counts) of rows numbered by stripe."""
+    sources = rows.column("source").dictionary_encode()
+    code = sources.indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((code, group))
+    first = _firsts(group[order] * len(sources.dictionary) + code[order])
+    counts = np.add.reduceat(rows.column("n").to_numpy(zero_copy_only=False)[order], first)
+    return first, order, sources.dictionary.take(pa.array(code[order][first])), counts
+
+
 def _merge(least_docs: int):
-    """Stripes sorted by key, merged; those of rare terms are left out."""
+    """Cells sorted by stripe, merged; stripes of rare terms are left out."""
+
+    def kept(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        enough = np.add.reduceat(rows.column("docs").to_numpy(zero_copy_only=False), starts) >= least_docs
+        if not enough.any():
+            return
+        rows = rows.filter(pa.array(np.repeat(enough, sizes)))
+        sizes = sizes[enough]
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        first, order, sources, counts = _cells_added(rows, group)
+        of = group[order][first]
+        begins = _firsts(of)
+        total = np.add.reduceat(counts, begins)
+        at = pa.array(order[first])
+        flags = np.zeros(len(of), bool)
+        flags[begins] = True
+        yield pa.record_batch(
+            [rows.column("lang").take(at), rows.column("term").take(at), sources, pa.array(counts), pa.array(total[of]), pa.array(flags)],
+            ["lang", "term", "source", "n", "n_lang", "first"])
+
+    def folded(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of one stripe as its cells."""
+        first, order, sources, counts = _cells_added(rows, np.zeros(rows.num_rows, np.int64))
+        docs = np.add.reduceat(rows.column("docs").to_numpy(zero_copy_only=False)[order], first)
+        at = pa.array(order[first])
+        return pa.record_batch([rows.column("lang").take(at), rows.column("term").take(at), sources, pa.array(counts), pa.array(docs)], schema=rows.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, counts = None, 0, {}
-        rows, cells = [], 0
-        for batch in batches:
-            sources, numbers = (batch.column(c).flatten().to_pylist() for c in ("sources", "counts"))
-            ends = np.cumsum(batch.column("counts").value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            start = 0
-            for lang, term, n, end in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "docs")), ends):
-                if (lang, term) != key:
-                    if docs >= least_docs:
-                        rows.append((*key, docs, list(counts), list(counts.values())))
-                        cells += len(counts)
-                    key, docs, counts = (lang, term), 0, {}
-                docs += n
-                for source, number in zip(sources[start:end], numbers[start:end]):
-                    counts[source] = counts.get(source, 0) + number
-                start = end
-            if len(rows) >= BATCH or cells > 1 << 18:
-                yield pa.record_batch(list(map(list, zip(*rows))), schema=STRIPE)
-                rows, cells = [], 0
-        if docs >= least_docs:
-            rows.append((*key, docs, list(counts), list(counts.values())))
-        if rows:
-            yield pa.record_batch(list(map(list, zip(*rows))), schema=STRIPE)
+        open_rows: pa.RecordBatch | None = None  # of the last key, which may go on
+        folds = BATCH
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            if open_rows is not None:
+                rows = pa.concat_batches([open_rows, rows])
+            lang, term = rows.column("lang"), rows.column("term")
+            differs = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate(([True], differs)))
+            last = int(starts[-1])
+            if last:
+                yield from kept(rows.slice(0, last), starts[:-1])
+                folds = BATCH
+            open_rows = rows.slice(last)
+            if open_rows.num_rows > folds:
+                open_rows = folded(open_rows)
+                folds = 2 * open_rows.num_rows + BATCH
+        if open_rows is not None:
+            yield from kept(open_rows, np.zeros(1, np.int64))
 
     return run
 
 
 def merged_stripes(docs: DataFrame, least_docs: int = 10, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """(lang, term, docs, sources, counts) of the terms in at least `least_docs` documents of a language."""
-    spilled = docs.select("lang", "source", "text").mapInArrow(_fold(held_bytes), STRIPE_SQL)
-    dealt = spilled.repartition("lang", "term").sortWithinPartitions("lang", "term")
-    return dealt.mapInArrow(_merge(least_docs), STRIPE_SQL).withColumn("term", F.col("term").cast("string"))
+    """(lang, term, source, n, n_lang, first): the cells of terms in at least `least_docs` documents of a language.
+
+    `n_lang` is the sum of the stripe; `first` is true for one of its cells.
+    """
+    spilled = docs.select("lang", "source", "text").mapInArrow(_fold(held_bytes), CELLS_SQL)
+    # Sorted by a number first, which is quicker to compare; equal keys come together all the same.
+    dealt = spilled.withColumn("number", F.xxhash64("lang", "term")).repartition("number").sortWithinPartitions("number", "lang", "term")
+    return dealt.drop("number").mapInArrow(_merge(least_docs), MERGED_SQL)
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -252,18 +292,15 @@ def source_divergence(
         for name, c in (("lang", lang_col), ("source", source_col), ("text", text_col))
     ])
     kept = staged(merged_stripes(rows, least_docs, held_bytes))
-    of_lang = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
-    cells = kept.select("lang", "term", of_lang.alias("n_lang"), F.inline(F.arrays_zip("sources", "counts"))).withColumnsRenamed(
-        {"sources": "source", "counts": "n"})
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum(of_lang).alias("lang_total"))
+    sizes = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
     groups = staged(
         rows.select("lang", "source").distinct()
-        .join(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
+        .join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
         .join(sizes, "lang", "left").fillna(0, ["total", "v", "lang_total"])
     )
     none = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("v")))
     cells = staged(
-        cells.join(groups, ["lang", "source"])
+        kept.join(groups, ["lang", "source"])
         .select(
             "lang", "term", "source", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), none.alias("p0"),
             share(F.col("n_lang"), F.col("lang_total"), F.col("v")).alias("q"),

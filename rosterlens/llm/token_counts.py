@@ -30,7 +30,7 @@ from rosterlens.llm.common import slices
 
 SPACE = "▁"  # how the vocabulary spells a space
 CACHE_ENTRIES = 600_000
-LONGEST = 64  # characters of a pre-token in the table; longer ones are not counted and stay in their task
+LONGEST = 64  # characters of a pre-token in the table or a cache; longer ones are encoded each time
 
 
 @cache
@@ -62,13 +62,15 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class Lengths(dict):
-    """Pre-token -> tokens; misses are encoded, and the cache begins anew when it is full."""
+    """Pre-token -> tokens; misses are encoded, kept up to LONGEST characters, and the cache begins anew when it is full."""
 
     def __init__(self, model: str, table: dict[str, int]):
         super().__init__(table)
         self.sp, self.table = processor(model)[0], table
 
     def __missing__(self, part: str) -> int:
+        if len(part) > LONGEST:
+            return len(self.sp.encode(part))
         if len(self) > CACHE_ENTRIES + len(self.table):
             self.clear()
             self.update(self.table)

@@ -1,11 +1,14 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 The features of a document are the n-grams of its distinct words, each word with its edges marked. Over a
-bounded sample of labelled documents Spark counts in how many toxic and other documents the n-grams of toxic
-ones occur; the `features` whose shares differ most clearly are kept, each scaled by the log of the ratio of its shares.
+bounded sample of labelled documents, of whose words those up to `LONGEST` characters, Spark counts in how many toxic and other
+documents the n-grams of toxic ones occur; the `features` whose shares differ most clearly are kept, each scaled by the log of the ratio of its shares.
 A logistic regression over the scaled features is fitted in numpy, and all texts are scored in one pass
 without a shuffle, words looked up in the worker's cache.
 
+Scores are of whole texts. Words over `KEPT_CHARS` characters are read n-gram by n-gram and not kept, so one word may be as long
+as a text may be.
+
 Defined results: a null or empty text has no features and gets the score of the intercept. Without labelled
 rows of both classes nothing can be told apart: every score is the smoothed share of toxic rows, 0.25 if
 there are none. Rows are independent, so ties, repeats and null ids pass through. Other columns are not read.
@@ -26,13 +29,24 @@ from rosterlens.llm.common import slices, staged
 
 SIZES = (3, 4, 5, 6, 7)
 CACHE_ENTRIES = 200_000
+KEPT_CHARS = 64  # of a word in the cache
+LONGEST = 256  # characters of a word that n-grams are learnt from
+GRAMS_HELD = 1 << 20  # counts that a task holds
 NO_LETTERS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
-def grams(word: str) -> set[str]:
+def each_gram(word: str) -> Iterator[str]:
     """The n-grams of a word between its edge marks, in lower case and without signs around it."""
     marked = f"<{word.strip(NO_LETTERS).lower()}>"
-    return {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
+    return (marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1))
+
+
+def grams(word: str) -> set[str]:
+    return set(each_gram(word))
+
+
+def learnt_words(text: str | None) -> set[str]:
+    return {w for w in (text or "").split() if len(w) <= LONGEST}
 
 
 class FeaturesOf(dict):
@@ -43,9 +57,12 @@ class FeaturesOf(dict):
         self.numbers = numbers
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        got = self[word] = tuple(self.numbers[g] for g in grams(word) if g in self.numbers)
+        numbers = self.numbers
+        got = tuple({numbers[g] for g in each_gram(word) if g in numbers})
+        if len(word) <= KEPT_CHARS:
+            if len(self) > CACHE_ENTRIES:
+                self.clear()
+            self[word] = got
         return got
 
     def text(self, text: str | None) -> set[int]:
@@ -60,12 +77,19 @@ class ToxicityModel:
 
 
 def _grams_of_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of the task each n-gram occurs."""
+    """In how many texts of the task each n-gram occurs, in parts that add up."""
     counts: Counter = Counter()
+
+    def part() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
+
     for batch in slices(batches, "text"):
         for text in batch.column("text").to_pylist():
-            counts.update(set().union(*map(grams, set((text or "").split()))))
-    yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
+            counts.update(set().union(*map(grams, learnt_words(text))))
+            if len(counts) > GRAMS_HELD:
+                yield part()
+                counts.clear()
+    yield part()
 
 
 def _rows_with(numbers: dict[str, int]):
@@ -149,7 +173,7 @@ def fit_toxicity(
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 for each text."""
+    """`docs` with a score from 0 to 1 for each text, in place of a column that has its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -66,6 +66,83 @@ def test_same_as_brute_force(make, threshold):
     assert got == expected
 
 
+@pytest.mark.parametrize("bucket", [1, 2, 5])
+def test_split_buckets_lose_nothing(make, monkeypatch, bucket):
+    """Keys split again and again, down to lines that differ in one character."""
+    monkeypatch.setattr(ld, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    base = ["abcd" * 4, "number 000000 was sent", "x" * 14]
+    pairs = texts(7) + [(100 + d, "\n".join(edited(rng.choice(base), rng.choice([0, 1, 1, 2]), rng) for _ in range(4))) for d in range(40)]
+    got = {r.id: list(r.dropped) for r in ld.line_report(make(pairs), threshold=1, least_chars=12).collect()}
+    assert got == brute(pairs, 1, 12)
+
+
+def test_numbered_lines_give_few_candidates(spark):
+    """All pairs of a template would be 200 million; those one edit apart are linked, by a few candidates each."""
+    lines = spark.range(20_000).select(F.format_string("Order number %06d was sent to the customer", "id").alias("line"))
+    lines = lines.select(F.xxhash64("line").alias("node"), "line")
+    counted = lines.select("node", F.col("line").alias("rest"), ld.letter_counts(F.col("line")).alias("letters"))
+    candidates = ld.one_edit_candidates(counted, ld.CHARACTERS)
+    assert candidates.count() < 60 * 20_000  # of 199,990,000 pairs
+    linked = ld.components(ld.near_links(lines, 1))
+    assert linked.select("component").distinct().count() == 1 and linked.count() == 20_000
+
+
+def test_numbered_lines_by_words(spark):
+    lines = spark.range(5_000).select(F.format_string("this is the order with number %06d that was sent to you on monday", "id").alias("line"))
+    lines = lines.select(F.xxhash64("line").alias("node"), "line")
+    links = ld.word_links(lines, 12)
+    assert links.count() < 10 * 5_000
+    assert ld.components(links).select("component").distinct().count() == 1
+
+
+@pytest.mark.parametrize("bucket", [1, 256])
+def test_words_one_edit_apart(make, monkeypatch, bucket):
+    monkeypatch.setattr(ld, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    words = ["a", "of", "the", "plain", "ñandú", "🙂", ""]
+    base = [[rng.choice(words) for _ in range(n)] for n in (8, 9, 13, 30)] + [["same"] * 10]
+    pairs = []
+    for d in range(60):
+        lines = []
+        for _ in range(3):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                i = rng.randrange(len(line))
+                line = rng.choice([line[:i] + line[i + 1 :], line[:i] + [rng.choice(words)] + line[i:], line[:i] + ["other"] + line[i + 1 :]])
+            lines.append(" ".join(line))
+        pairs.append((d, "\n".join(lines)))
+    places = [(i, n, line) for i, t in pairs for n, line in enumerate(t.split("\n")) if len(line) >= 12]
+    distinct = list(dict.fromkeys(p[2] for p in places))
+    root = {line: line for line in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            x, y = a.split(" "), b.split(" ")
+            if distance(a, b) <= 1 or (min(len(x), len(y)) >= 8 and distance(x, y) <= 1):
+                root[find(a)] = find(b)
+    seen, expected = set(), {i: [] for i, _ in pairs}
+    for i, n, line in places:
+        if find(line) in seen:
+            expected[i].append(n)
+        seen.add(find(line))
+    got = {r.id: list(r.dropped) for r in ld.line_report(make(pairs), least_chars=12, edit_words=8).collect()}
+    assert got == expected
+
+
+def test_columns_of_any_name(spark):
+    row = (1, "a line that is long enough to count\na line that is long enough to count!", 1, 2, 3, 4, 5, 6)
+    names = ["doc_id", "text", "id", "__version", "dropped", "row", "key", "a.b"]
+    out = ld.without_repeated_lines(spark.createDataFrame([row], names))
+    assert out.columns == names
+    assert tuple(out.first()) == (1, "a line that is long enough to count", 1, 2, 3, 4, 5, 6)
+
+
 def test_edit_distance_within_the_band(spark):
     rng = random.Random(5)
     rows = []

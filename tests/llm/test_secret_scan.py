@@ -2,8 +2,9 @@ import re
 
 import pytest
 
+from rosterlens.llm import secret_scan
 from rosterlens.llm.secret_scan import (
-    BASE_RULES, FOUND, RULES, RULES_VERSION, Rule, count_of, digest, scan_versions, sieved, spans_of,
+    BASE_RULES, FOUND, RULES, RULES_VERSION, Rule, _scan, count_of, digest, read_ledger, scan_into, scan_versions, sieved, spans_of,
 )
 
 HEX = "0123456789abcdef" * 2
@@ -54,6 +55,105 @@ def test_only_unseen_blobs_are_scanned(make, spark):
     assert {r.path: len(r.found) for r in found.collect()}[1] == 1
 
 
+def slow_spans(text):
+    """The base kinds found character by character, without patterns."""
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    names = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assign(at):
+        for name in names:
+            if "".join(c.lower() if c.isascii() else "?" for c in text[at : at + len(name)]) == name:
+                end = at + len(name)
+                for quote in (1, 0):
+                    if quote and text[end : end + 1] not in ('"', "'"):
+                        continue
+                    p = run(end + quote, " ")
+                    if text[p : p + 1] in (":", "=") and text[p : p + 1]:
+                        p = run(p + 1, " ")
+                        for q in (1, 0):
+                            if q and (not text[p : p + 1] or text[p] not in "\"'"):
+                                continue
+                            stop = run(p + q, word)
+                            if stop > p + q:
+                                return stop, stop - p - q >= 6
+        return None
+
+    def access(at):
+        if text.startswith("AKIA", at):
+            end = run(at + 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+            if end > at + 4:
+                return end, end - at >= 20
+        return None
+
+    def hexed(at):
+        end = run(at, "0123456789abcdef")
+        return (end, end - at >= 24) if end > at else None
+
+    out = []
+    for order, (kind, find) in enumerate((("assign", assign), ("access", access), ("hex", hexed))):
+        at = 0
+        while at < len(text):
+            hit = find(at)
+            if hit is None:
+                at += 1
+                continue
+            if hit[1]:
+                out.append((at, order, kind, hit[0]))
+            at = hit[0]
+    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+
+
+def test_spans_against_a_slow_scanner():
+    import random
+
+    rng = random.Random(4)
+    parts = [
+        "password", "PASSWD", "secret", "tok", "token", "api_key", "apikey", "API", "AKIA", HEX, HEX[:23], "=", ":", " ", "'", '"', "\n",
+        "abc123", "x", "ABCDEFGHIJKLMNOP", "ſ", "🙂", "-_.", "\t",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(6000)] + [t or "" for t in TEXTS]
+    assert sum(len(slow_spans(t)) > 0 for t in texts) > 1000
+    for t in texts:
+        assert spans_of(t, BASE_RULES) == slow_spans(t), t
+
+
+def test_a_ledger_in_a_folder(make, spark, tmp_path, monkeypatch):
+    """The second scan reads what the first one appended, and scans nothing that it knows."""
+    folder = str(tmp_path / "ledger")
+    pairs = [(i, TEXTS[i % len(TEXTS)]) for i in range(60)]
+    expected = {i: spans_of(t or "", RULES) for i, t in pairs}
+    first = scan_into(folder, make(pairs[:40]), "doc_id", "text")
+    entries = read_ledger(spark, folder)
+    assert entries.count() == entries.select("blob").distinct().count() == len({t or "" for _, t in pairs})
+    scanned = spark.sparkContext.accumulator(0)
+
+    def counting(rules):
+        inner = _scan(rules)
+
+        def run(batches):
+            for batch in inner(batches):
+                scanned.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(secret_scan, "_scan", counting)
+    new = "token=abcdefgh1"
+    second = scan_into(folder, make(pairs[40:] + [(90, new)]), "doc_id", "text")
+    assert scanned.value == 1
+    got = {r.path: [tuple(s) for s in r.found] for r in first.union(second).collect()}
+    assert got == expected | {90: spans_of(new, RULES)}
+    assert read_ledger(spark, folder).count() == len({t or "" for _, t in pairs}) + 1
+    again = scan_into(folder, make(pairs), "doc_id", "text", rules_version=RULES_VERSION + "b")
+    assert scanned.value > 1 and {r.path: [tuple(s) for s in r.found] for r in again.collect()} == expected
+
+
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: r.kind)
 def test_rules_compile(rule: Rule):
     re.compile(rule.pattern)

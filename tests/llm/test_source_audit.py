@@ -87,16 +87,36 @@ def test_pair_sums_hold_little(monkeypatch):
     assert {(k >> 31, k & (2**31 - 1)): v for k, v in zip(sums.keys[0].tolist(), sums.values[0].tolist())} == expected
 
 
-def test_one_stripe_per_term_and_task(spark):
+def test_one_cell_per_term_and_task(spark):
     """A very frequent word travels once per task, and stripes are spilled in bounded parts."""
     docs = [("en", "a", "the " * 50 + f"w{chr(97 + i % 26)}") for i in range(400)]
     df = spark.createDataFrame(docs, "lang string, source string, text string").repartition(4)
-    spilled = df.mapInArrow(source_audit._fold(source_audit.HELD_BYTES), source_audit.STRIPE_SQL)
-    assert spilled.where("term = 'the'").count() == 4
-    assert merged_stripes(df).where("term = 'the'").first().docs == 400
+    for held, most in ((source_audit.HELD_BYTES, 4), (100, 400)):
+        spilled = df.mapInArrow(source_audit._fold(held), source_audit.CELLS_SQL).where("term = 'the'")
+        assert spilled.count() <= most
+        assert spilled.selectExpr("sum(n)", "sum(docs)").first() == (20_000, 400)
+    assert merged_stripes(df).where("term = 'the'").first()[2:] == ("a", 20_000, 20_000, True)
     long = spark.createDataFrame([("en", "a", "é" * 2_000_000)] * 10, "lang string, source string, text string")
     assert merged_stripes(long).selectExpr("length(term) AS n").collect() == [(2_000_000,)]
 
 
+def test_a_hot_stripe_is_folded_as_it_comes(monkeypatch):
+    """A key with very many spilled cells is merged in bounded parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(source_audit, "BATCH", 8)
+
+    def batches():
+        for i in range(200):
+            yield pa.record_batch({
+                "lang": ["en"] * 5, "term": ["the"] * 4 + ["thf" if i == 199 else "the"], "source": [f"s{(i + j) % 3}" for j in range(5)],
+                "n": [1] * 5, "docs": [1] * 5})
+
+    [out] = list(source_audit._merge(10)(batches()))
+    got = {r["source"]: r for r in out.to_pylist()}
+    assert set(got) == {"s0", "s1", "s2"} and sum(r["n"] for r in got.values()) == 999
+    assert {r["n_lang"] for r in got.values()} == {999} and sum(r["first"] for r in got.values()) == 1
+
+
 def test_empty(spark):
     assert source_divergence(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
