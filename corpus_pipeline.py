@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import importable, staged, table
+from rosterlens.llm.common import importable, quoted, staged, table, unused
 from rosterlens.llm.decontaminate import contamination
 from rosterlens.llm.labelled import labelled_sample
-from rosterlens.llm.line_dedup import BY_LENGTH, LEAST_WORDS, without_repeated_lines
+from rosterlens.llm.line_dedup import EDIT_WORDS, LEAST_WORDS, without_repeated_lines
 from rosterlens.llm.minhash import near_groups
 from rosterlens.llm.packing import packed
 from rosterlens.llm.toxicity import fit_toxicity, toxicity_scores
@@ -28,12 +28,12 @@ TOXIC_FROM = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     importable(spark)
     sample = labelled_sample(docs, table(spark, folder, "labels"), "toxic", F.lit(True), "doc_id", "text")
-    scored = toxicity_scores(docs, fit_toxicity(sample), score_col="__toxic")
-    return scored.where(F.col("__toxic") < TOXIC_FROM).drop("__toxic")
+    score = unused(docs, "toxic")
+    return toxicity_scores(docs, fit_toxicity(sample), score_col=score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    out = without_repeated_lines(docs, threshold=BY_LENGTH, least_words=LEAST_WORDS)
+    out = without_repeated_lines(docs, least_words=LEAST_WORDS, edit_words=EDIT_WORDS)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
 
@@ -45,14 +45,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     )
     place = F.struct(F.col("id").isNull(), "id", "version")
     first = rows.groupBy("group").agg(F.min(place).alias("first"))
-    marked = staged(rows.join(first, "group").select(
-        F.col("id").alias("__id"), F.col("version").alias("__version"), place.eqNullSafe(F.col("first")).alias("stays"), "n"
-    ))
-    # What stays as it is needs no mark; of a row that is repeated one stays.
-    gone, repeated = marked.where("NOT stays OR n > 1").drop("stays", "n"), marked.where("stays AND n > 1").drop("stays", "n")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
-    once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(gone, same, "left_anti").unionByName(once)
+    marked = staged(rows.join(first, "group").select("id", "version", place.eqNullSafe(F.col("first")).alias("stays"), "n"))
+    # What stays as it is needs no mark; of a row that is repeated one stays. Rows travel whole, so their columns may have any name.
+    gone, repeated = marked.where("NOT stays OR n > 1"), marked.where("stays AND n > 1")
+    whole = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"),
+        F.xxhash64(F.col("text").cast("string")).alias("hash"),
+    )
+    same = F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("version"))
+    once = whole.join(repeated, same, "left_semi").withColumn("text", F.col("row.text")).dropDuplicates(["key", "text"]).drop("text")
+    return whole.join(gone, same, "left_anti").unionByName(once).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
