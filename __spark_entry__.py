@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from functools import cache, partial
+from collections import Counter
+from collections.abc import Callable, Mapping
+from concurrent.futures import Future, ThreadPoolExecutor
+from contextvars import copy_context
+from functools import cache
 from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +19,12 @@ from rosterlens.functions.text import html_clean, strip_p, words
 from rosterlens.operators import search
 from rosterlens.operators.cdc import latest_row
 from rosterlens.operators.checks import AcceptedValues, NotNull, Unique, UniqueCombination, check_table
+from rosterlens.operators.heavy import KeySketches
 from rosterlens.operators.joins import routed_left_join, smallest_shared
-from rosterlens.operators.numbering import number_rows, number_rows_large
+from rosterlens.operators.numbering import number_rows
 from rosterlens.operators.sets import fan_out_key, tagged_union
 from rosterlens.plans import marts, warehouse
-from rosterlens.plans.build import CHECKS, MODELS, check_all, inputs
+from rosterlens.plans.build import CHECKS, LOOKUP_KEYS, MODELS, check_all, inputs, make, watched
 from rosterlens.sources import sinks
 from rosterlens.sources.shaping import FAN_OUT_CLIENT, FAN_OUT_COPIES, SHAPES, tables_in
 from rosterlens.sources.staging import stage, staging_dir
@@ -29,49 +33,70 @@ Query = Callable[[SparkSession, str], DataFrame]
 OPTIONS = {
     "f_team_sessions_final": {"fan_out_client": FAN_OUT_CLIENT, "fan_out_copies": FAN_OUT_COPIES}
 }
-# Tables that queries read several times: written once per query, as the build job does.
-SHARED = {
-    "f_sessions_final", "f_team_sessions_final", "f_live_skills", "f_ondemand_skills", "d_scenario",
-    "d_building_blocks", "f_events_mindset", "f_session_score", "m_client_user_role", "m_session_learner",
-}
+WRITERS = 4  # tables written side by side
+
+
+def shared_tables(wanted: Mapping[str, int]) -> set[str]:
+    """Models that are read more than once when `wanted` are made, and those that large lookups go to.
+
+    They are written once, as the build job does; the others stay plans, of which only what is used is computed.
+    """
+    reads = Counter(wanted)
+    for name in reversed(MODELS):  # users before what they use
+        if reads[name]:
+            reads.update(t for t in inputs(name) if t in MODELS)
+    often = {"m_client_user_role", "f_sessions_final", "d_building_blocks"}  # read in several roles by one model
+    return {
+        name for name, n in reads.items()
+        if n > 1 or (n and name not in wanted and (name in LOOKUP_KEYS or name in often))
+    } & MODELS.keys()
 
 
 class Trial:
     """Shaped feeds and models over the tables of one folder, each made when first asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, **wanted: int):
+        """`wanted`: the models a query asks for, and how many times it reads them."""
         self.spark = spark
         self.base = tables_in(spark, folder)
-        self.made: dict[str, DataFrame] = {}
+        self.keys = KeySketches()
+        self.made: dict[str, DataFrame | Future] = {}
+        shared = shared_tables(wanted)
+        if shared:
+            with ThreadPoolExecutor(WRITERS) as pool:
+                for name in MODELS:  # those a table needs are asked for before it
+                    if name in shared:
+                        self.made[name] = pool.submit(copy_context().run, self.written, name)
+            self.made = {name: df.result() if isinstance(df, Future) else df for name, df in self.made.items()}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            if name in SHAPES:
-                self.made[name] = SHAPES[name](self.base)
-            else:
-                df = self.model(name)
-                self.made[name] = stage(df) if name in SHARED else df
-        return self.made[name]
+            self.made[name] = SHAPES[name](self.base) if name in SHAPES else self.model(name)
+        found = self.made[name]
+        return found.result() if isinstance(found, Future) else found
 
     def model(self, name: str) -> DataFrame:
-        return MODELS[name](**{t: self[t] for t in inputs(name)}, **OPTIONS.get(name, {}))
+        return make(name, {t: self[t] for t in inputs(name)}, self.keys, OPTIONS.get(name))
+
+    def written(self, name: str) -> DataFrame:
+        return stage(watched(self.keys, name, self.model(name)))
 
     def call(self, part: Callable[..., DataFrame], *names: str, **more: object) -> DataFrame:
         return part(*[self[n] for n in names], **more)
 
 
 def _live_sessions(t: Trial) -> DataFrame:
-    return t.call(marts.live_sessions, "f_live_session", "m_session_learner", "m_client_user_role")
+    return t.call(marts.live_sessions, "f_live_session", "m_session_learner", "m_client_user_role", keys=t.keys)
 
 
 def _ondemand_sessions(t: Trial) -> DataFrame:
-    return t.call(marts.ondemand_sessions, "f_ondemand_session", "f_session_score")
+    return t.call(marts.ondemand_sessions, "f_ondemand_session", "f_session_score", keys=t.keys)
 
 
 def _current_assignments(t: Trial) -> DataFrame:
     return t.call(
         marts.current_team_scenarios,
-        "d_users", "m_client_user_role", "m_team_member", "m_scenario_team",
+        "d_users", "m_client_user_role", "m_team_member", "m_scenario_team", keys=t.keys,
     ).select("user_id", "team_id", "scenario_id")
 
 
@@ -175,7 +200,10 @@ def routing_join(t: Trial, **bound: int) -> DataFrame:
     ondemand = t["f_ondemand_skills"].select(F.col("sessionid").alias("id"), "skill", "skill_score")
     live = t["f_live_skills"].select(F.col("sessionid").alias("id"), "event_number", "skill_id")
     sessions = t["f_sessions_final"].select("id", "learner_id", "session_type")
-    return routed_left_join(sessions, "id", "session_type", {"ondemand": ondemand, "live": live}, **bound)
+    heavy = {
+        "ondemand": t.keys.of("f_ondemand_skills", "sessionid"), "live": t.keys.of("f_live_skills", "sessionid"),
+    }
+    return routed_left_join(sessions, "id", "session_type", {"ondemand": ondemand, "live": live}, heavy=heavy, **bound)
 
 
 def routing_join_split(t: Trial) -> DataFrame:
@@ -184,7 +212,7 @@ def routing_join_split(t: Trial) -> DataFrame:
 
 
 def user_client_roles(t: Trial) -> DataFrame:
-    return t.call(marts.user_roles, "d_users", "m_user_client", "d_client", "m_client_user_role")
+    return t.call(marts.user_roles, "d_users", "m_user_client", "d_client", "m_client_user_role", keys=t.keys)
 
 
 def anti_history(t: Trial) -> DataFrame:
@@ -212,24 +240,27 @@ def fan_out_client(t: Trial) -> DataFrame:
     )
 
 
-def attempt_numbers(t: Trial, number: Callable[..., DataFrame] = number_rows) -> DataFrame:
+def attempt_numbers(t: Trial, **bound: int) -> DataFrame:
     keys = ["scenario_client_id", "learner_id", "scenario_id", "session_type"]
-    return number(t["f_sessions_final"], keys, ["start_date", "id"], "attempt").select(
+    order = ["start_date", "id"]
+    rows = stage(t.keys.watch("attempts", t["f_sessions_final"].select(*keys, *order), [keys], nulls=True))
+    return number_rows(rows, keys, order, "attempt", heavy=t.keys.of("attempts", *keys), **bound).select(
         "id", "learner_id", "scenario_id", "session_type", "start_date", "attempt"
     )
 
 
 def attempt_numbers_ranged(t: Trial) -> DataFrame:
     """The same with a bound that the large groups, as those without a learner, are over."""
-    return attempt_numbers(t, partial(number_rows_large, task_rows=300))
+    return attempt_numbers(t, task_rows=300)
 
 
 def competency_attempts(t: Trial) -> DataFrame:
+    keys, order = ["strengthAssessmentId", "competency"], ["recordeddate", "sessionid", "event_number"]
     named = t["f_live_skills"].withColumn("competency", F.coalesce("mindset_score", "skill_name"))
-    return number_rows(
-        named, ["strengthAssessmentId", "competency"], ["recordeddate", "sessionid", "event_number"],
-        "CompetencyAttempt",
-    ).select("sessionid", "event_number", "skill_id", "CompetencyAttempt")
+    rows = stage(t.keys.watch("competencies", named.select(*keys, *order, "skill_id"), [keys], nulls=True))
+    return number_rows(rows, keys, order, "CompetencyAttempt", heavy=t.keys.of("competencies", *keys)).select(
+        "sessionid", "event_number", "skill_id", "CompetencyAttempt"
+    )
 
 
 def mindset_types(t: Trial) -> DataFrame:
@@ -311,12 +342,29 @@ QUERIES: dict[str, Callable[[Trial], DataFrame]] = {
 MARTS = {"f_sessions_final", "f_team_sessions_final", "f_score"}
 
 
-def _over(query: Callable[[Trial], DataFrame]) -> Query:
-    return lambda spark, folder: query(Trial(spark, folder))
+# Models that queries ask for, and how many times they read them where it is not once.
+READS: dict[str, dict[str, int]] = {
+    "latest_archived_hidden": {"d_users": 1},
+    "best_score_lookup": {"m_session_learner": 2, "m_client_user_role": 2, "f_live_skills": 1},
+    "tagged_union_sessions": {"m_session_learner": 2, "m_client_user_role": 2, "f_session_score": 2},
+    "routing_join": {"f_ondemand_skills": 2, "f_live_skills": 2, "f_sessions_final": 1},
+    "routing_join_split": {"f_ondemand_skills": 2, "f_live_skills": 2, "f_sessions_final": 1},
+    "user_client_roles": {"m_client_user_role": 2},
+    "current_assignments": {"m_client_user_role": 2, "m_team_member": 2, "m_scenario_team": 2},
+    "anti_history": {"m_client_user_role": 2, "m_team_member": 2, "m_scenario_team": 2, "f_sessions_final": 1},
+    "one_team_per_pair": {"f_sessions_final": 1, "m_client_user_role": 1},
+    "check_declared": {name: 1 for name in CHECKS},
+    **{name: {name: 1} for name in MODELS},
+    "skill_rank": {"f_ondemand_skills": 1}, "sessions_final": {"f_sessions_final": 1},
+    "team_sessions_final": {"f_team_sessions_final": 1}, "score": {"f_score": 1},
+    "attempt_numbers": {"f_sessions_final": 1}, "attempt_numbers_ranged": {"f_sessions_final": 1},
+    "competency_attempts": {"f_live_skills": 1}, "proficiency_ladder": {"f_live_skills": 1},
+    "mindset_types": {"m_skill_score_mindset": 1},
+}
 
 
-def _model(name: str) -> Query:
-    return lambda spark, folder: Trial(spark, folder).model(name)
+def _over(name: str, query: Callable[[Trial], DataFrame]) -> Query:
+    return lambda spark, folder: query(Trial(spark, folder, **READS.get(name, {})))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -327,8 +375,8 @@ def entry(spark: SparkSession) -> DataFrame:
 @cache
 def queries() -> dict[str, Query]:
     """Every warehouse model under its name, then the operators and marts."""
-    models = {name: _model(name) for name in MODELS if name not in MARTS}
-    return models | {name: _over(query) for name, query in QUERIES.items()} | _document_queries()[0]
+    models = {name: _over(name, lambda t, name=name: t.model(name)) for name in MODELS if name not in MARTS}
+    return models | {name: _over(name, query) for name, query in QUERIES.items()} | _document_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,18 +57,50 @@ def _failing(check: Check) -> Column:
     repeated = F.col("_n") > 1
     match check:
         case Unique(c):
-            return F.count_if(repeated & col(c).isNotNull())
+            return F.when(repeated & col(c).isNotNull(), 1)
         case NotNull(c):
-            return F.sum(F.when(col(c).isNull(), F.col("_n")).otherwise(0))
+            return F.when(col(c).isNull(), F.col("_n"))
         case AcceptedValues(c, values):
-            return F.count_if(~col(c).cast("string").isin(*values))
+            return F.when(~col(c).cast("string").isin(*values), 1)
         case UniqueCombination():
-            return F.count_if(repeated)
+            return F.when(repeated, 1)
 
 
-def _results(df: DataFrame, measures: Sequence[tuple[Check, Column]]) -> DataFrame:
-    """One aggregation over `df`, laid out as a row per check."""
-    totals = df.agg(*[m.alias(f"m{i}") for i, (_, m) in enumerate(measures)])
+def check_table(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """(check, columns, failing_rows) for every check, from one scan.
+
+    The sets of columns whose values are counted are grouping sets: each row is expanded once per set, equal values
+    combine before the one shuffle they share, and a last aggregation lays the groups out as a row per check. Null
+    checks go with a set that has their column, or are counted beside the first set. Tables with null checks alone are not
+    grouped.
+    """
+    sets: dict[frozenset[str], list[Check]] = {}
+    for check in checks:
+        if not isinstance(check, NotNull):
+            sets.setdefault(frozenset(columns_of(check)), []).append(check)
+    alone = []
+    for check in checks:
+        if isinstance(check, NotNull):
+            with_it = [found for columns, found in sets.items() if check.column in columns]
+            (with_it[0] if with_it else alone).append(check)
+
+    nulls = [F.count_if(col(c.column).isNull()).alias(f"_nulls{i}") for i, c in enumerate(alone)]
+    if sets:
+        names = sorted(frozenset().union(*sets))
+        # A column's bit is set where it is not part of the set; the first column has the highest one.
+        ids = [sum(1 << i for i, c in enumerate(reversed(names)) if c not in columns) for columns in sets]
+        groups = df.groupingSets([[col(c) for c in sorted(columns)] for columns in sets], *map(col, names)).agg(
+            F.grouping_id().alias("_set"), F.count("*").alias("_n"), *nulls
+        )
+        measures = [
+            (check, F.sum(F.when(F.col("_set") == id, _failing(check))))
+            for id, found in zip(ids, sets.values()) for check in found
+        ]
+        measures += [(c, F.sum(F.when(F.col("_set") == ids[0], F.col(f"_nulls{i}")))) for i, c in enumerate(alone)]
+        totals = groups.agg(*[m.alias(f"m{i}") for i, (_, m) in enumerate(measures)])
+    else:
+        measures = [(c, None) for c in alone]
+        totals = df.agg(*[n.alias(f"m{i}") for i, n in enumerate(nulls)])
     rows = F.array(*[
         F.struct(
             F.lit(kind_of(check)).alias("check"),
@@ -79,28 +110,3 @@ def _results(df: DataFrame, measures: Sequence[tuple[Check, Column]]) -> DataFra
         for i, (check, _) in enumerate(measures)
     ])
     return totals.select(F.inline(rows))
-
-
-def check_table(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """(check, columns, failing_rows) for every check.
-
-    Each set of columns takes one aggregation, which combines equal values before the shuffle. Null checks
-    go with a set that has their column; those without one share a pass.
-    """
-    groups: dict[tuple[str, ...], list[Check]] = {}
-    for check in checks:
-        if not isinstance(check, NotNull):
-            groups.setdefault(columns_of(check), []).append(check)
-    null_only = []
-    for check in checks:
-        if isinstance(check, NotNull):
-            with_it = [found for columns, found in groups.items() if check.column in columns]
-            (with_it[0] if with_it else null_only).append(check)
-
-    parts = []
-    if null_only:
-        parts.append(_results(df, [(c, F.count_if(col(c.column).isNull())) for c in null_only]))
-    for columns, found in groups.items():
-        sizes = df.groupBy(*map(col, columns)).agg(F.count("*").alias("_n"))
-        parts.append(_results(sizes, [(c, _failing(c)) for c in found]))
-    return reduce(DataFrame.unionByName, parts)

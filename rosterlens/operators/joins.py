@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from .heavy import Listed, any_null, common_kinds, heavy_keys, key_text, with_route
 from .sets import tagged_union
 
-# A key with more rows than this is split. At most rows / SPLIT_ROWS keys can be that large, which is
-# what bounds the broadcast list of them: 400,000 short keys for two trillion rows.
+# A key with more rows than this is split.
 SPLIT_ROWS = 5_000_000
 NULL_SPREAD = 4096
 
@@ -33,36 +32,50 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def split_left_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], split_rows: int = SPLIT_ROWS
+    left: DataFrame, right: DataFrame, on: Sequence[str], split_rows: int = SPLIT_ROWS,
+    heavy: Listed | DataFrame | None = None,
 ) -> DataFrame:
     """`left.join(right, on, "left")` that also splits large right keys.
 
-    Spark's own skew handling splits the left side of a left join, never the right. So the rows per
-    right key are counted, with map-side combine over the key columns, as part of the plan. The right rows of a
-    key above `split_rows` are dealt out by a hash of the row and of the task it comes from, which parts
-    copies too, and the left rows of that key are repeated once per part. A large key has a match in some
-    part, so repeats that met an empty part are dropped. Left rows with a NULL key match nothing; they
+    Spark's own skew handling splits the left side of a left join, never the right. `heavy` lists the keys
+    with the most rows, from a sketch taken when the right table was written, so that the right side is derived
+    once. Without a list they are sketched within the plan, from `heavy` if it is a table with the keys of the right side, which
+    may be cheaper to derive, or else from the right side. Every key listed must occur on the right. The right rows of a key
+    above `split_rows` are dealt out by a hash of the row and of the task it comes from, which parts copies too, and
+    the left rows of that key are repeated once per part. A large key has a match in some part, so repeats that met an empty part are dropped. Left rows with a NULL key match nothing; they
     are spread instead of meeting in one task. Rows are moved as they are, so no value changes.
     """
     right = right.dropna(subset=list(on))
-    large = F.broadcast(
-        right.groupBy(*on).count().filter(F.col("count") > split_rows)
-        .select(*on, F.ceil(F.col("count") / split_rows).cast("int").alias("_parts"))
-    )
     columns = [*left.columns, *(c for c in right.columns if c not in on)]
-
-    any_null = reduce(Column.__or__, [col(c).isNull() for c in on])
     spread = -1 - F.pmod(row_hash(left), F.lit(NULL_SPREAD)).cast("int")
+    kinds = common_kinds(left, right, on)
+    if isinstance(heavy, list) and any(right.schema[c].dataType != kinds[c] for c in on):
+        heavy = None  # listed in another type than the keys are compared in
+    if isinstance(heavy, list):
+        heavy = [(key, n) for key, n in heavy if n > split_rows]
+        if not heavy:
+            parted = left.withColumn("_part", F.when(any_null(on), spread).otherwise(0))
+            return parted.join(right.withColumn("_part", F.lit(0)), [*on, "_part"], "left").select(*columns)
+        found = left.sparkSession.createDataFrame(heavy, "key string, rows long")
+    else:
+        found = heavy_keys(right if heavy is None else heavy, on, kinds)
+    large = F.broadcast(
+        found.filter(F.col("rows") > split_rows)
+        .select(F.col("key").alias("_key"), F.ceil(F.col("rows") / split_rows).cast("int").alias("_parts"))
+    )
     parts = (
-        F.when(any_null, F.array(spread))
+        F.when(any_null(on), F.array(spread))
         .when(F.col("_parts").isNull(), F.array(F.lit(0)))
         .otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
     )
-    repeated = left.join(large, list(on), "left").withColumn("_part", F.explode(parts))
+    repeated = (
+        left.withColumn("_key", key_text(left, on, kinds)).join(large, "_key", "left")
+        .withColumn("_part", F.explode(parts)).drop("_key")
+    )
     part = F.when(F.col("_parts").isNull(), 0).otherwise(
         F.pmod(F.xxhash64(row_hash(right), F.spark_partition_id()), F.col("_parts"))
     )
-    dealt = right.join(large, list(on), "left").select(
+    dealt = right.withColumn("_key", key_text(right, on, kinds)).join(large, "_key", "left").select(
         *right.columns, part.cast("int").alias("_part"), F.lit(True).alias("_found")
     )
     return (
@@ -78,14 +91,17 @@ def routed_left_join(
     route: str,
     branches: Mapping[str, DataFrame],
     split_rows: int = SPLIT_ROWS,
+    heavy: Mapping[str, Listed | None] | None = None,
 ) -> DataFrame:
     """Left join each row to the branch named by its `route` column, on `key`.
 
     Every branch has a column named `key`. A row can match one branch only, so the branches are
     unioned with their names as a second key and the left side is shuffled once, not once per branch.
-    Rows with another route stay, with NULLs.
+    Rows with another route stay, with NULLs. `heavy` lists the keys of each branch, as for `split_left_join`.
     """
-    return split_left_join(left, tagged_union(branches, route), [key, route], split_rows)
+    one_kind = len({df.schema[key].dataType for df in branches.values()}) == 1
+    listed = with_route({name: (heavy or {}).get(name) for name in branches}) if one_kind else None
+    return split_left_join(left, tagged_union(branches, route), [key, route], split_rows, listed)
 
 
 def smallest_shared(

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col
 from ..functions.text import not_blank
@@ -66,16 +67,29 @@ def pivot_entries(
     """Spread an array of entries over columns `<id>_<field>`, within the row.
 
     All entries of an output row already sit in one input row, so nothing is exploded, shuffled or
-    grouped. A repeated id gives the largest text per field; rows without a listed id vanish.
+    grouped. The entries are folded into an array with a slot per id, in one pass over them; the columns are then read from
+    their slots, so there is one expression over the entries, however many ids there are. A repeated id gives the largest text per
+    field; rows without a listed id vanish.
     """
-    listed = F.filter(col(entries), lambda e: e[id_field].isin(*ids))
-    kept = df.select(*map(col, carry), listed.alias("_listed")).filter(F.size("_listed") > 0)
+    kinds = {f.name: f.dataType for f in df.schema[entries].dataType.elementType.fields}
+    slot = T.StructType([T.StructField(f, kinds[f]) for f in fields])
+    empty = F.array_repeat(F.lit(None).cast(slot), len(ids))
+    wanted = F.array(*map(F.lit, ids))
+
+    def larger(a: Column, b: Column) -> Column:
+        return F.greatest(a, b)  # of what is not NULL
 
-    def same_id(wanted: str) -> Column:
-        return F.filter(F.col("_listed"), lambda e: e[id_field] == wanted)
+    def put(slots: Column, entry: Column) -> Column:
+        at = F.array_position(wanted, entry[id_field])
+        held = F.get(slots, (at - 1).cast("int"))
+        merged = F.struct(*[larger(held[f], entry[f]).alias(f) for f in fields])
+        before, after = F.slice(slots, F.lit(1), (at - 1).cast("int")), F.slice(slots, (at + 1).cast("int"), F.lit(len(ids)))
+        return F.concat(before, F.array(merged), after)
 
-    split = kept.select(*map(col, carry), *[same_id(i).alias(f"_{i}") for i in ids])
-    return split.select(
+    listed = F.filter(col(entries), lambda e: e[id_field].isin(*ids))
+    kept = df.select(*map(col, carry), listed.alias("_listed")).filter(F.size("_listed") > 0)
+    folded = kept.select(*map(col, carry), F.aggregate("_listed", empty, put).alias("_slots"))
+    return folded.select(
         *map(col, carry),
-        *[F.array_max(F.col(f"_{i}.{f}")).alias(f"{i}_{f}") for i in ids for f in fields],
+        *[F.col("_slots")[i][f].alias(f"{id}_{f}") for i, id in enumerate(ids) for f in fields],
     )

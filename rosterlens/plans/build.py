@@ -5,19 +5,19 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Mapping
 from dataclasses import replace
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import session_column
-from ..operators.numbering import TASK_ROWS, number_rows_large, number_within_large
+from ..operators.heavy import KeySketches
 from ..operators.checks import (
     AcceptedValues, Check, NotNull, Unique, UniqueCombination, check_table, columns_of, kind_of,
 )
 from ..sources.raw import RAW_TABLES, read_raw
 from ..sources.sinks import describe_table, write_table
-from ..sources.staging import staging_run
+from ..sources.staging import stage, staging_run
 from . import marts, warehouse
 
 # Every model after those it reads.
@@ -44,17 +44,55 @@ VIEWS = {
     "m_skill_score_mindset",
 }
 DISABLED = {"f_skill_domain_name"}
+# Keys by which later models look a table up: those with many rows are sketched when it is written.
+SESSION = "<session>"
+LOOKUP_KEYS: dict[str, list[tuple[str, ...]]] = {
+    "m_client_user_role": [("user_id",)],
+    "m_session_learner": [("session_id",)],
+    "m_skill_score_mindset": [("mindset_id",)],
+    "m_team_member": [("user_role_id",)],
+    "m_scenario_team": [("team_id",)],
+    "f_session_score": [("sessionid",)],
+    "f_ondemand_skills": [("sessionid",)],
+    "f_live_skills": [(SESSION,)],
+    "f_sessions_final": [("learner_id", "scenario_id")],
+    "d_scenario_bank_event_scoring": [("scenario_id",)],
+}
 # What is kept with every table.
 META = {"owner": "analytics", "pii": False}
 CATALOG = "catalog:"
 
 
-def large_groups(task_rows: int = TASK_ROWS) -> dict[str, dict[str, object]]:
-    """Options with which the models that number rows measure their groups first, and split large ones."""
-    return {
-        "f_ondemand_skills": {"number": partial(number_rows_large, task_rows=task_rows)},
-        "f_score": {"number": partial(number_within_large, task_rows=task_rows)},
-    }
+def watched(keys: KeySketches, name: str, df: DataFrame) -> DataFrame:
+    """`df` as it is, its lookup keys sketched while it is written."""
+    found = [tuple(session_column(df) if c == SESSION else c for c in on) for on in LOOKUP_KEYS.get(name, ())]
+    return keys.watch(name, df, found)
+
+
+# What models number, and by which groups: written first, its groups sketched, and numbered from there.
+NUMBERED: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame], tuple[str, ...]]] = {
+    "f_ondemand_skills": (warehouse.ondemand_skill_scores, warehouse.ranked_skills, ("sessionid",)),
+    "f_score": (marts.scored_rows, marts.numbered_scores, ("user_id",)),
+}
+
+
+def make(
+    name: str, tables: Mapping[str, DataFrame], keys: KeySketches, options: Mapping[str, object] | None = None,
+    staged: bool = True,
+) -> DataFrame:
+    """A model from its tables. What it numbers is staged first, unless the whole is to stay a plan."""
+    options = dict(options or {})
+    read = {t: tables[t] for t in inputs(name)}
+    if staged and name in NUMBERED:
+        rows_of, number, groups = NUMBERED[name]
+        own = {k: v for k, v in options.items() if k in inspect.signature(rows_of).parameters}
+        rest = {k: v for k, v in options.items() if k not in own}
+        if "keys" in inspect.signature(rows_of).parameters:
+            own["keys"] = keys
+        rows = stage(keys.watch(f"rows of {name}", rows_of(**read, **own), [groups], nulls=True))
+        return number(rows, heavy=keys.of(f"rows of {name}", *groups), **rest)
+    takes = "keys" in inspect.signature(MODELS[name]).parameters
+    return MODELS[name](**read, **({"keys": keys} if takes else {}), **options)
 
 
 def comment_of(model: str) -> str:
@@ -94,23 +132,26 @@ def build_all(
         {name: read_raw(spark, raw, name) for name in RAW_TABLES}
         if isinstance(raw, str) else dict(raw)
     )
-    options = {k: {**large_groups().get(k, {}), **(options or {}).get(k, {})} for k in MODELS}
     schema = out.removeprefix(CATALOG) if out.startswith(CATALOG) else None
-    built = {}
-    for name, model in MODELS.items():
-        if name in DISABLED and not with_disabled:
-            continue
-        with staging_run(spark):
-            df = model(**{t: tables[t] for t in inputs(name)}, **options[name])
+    built, keys = {}, KeySketches()
+    with staging_run(spark):
+        for name in MODELS:
+            if name in DISABLED and not with_disabled:
+                continue
+            df = make(name, tables, keys, (options or {}).get(name))
             if name in VIEWS:
                 df.createOrReplaceTempView(name)
-            else:
-                to = f"{schema}.{name}" if schema else f"{out.rstrip('/')}/{name}"
-                write_table(df, to, order=["session_id"] if name == "f_score" else (), table=bool(schema))
-                if schema:
-                    describe_table(spark, to, comment_of(name), column_comments(df), META)
-                df = spark.table(to) if schema else spark.read.parquet(to)
-        tables[name] = built[name] = df
+                built[name] = df
+                # Views that are looked up are written for this build alone.
+                tables[name] = stage(watched(keys, name, df)) if name in LOOKUP_KEYS else df
+                continue
+            to = f"{schema}.{name}" if schema else f"{out.rstrip('/')}/{name}"
+            write_table(
+                watched(keys, name, df), to, order=["session_id"] if name == "f_score" else (), table=bool(schema)
+            )
+            if schema:
+                describe_table(spark, to, comment_of(name), column_comments(df), META)
+            tables[name] = built[name] = spark.table(to) if schema else spark.read.parquet(to)
     return built
 
 
@@ -123,7 +164,6 @@ def _keys(*columns: str) -> list[Check]:
 
 
 # The declared checks. SESSION stands for the survey's session id column.
-SESSION = "<session>"
 CHECKS: dict[str, list[Check]] = {
     "d_building_blocks": _key("id"),
     "d_client": _key("id"),

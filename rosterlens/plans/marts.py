@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import session_column
 from ..functions.scoring import is_positive, session_status
+from ..operators.heavy import KeySketches, Listed
 from ..operators.joins import SPLIT_ROWS, routed_left_join, split_left_join, smallest_shared
-from ..operators.numbering import Numbering, number_within
+from ..operators.numbering import TASK_ROWS, Numbering, number_within
 from ..operators.sets import fan_out_key, tagged_union
 
 # The client whose rows are shown under two further client ids.
 FAN_OUT_CLIENT = "55d98b8a-a265-4be5-aa95-e32eeeb4e5d9"
 FAN_OUT_COPIES = ("d2f80bc4-6d31-4634-b4a3-338348ebf1dc", "7d3c6a30-b724-4165-b40c-6301fd92f985")
 
+
+def listed(keys: KeySketches | None, table: str, *on: str) -> Listed | None:
+    """The heaviest keys of a table that was written; None leaves finding them to the join."""
+    return keys.of(table, *on) if keys else None
+
+
 SESSION_COLUMNS = [
     "status", "actual_start_date", "actual_end_date", "start_date", "end_date", "billable", "sub_type",
     "late_canceled", "final_session_sub_status", "session_date",
@@ -28,6 +35,7 @@ def live_sessions(
     m_session_learner: DataFrame,
     m_client_user_role: DataFrame,
     split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     """Live sessions, a row per learner. Persons in another role stay, without an id."""
     learners = m_client_user_role.filter(F.col("role") == "learner").select(
@@ -36,7 +44,7 @@ def live_sessions(
     present = m_session_learner.select(F.col("session_id").alias("id"), "user_role_id")
     sessions = f_live_session.select("id", "scenario_id", *SESSION_COLUMNS)
     return (
-        split_left_join(sessions, present, ["id"], split_rows)
+        split_left_join(sessions, present, ["id"], split_rows, listed(keys, "m_session_learner", "session_id"))
         .join(learners, "user_role_id", "left")
         .select("id", "scenario_id", *SESSION_COLUMNS, "learner_id")
     )
@@ -52,7 +60,8 @@ def with_best_score(sessions: DataFrame, f_live_skills: DataFrame) -> DataFrame:
 
 
 def ondemand_sessions(
-    f_ondemand_session: DataFrame, f_session_score: DataFrame, split_rows: int = SPLIT_ROWS
+    f_ondemand_session: DataFrame, f_session_score: DataFrame, split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     """On-demand sessions, a row per score; the columns of live sessions they lack are left out."""
     sessions = f_ondemand_session.select(
@@ -67,7 +76,8 @@ def ondemand_sessions(
         "learner_id",
     )
     scores = f_session_score.select(F.col("sessionid").alias("id"), "score", F.col("id").alias("_score"))
-    return split_left_join(sessions, scores, ["id"], split_rows).drop("_score")
+    scored = listed(keys, "f_session_score", "sessionid")
+    return split_left_join(sessions, scores, ["id"], split_rows, scored).drop("_score")
 
 
 def f_sessions_final(
@@ -80,11 +90,12 @@ def f_sessions_final(
     d_project: DataFrame,
     d_client: DataFrame,
     split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     sessions = tagged_union(
         {
-            "live": live_sessions(f_live_session, m_session_learner, m_client_user_role, split_rows),
-            "ondemand": ondemand_sessions(f_ondemand_session, f_session_score, split_rows),
+            "live": live_sessions(f_live_session, m_session_learner, m_client_user_role, split_rows, keys),
+            "ondemand": ondemand_sessions(f_ondemand_session, f_session_score, split_rows, keys),
         },
         "session_type",
     )
@@ -122,14 +133,8 @@ def scenario_lookup(d_scenario: DataFrame, d_project: DataFrame, d_client: DataF
     )
 
 
-def user_roles(
-    d_users: DataFrame,
-    m_user_client: DataFrame,
-    d_client: DataFrame,
-    m_client_user_role: DataFrame,
-    split_rows: int = SPLIT_ROWS,
-) -> DataFrame:
-    """Users with their client, a row per role; users without either stay."""
+def user_clients(d_users: DataFrame, m_user_client: DataFrame, d_client: DataFrame) -> DataFrame:
+    """Users with their client, one row each; users without one stay."""
     users = d_users.select(
         F.col("id").alias("user_id"),
         F.col("activation_date").alias("user_activation_date"),
@@ -145,11 +150,30 @@ def user_roles(
         F.col("archived").alias("user_client_archived"),
         F.col("operated_by").alias("user_client_operated_by"),
     )
+    return users.join(membership, "user_id", "left").join(clients, "own_client_id", "left").drop("own_client_id")
+
+
+def with_roles(
+    users: DataFrame, user_id: str, m_client_user_role: DataFrame, split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
+) -> DataFrame:
+    """A row per role of the user named by `user_id`; rows without a role stay."""
     roles = m_client_user_role.select(
-        "user_id", F.col("id").alias("client_user_role_id"), F.col("role").alias("user_role")
+        F.col("user_id").alias(user_id), F.col("id").alias("client_user_role_id"), F.col("role").alias("user_role")
     )
-    known = users.join(membership, "user_id", "left").join(clients, "own_client_id", "left")
-    return split_left_join(known, roles, ["user_id"], split_rows).drop("own_client_id")
+    return split_left_join(users, roles, [user_id], split_rows, listed(keys, "m_client_user_role", "user_id"))
+
+
+def user_roles(
+    d_users: DataFrame,
+    m_user_client: DataFrame,
+    d_client: DataFrame,
+    m_client_user_role: DataFrame,
+    split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
+) -> DataFrame:
+    """Users with their client, a row per role; users without either stay."""
+    return with_roles(user_clients(d_users, m_user_client, d_client), "user_id", m_client_user_role, split_rows, keys)
 
 
 def current_team_scenarios(
@@ -158,17 +182,24 @@ def current_team_scenarios(
     m_team_member: DataFrame,
     m_scenario_team: DataFrame,
     split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     """What each user is assigned to now: (user_id, team_id, scenario_id), users without any kept."""
     roles = m_client_user_role.select("user_id", F.col("id").alias("user_role_id"))
     members = m_team_member.select("user_role_id", "team_id")
-    users = split_left_join(d_users.select(F.col("id").alias("user_id")), roles, ["user_id"], split_rows)
+    users = split_left_join(
+        d_users.select(F.col("id").alias("user_id")), roles, ["user_id"], split_rows,
+        listed(keys, "m_client_user_role", "user_id"),
+    )
     teams = (
-        split_left_join(users, members, ["user_role_id"], split_rows).select("user_id", "team_id").distinct()
+        split_left_join(
+            users, members, ["user_role_id"], split_rows, listed(keys, "m_team_member", "user_role_id")
+        ).select("user_id", "team_id").distinct()
     )
     # Both sides have one row per pair, so the result needs no distinct.
     return split_left_join(
-        teams, m_scenario_team.select("team_id", "scenario_id"), ["team_id"], split_rows
+        teams, m_scenario_team.select("team_id", "scenario_id"), ["team_id"], split_rows,
+        listed(keys, "m_scenario_team", "team_id"),
     )
 
 
@@ -213,10 +244,11 @@ def team_sessions(
     raw_scenario_team: DataFrame,
     raw_team_member: DataFrame,
     split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     """A row per user, role, team, scenario and session; assignments without a session stay."""
     current = current_team_scenarios(
-        d_users, m_client_user_role, m_team_member, m_scenario_team, split_rows
+        d_users, m_client_user_role, m_team_member, m_scenario_team, split_rows, keys
     )
     assigned = all_team_scenarios(
         current, f_sessions_final, m_client_user_role, raw_scenario_team, raw_team_member
@@ -226,15 +258,18 @@ def team_sessions(
         *SESSION_COLUMNS, "session_type",
     )
     teams = d_team.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
-    people = user_roles(d_users, m_user_client, d_client, m_client_user_role, split_rows)
+    people = user_clients(d_users, m_user_client, d_client).withColumn("known_user", F.col("user_id"))
     # Assignments are fewer and narrower than sessions, so they meet the dimensions first and every
-    # session is shuffled once, for the last join.
+    # session is shuffled once, for the last join. Only users that are known have roles here.
     known = (
-        split_left_join(assigned, people, ["user_id"], split_rows)
+        with_roles(assigned.join(people, "user_id", "left"), "known_user", m_client_user_role, split_rows, keys)
         .join(scenario_lookup(d_scenario, d_project, d_client), "scenario_id", "left")
         .join(teams, "team_id", "left")
     )
-    joined = split_left_join(known, sessions, ["user_id", "scenario_id"], split_rows)
+    joined = split_left_join(
+        known, sessions, ["user_id", "scenario_id"], split_rows,
+        listed(keys, "f_sessions_final", "learner_id", "scenario_id"),
+    )
     return joined.select(
         F.coalesce("found_client_id", "user_client_id").alias("client_id"),
         "user_id", "user_activation_date", "first_name", "last_name", "email",
@@ -266,10 +301,11 @@ def f_team_sessions_final(
     fan_out_client: str = FAN_OUT_CLIENT,
     fan_out_copies: Sequence[str] = FAN_OUT_COPIES,
     split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     base = team_sessions(
         d_users, m_user_client, d_client, m_client_user_role, m_team_member, d_team, m_scenario_team,
-        f_sessions_final, d_scenario, d_project, raw_scenario_team, raw_team_member, split_rows,
+        f_sessions_final, d_scenario, d_project, raw_scenario_team, raw_team_member, split_rows, keys,
     )
     return fan_out_key(base, "client_id", fan_out_client, fan_out_copies)
 
@@ -282,6 +318,7 @@ def scored_rows(
     d_building_blocks: DataFrame,
     d_scenario_bank_event_scoring: DataFrame,
     split_rows: int = SPLIT_ROWS,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     """Learner rows of generated scenarios with their skill scores, before attempts are numbered."""
     ondemand = f_ondemand_skills.select(
@@ -301,6 +338,7 @@ def scored_rows(
         F.col("skill_id").alias("event_skill_id"),
     )
     blocks = d_building_blocks.select(F.col("id").alias("event_skill_id"), "title")
+    event_keys = events
     events = events.join(blocks, "event_skill_id", "left")
     bank = d_scenario_bank_event_scoring.select(
         "scenario_id", F.col("id").alias("scenario_bank_id"), "min_passing_score"
@@ -310,11 +348,17 @@ def scored_rows(
         (F.col("user_role") == "learner") & (F.col("scenario_generation_type") == 1)
     ).select(*[c for c in f_team_sessions_final.columns if c in SCORE_COLUMNS])
     rows = routed_left_join(
-        rows, "session_id", "session_type", {"ondemand": ondemand, "live": live}, split_rows
+        rows, "session_id", "session_type", {"ondemand": ondemand, "live": live}, split_rows,
+        {
+            "ondemand": listed(keys, "f_ondemand_skills", "sessionid"),
+            "live": listed(keys, "f_live_skills", session_column(f_live_skills)),
+        },
     )
     # Events are matched on the live event number; rows without one find none and stay.
-    rows = split_left_join(rows, events, ["scenario_id", "event_number"], split_rows)
-    rows = split_left_join(rows, bank, ["scenario_id"], split_rows)
+    rows = split_left_join(rows, events, ["scenario_id", "event_number"], split_rows, event_keys)
+    rows = split_left_join(
+        rows, bank, ["scenario_id"], split_rows, listed(keys, "d_scenario_bank_event_scoring", "scenario_id")
+    )
     return rows.select(
         "*",
         F.col("skill").alias("ondemand_skill"),
@@ -345,6 +389,23 @@ SCORE_COLUMNS = [
 ]
 
 
+def numbered_scores(rows: DataFrame, task_rows: int = TASK_ROWS, heavy: Listed | None = None) -> DataFrame:
+    """The score mart from its rows; `heavy` lists the users with the most of them, as for `number_rows`."""
+    order = ["start_date", *ATTEMPT_TIES]
+    # A role belongs to one user, so the groups of both numberings lie within a user. Rows alike in
+    # everything else differ in their attempt, which makes the second order as good as total.
+    numbered = number_within(
+        rows,
+        "user_id",
+        [
+            Numbering(["client_id", "user_id", "scenario_id", "skill", "session_type"], order, "attempt"),
+            Numbering(["client_user_role_id", "competency"], [*order, "attempt"], "CompetencyAttempt"),
+        ],
+        task_rows, heavy,
+    )
+    return numbered.select(*SCORE_COLUMNS)
+
+
 def f_score(
     f_team_sessions_final: DataFrame,
     f_ondemand_skills: DataFrame,
@@ -353,22 +414,11 @@ def f_score(
     d_building_blocks: DataFrame,
     d_scenario_bank_event_scoring: DataFrame,
     split_rows: int = SPLIT_ROWS,
-    number: Callable[..., DataFrame] = number_within,
+    keys: KeySketches | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """`number` gives the attempts; a build with very large users passes `number_within_large`."""
     rows = scored_rows(
         f_team_sessions_final, f_ondemand_skills, f_live_skills, d_events, d_building_blocks,
-        d_scenario_bank_event_scoring, split_rows,
-    )
-    order = ["start_date", *ATTEMPT_TIES]
-    # A role belongs to one user, so the groups of both numberings lie within a user. Rows alike in
-    # everything else differ in their attempt, which makes the second order as good as total.
-    rows = number(
-        rows,
-        "user_id",
-        [
-            Numbering(["client_id", "user_id", "scenario_id", "skill", "session_type"], order, "attempt"),
-            Numbering(["client_user_role_id", "competency"], [*order, "attempt"], "CompetencyAttempt"),
-        ],
+        d_scenario_bank_event_scoring, split_rows, keys,
     )
-    return rows.select(*SCORE_COLUMNS)
+    return numbered_scores(rows, task_rows)

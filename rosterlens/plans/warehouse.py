@@ -6,8 +6,6 @@ Those that pass the raw row through keep the rank column, as the tables always h
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,9 @@ from ..functions.columns import col, session_column
 from ..functions.scoring import passed, proficiency
 from ..functions.text import html_clean, not_blank, parse_day, strip_p, trim_ws
 from ..operators.cdc import KEEP_MARKED_LIVE, KEEP_UNMARKED, latest_row, undeleted_groups
+from ..operators.heavy import KeySketches, Listed
 from ..operators.joins import SPLIT_ROWS, split_left_join
-from ..operators.numbering import number_rows
+from ..operators.numbering import TASK_ROWS, number_rows
 from ..operators.reshape import json_entries, pivot_entries, unpivot_slots
 
 REVISION = [("modify_revision", "desc")]
@@ -282,11 +281,13 @@ def f_live_skills(
     f_events_mindset: DataFrame,
     split_rows: int = SPLIT_ROWS,
     session_id: str | None = None,
+    keys: KeySketches | None = None,
 ) -> DataFrame:
     # No column of this join is used. It is here for the rows it repeats.
     repeats = m_skill_score_mindset.select("mindset_id", "events_mindset_id")
     events = split_left_join(
-        survey_events(raw_sim_feedback, session_id), repeats, ["mindset_id"], split_rows
+        survey_events(raw_sim_feedback, session_id), repeats, ["mindset_id"], split_rows,
+        keys.of("m_skill_score_mindset", "mindset_id") if keys else None,
     ).drop("events_mindset_id")
     # Each lookup is put together at the size of its dimension: one row per skill, one per mindset.
     domains = f_skill_domain_mapping.select("skill_id", "domain_id").join(
@@ -333,12 +334,16 @@ def ondemand_skill_scores(f_skill_score: DataFrame, f_session_score: DataFrame)
     )
 
 
+def ranked_skills(scores: DataFrame, task_rows: int = TASK_ROWS, heavy: Listed | None = None) -> DataFrame:
+    """Skills ranked within their session; all scores without a session are one group, which may be large."""
+    return number_rows(scores, ["sessionid"], ["skill", "skill_score_id"], "rn", task_rows, heavy).drop("skill_score_id")
+
+
 def f_ondemand_skills(
-    f_skill_score: DataFrame, f_session_score: DataFrame, number: Callable[..., DataFrame] = number_rows
+    f_skill_score: DataFrame, f_session_score: DataFrame, task_rows: int = TASK_ROWS, heavy: Listed | None = None
 ) -> DataFrame:
-    """`number` ranks the skills; all scores without a session share one group, which may be large."""
-    scores = ondemand_skill_scores(f_skill_score, f_session_score)
-    return number(scores, ["sessionid"], ["skill", "skill_score_id"], "rn").drop("skill_score_id")
+    """`heavy` lists the sessions with the most scores, as for `number_rows`."""
+    return ranked_skills(ondemand_skill_scores(f_skill_score, f_session_score), task_rows, heavy)
 
 
 # Bridges

@@ -32,6 +32,29 @@ def test_one_pass_for_null_checks(frame):
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_all_sets_of_a_table_share_a_scan_and_a_shuffle(spark, frame, tmp_path):
+    frame(ROWS, SCHEMA).write.parquet(str(tmp_path / "t"))
+    checks = [
+        Unique("k"), Unique("n"), NotNull("k"), NotNull("f"), AcceptedValues("k", ("a",)), UniqueCombination(("k", "n")),
+        UniqueCombination(("n", "k")),
+    ]
+    out = check_table(spark.read.parquet(str(tmp_path / "t")), checks)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Expand") == 1
+    assert as_set(out) == {
+        ("unique", "k", 1), ("unique", "n", 1), ("not_null", "k", 2), ("not_null", "f", 1), ("accepted_values", "k", 1),
+        ("unique_combination", "k, n", 1), ("unique_combination", "n, k", 1),
+    }
+
+
+def test_nulls_of_the_table_are_not_those_of_the_sets(frame):
+    """Columns outside a set are NULL in its groups, which is no NULL of the table."""
+    out = check_table(frame([("a", 1), ("b", 2)], "k string, n int"), [Unique("k"), Unique("n"), NotNull("k"), NotNull("n")])
+    assert {r.failing_rows for r in out.collect()} == {0}
+    out = check_table(frame([(None, None)] * 3, "k string, n int"), [UniqueCombination(("k", "n")), Unique("k"), NotNull("n")])
+    assert as_set(out) == {("unique_combination", "k, n", 1), ("unique", "k", 0), ("not_null", "n", 3)}
+
+
 def test_declarations():
     kinds = [type(c).__name__ for checks in CHECKS.values() for c in checks]
     assert len(kinds) == 72 and len(CHECKS) == 31

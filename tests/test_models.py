@@ -1,11 +1,9 @@
 """Small hand-made tables for the rules that are easy to get wrong."""
 
 from collections import Counter
-from functools import partial
 
 from conftest import as_set
 
-from rosterlens.operators.numbering import number_within_large
 from rosterlens.plans import marts, warehouse as w
 
 SLOT = ", ".join(
@@ -192,7 +190,7 @@ def score(frame, small, client, **sizes):
                    "scenario_id string, events_sequence int, skill_id string, archived boolean")
     blocks = frame([("B1", "Empathy")], "id string, title string")
     bank = frame([("b1", "S1", 3), ("b2", "S1", 4)], "id string, scenario_id string, min_passing_score int")
-    number = {"number": partial(number_within_large, task_rows=sizes.pop("task_rows"))} if "task_rows" in sizes else {}
+    number = {"task_rows": sizes.pop("task_rows")} if "task_rows" in sizes else {}
     return marts.f_score(small.rows(client, **sizes), skills, live, events, blocks, bank, **sizes, **number)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlens.sources.raw import RAW_TABLES, read_raw
-from rosterlens.sources.sinks import ADVISORY_SIZE, describe_table, preview, write_table
+from rosterlens.sources.sinks import ADVISORY_SIZE, describe_table, location_of, preview, write_table
 
 
 def test_write_replaces_and_restores_settings(spark, tmp_path):
@@ -71,3 +71,51 @@ def test_read_raw(spark, tmp_path):
     with pytest.raises(KeyError):
         read_raw(spark, str(tmp_path), "raw_other")
     assert len(RAW_TABLES) == 28
+
+
+def test_a_table_is_there_at_every_moment_of_its_replacement(spark):
+    """A reader that never stops, while the table is replaced, finds one version or the other, whole."""
+    import threading
+
+    spark.sql("drop table if exists switched")
+    write_table(spark.range(1000).selectExpr("id", "0 as version"), "switched", table=True)
+    open_before = spark.table("switched")
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(tuple(spark.table("switched").selectExpr("count(*)", "min(version)", "max(version)").first()))
+            except Exception as e:  # noqa: BLE001 - what a reader would see
+                seen.append(str(e)[:300])
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for version in (1, 2, 3):
+        write_table(spark.range(1000).selectExpr("id", f"{version} as version"), "switched", table=True)
+        if version == 1:  # the version before can still be read
+            assert open_before.selectExpr("count(*)", "max(version)").first() == (1000, 0)
+    stop.set()
+    reader.join()
+    assert set(seen) <= {(1000, v, v) for v in range(4)} and len(seen) > 3
+    assert spark.table("switched").first().version == 3
+
+
+def test_versions_that_nobody_reads_are_removed(spark):
+    spark.sql("drop table if exists kept")
+    for _ in range(4):
+        write_table(spark.range(5), "kept", table=True)
+    now = location_of(spark, "kept")
+    folder = os.path.dirname(now.removeprefix("file:"))
+    assert len(os.listdir(folder)) == 2 and os.path.basename(now) in os.listdir(folder)
+
+
+def test_comments_stay_with_a_replaced_table_and_columns_may_change(spark):
+    spark.sql("drop table if exists changed")
+    write_table(spark.range(5), "changed", table=True)
+    describe_table(spark, "changed", comment="kept")
+    write_table(spark.range(6), "changed", table=True)
+    rows = spark.sql("describe extended changed").collect()
+    assert any(r.col_name == "Comment" and r.data_type == "kept" for r in rows)
+    write_table(spark.range(7).selectExpr("id", "'x' as more"), "changed", table=True)
+    assert spark.table("changed").columns == ["id", "more"] and spark.table("changed").count() == 7
