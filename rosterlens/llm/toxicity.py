@@ -31,7 +31,7 @@ SIZES = (3, 4, 5, 6, 7)
 CACHE_ENTRIES = 200_000
 KEPT_CHARS = 64  # of a word in the cache
 LONGEST = 256  # characters of a word that n-grams are learnt from
-GRAMS_HELD = 1 << 20  # counts that a task holds
+GRAMS_HELD = 1 << 19  # counts that a task holds
 NO_LETTERS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
