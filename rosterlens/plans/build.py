@@ -75,14 +75,23 @@ NUMBERED: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame], tu
     "f_score": (marts.scored_rows, marts.numbered_scores, ("user_id",)),
 }
 
+# Feeds of links that a model counts, walks and looks up: read once, and staged with these columns.
+LINKS: dict[str, dict[str, tuple[str, ...]]] = {
+    "f_team_sessions_final": {
+        "raw_team_member": ("user_role_id", "team_id"), "raw_scenario_team": ("scenario_id", "team_id"),
+    },
+}
+
 
 def make(
     name: str, tables: Mapping[str, DataFrame], keys: KeySketches, options: Mapping[str, object] | None = None,
     staged: bool = True,
 ) -> DataFrame:
-    """A model from its tables. What it numbers is staged first, unless the whole is to stay a plan."""
+    """A model from its tables. What it numbers, and link feeds, are staged first, unless the whole is to stay a plan."""
     options = dict(options or {})
     read = {t: tables[t] for t in inputs(name)}
+    if staged:
+        read |= {t: stage(read[t].select(*columns).distinct()) for t, columns in LINKS.get(name, {}).items()}
     if staged and name in NUMBERED:
         rows_of, number, groups = NUMBERED[name]
         own = {k: v for k, v in options.items() if k in inspect.signature(rows_of).parameters}

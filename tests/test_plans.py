@@ -44,13 +44,13 @@ def test_scans_read_only_what_is_used(spark):
 
 @pytest.fixture
 def trial(spark):
-    """The feeds as written tables, so that no model is behind them."""
     return entry.Trial(spark, FOLDER)
 
 
-def test_filters_of_the_score_mart_reach_the_scan(trial):
+def test_filters_of_the_score_mart_reach_the_scan(spark):
     names = inputs("f_score")
-    text = plan_of(marts.scored_rows(**{n: trial[n] for n in names}))
+    written = entry.Trial(spark, FOLDER, f_team_sessions_final=2)
+    text = plan_of(marts.scored_rows(**{n: written[n] for n in names}))
     [scan] = {s for s in re.findall(r"PushedFilters: \[(.*?)\]", text) if "user_role" in s}
     assert "EqualTo(user_role,learner)" in scan and "EqualTo(scenario_generation_type,1)" in scan
     assert not {"first_name", "last_name", "email", "full_name"} & set().union(*read_columns(text))
@@ -105,9 +105,42 @@ def test_no_cross_joins_and_no_python(spark, name):
         assert word not in text
 
 
-def test_search_reads_the_documents_once_and_ranks_before_the_shuffle(spark):
+@pytest.mark.parametrize("few_pairs", [0, 8])
+def test_search_reads_the_documents_once_and_ranks_before_the_shuffle(spark, monkeypatch, few_pairs):
+    """Postings are written from one scan; what is left of the plan reads texts for boosted documents alone."""
+    monkeypatch.setattr(entry.search, "FEW_PAIRS", few_pairs)
     text = plan(spark, "lexical_topk")
-    assert sum("doc_id" in c for c in read_columns(text)) <= 2
+    assert sum({"doc_id", "text"} <= c for c in read_columns(text)) <= 1
     assert text.count("WindowGroupLimit") == 2
     dealt = re.findall(r"Exchange hashpartitioning\((.*?)\)", text)
-    assert [d for d in dealt if "doc_id" in d and "query_id" in d] == []
+    # Without few pairs all postings are scored where they are; few pairs may travel.
+    assert few_pairs or [d for d in dealt if "doc_id" in d and "query_id" in d] == []
+
+
+def test_each_right_side_is_derived_once(spark):
+    """Keys were sketched when the tables were written, so no plan counts them, or reads a side twice for it."""
+    text = plan(spark, "team_sessions_final")
+    assert text.count("FileScan") <= 40
+    assert "approx_top_k" not in text and "_parts" not in text
+
+
+def test_checks_read_each_table_once(spark):
+    text = plan(spark, "check_declared")
+    assert text.count("Expand ") <= 31
+    tables = entry.CHECKS.keys()
+    # Of each checked table: one shuffle by its keys, and what its model needs.
+    assert len(tables) == 31 and text.count("grouping_id") + text.count("spark_grouping_id") > 0
+
+
+def test_only_shared_tables_are_written(spark):
+    """A model that a query reads once stays a plan."""
+    assert entry.shared_tables({"f_session_score": 1}) == set()
+    assert "f_sessions_final" in entry.shared_tables({"f_score": 1})
+    [columns] = read_columns(plan(spark, "earliest_created_score"))
+    assert len(columns) <= 12
+
+
+def test_answers_are_folded_once(spark):
+    """One expression over the entries, whatever the number of questions."""
+    text = plan(spark, "d_post_simulation")
+    assert text.count("aggregate(") <= 3
