@@ -9,7 +9,7 @@ DOCS = T.StructType([
     # Names that the operators use themselves.
     *[T.StructField(n, T.StringType()) for n in (
         "id", "node", "version", "score", "n", "line", "row", "runs", "size", "sha", "label", "key", "path", "blob",
-        "content", "component", "ids", "start", "items", "bits", "no",
+        "content", "component", "ids", "start", "items", "bits", "no", "__toxic", "toxic", "__id", "__version", "__dropped", "hash",
     )],
 ])
 

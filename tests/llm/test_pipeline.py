@@ -36,6 +36,7 @@ def test_empty_tables(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
@@ -65,5 +66,5 @@ def test_one_row_of_a_near_group_stays(spark, make):
 
 
 def test_every_dealt_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
