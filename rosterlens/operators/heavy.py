@@ -52,7 +52,8 @@ def heavy_keys(df: DataFrame, on: Sequence[str], kinds: Mapping[str, T.DataType]
     merged = (
         keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("part"))
         .agg(F.call_function("approx_top_k_accumulate", F.col("key"), F.lit(TRACKED)).alias("sketch"))
-        .agg(F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(TRACKED)).alias("sketch"))
+        # By a constant, so that of no rows there is no sketch to be read.
+        .groupBy(F.lit(1).alias("all")).agg(F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(TRACKED)).alias("sketch"))
     )
     return merged.select(F.inline(F.call_function("approx_top_k_estimate", F.col("sketch"), F.lit(LISTED)))).select(
         F.col("item").alias("key"), F.col("count").alias("rows")

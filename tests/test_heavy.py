@@ -85,3 +85,16 @@ def test_many_keys_are_listed_up_to_a_bound(spark):
     found = {r.key: r.rows for r in heavy_keys(df, ["k"]).collect()}
     assert len(found) <= heavy.LISTED
     assert abs(found["2:-1"] - 15_000) <= 60_000 * 3.5 / heavy.TRACKED
+
+
+def test_empty_tables_and_null_keys(spark, right):
+    left = spark.createDataFrame([("hot", 1, 1), (None, 2, 2)], "k string, r int, a long")
+    for some in (right.filter("false"), right.selectExpr("cast(null as string) as k", "r", "b")):
+        assert heavy_keys(some, ["k"]).collect() == []
+        keys = KeySketches()
+        written = stage(keys.watch("t", some, [("k",)]))
+        assert keys.of("t", "k") == []
+        expected = {("hot", 1, None), (None, 2, None)}
+        for heavy in (None, [], keys.of("t", "k"), some):
+            out = split_left_join(left, written.select("k", "b"), ["k"], 1, heavy)
+            assert {(r.k, r.a, r.b) for r in out.collect()} == expected
