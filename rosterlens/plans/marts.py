@@ -415,10 +415,10 @@ def f_score(
     d_scenario_bank_event_scoring: DataFrame,
     split_rows: int = SPLIT_ROWS,
     keys: KeySketches | None = None,
-    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
+    """As one plan, with plain windows; `plans/build.py: make` writes the rows first and numbers large users by ranges."""
     rows = scored_rows(
         f_team_sessions_final, f_ondemand_skills, f_live_skills, d_events, d_building_blocks,
         d_scenario_bank_event_scoring, split_rows, keys,
     )
-    return numbered_scores(rows, task_rows)
+    return numbered_scores(rows, heavy=[])

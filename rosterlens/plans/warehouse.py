@@ -339,11 +339,9 @@ def ranked_skills(scores: DataFrame, task_rows: int = TASK_ROWS, heavy: Listed |
     return number_rows(scores, ["sessionid"], ["skill", "skill_score_id"], "rn", task_rows, heavy).drop("skill_score_id")
 
 
-def f_ondemand_skills(
-    f_skill_score: DataFrame, f_session_score: DataFrame, task_rows: int = TASK_ROWS, heavy: Listed | None = None
-) -> DataFrame:
-    """`heavy` lists the sessions with the most scores, as for `number_rows`."""
-    return ranked_skills(ondemand_skill_scores(f_skill_score, f_session_score), task_rows, heavy)
+def f_ondemand_skills(f_skill_score: DataFrame, f_session_score: DataFrame) -> DataFrame:
+    """As one plan, with a plain window; `plans/build.py: make` writes the scores first and ranks large sessions by ranges."""
+    return ranked_skills(ondemand_skill_scores(f_skill_score, f_session_score), heavy=[])
 
 
 # Bridges

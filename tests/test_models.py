@@ -5,6 +5,7 @@ from collections import Counter
 from conftest import as_set
 
 from rosterlens.plans import marts, warehouse as w
+from rosterlens.sources.staging import stage
 
 SLOT = ", ".join(
     f"`SIM_FEEDBACK.event{n}skillid` string, `SIM_FEEDBACK.event{n}skillname` string,"
@@ -190,8 +191,11 @@ def score(frame, small, client, **sizes):
                    "scenario_id string, events_sequence int, skill_id string, archived boolean")
     blocks = frame([("B1", "Empathy")], "id string, title string")
     bank = frame([("b1", "S1", 3), ("b2", "S1", 4)], "id string, scenario_id string, min_passing_score int")
-    number = {"task_rows": sizes.pop("task_rows")} if "task_rows" in sizes else {}
-    return marts.f_score(small.rows(client, **sizes), skills, live, events, blocks, bank, **sizes, **number)
+    if "task_rows" in sizes:  # as the build does: the rows written, then numbered
+        task_rows = sizes.pop("task_rows")
+        rows = stage(marts.scored_rows(stage(small.rows(client, **sizes)), skills, live, events, blocks, bank, **sizes))
+        return marts.numbered_scores(rows, task_rows)
+    return marts.f_score(small.rows(client, **sizes), skills, live, events, blocks, bank, **sizes)
 
 
 def test_results_do_not_depend_on_how_large_keys_are_split(frame):
