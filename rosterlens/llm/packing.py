@@ -8,9 +8,9 @@ places; a window's best start is the least of (cost + position) among the places
 monotone queue holds, so each place is entered and left once. The stream is solved in blocks; the last window of a block is
 not cut but opens the next block. Documents are neither moved nor collected: a partition is packed where it is.
 
-Token ids are those of the whole text: pre-tokens of this vocabulary begin at each space, so words are
-encoded alone and kept in the worker's cache; texts where that does not hold (runs of white space, special
-strings) are encoded whole.
+Token ids are those of the whole text: pre-tokens of this vocabulary begin at each space, so the distinct words of a
+batch are encoded alone and kept by the worker, in tables of a bounded size; texts where that does not hold (runs of white
+space, special strings) are encoded whole.
 
 Defined results: a null or empty text is its end id alone. Rows are independent documents, so repeats and
 null ids are packed like any other. An empty table gives no rows. Ids of sequences are unique within the
@@ -28,18 +28,23 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from rosterlens.llm.common import slices
 
-TAIL = ".,!?;:%*#&$|"  # signs after a word that are a pre-token of their own
 SENTENCE = (".", "!", "?")
 SPACE, NEWLINE = "Ġ", "Ċ"  # how the vocabulary spells them
-CACHE_ENTRIES = 1_200_000
-LONGEST = 64  # characters of a word in the cache; texts with longer ones are encoded whole
+KEPT = 400_000  # words that a worker keeps, before a batch adds its own
+LONGEST = 64  # characters of a word that is kept; texts with longer ones are encoded whole
+BATCH_BYTES = 4 << 20
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+LETTER_WORDS = "letters"
+MARK = "\x01"  # before signs that follow a letter; texts that hold one are encoded whole
+LETTER_SIGN = f"({LETTER})([.,!?;:%*#&$|])"
 
 
 @cache
@@ -54,56 +59,54 @@ class WordIds:
         self.tokenizer = tokenizer(name)
         self.newline = self.whole("\n")
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(specials) or "(?!)").search
-        self.tables: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.tails: dict[str, bytes] = {}  # runs of signs
+        self.special = "|".join([*specials, MARK])
+        # A word of letters after a space is one pre-token: only the model and its alphabet are needed.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.begins = np.array([(t or "").startswith(SPACE) for t in names])
+        self.tables: dict[str, dict[str, bytes]] = {LETTER_WORDS: {}, " ": {}, "": {}}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, lead: str, words: set[str]) -> dict[str, bytes]:
-        """The table of the lead, with all of `words` in it; full tables begin anew.
+    def of(self, kind: str, words: list[str]) -> list[bytes | None]:
+        """Ids of distinct words of a kind: after a space, LETTER_WORDS or others, or after nothing.
 
-        Left out are words over LONGEST characters, and those whose ids depend on their surroundings: empty ones, as between two spaces, those
-        with other white space, and those that hold a special string.
+        They are kept in tables that begin anew once they have KEPT words. None for words over LONGEST characters and for those
+        whose ids depend on their surroundings: empty ones, as between two spaces, and those with other white space.
         """
-        table = self.tables[lead]
-        if len(table) > CACHE_ENTRIES:
-            table.clear()
-        if len(self.tails) > CACHE_ENTRIES // 10:
-            self.tails.clear()
-        new = words - table.keys()
+        if sum(map(len, self.tables.values())) > KEPT:
+            self.tables = {kind: {} for kind in self.tables}
+        table = self.tables[kind]
+        found = list(map(table.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None and len(w) <= LONGEST]
+        if kind != LETTER_WORDS:
+            new = [w for w in new if w.split() == [w]]
         if not new:
-            return table
-        odd = self.special("\n".join(new))
-        split = []
-        whole = set()
-        for word in new:
-            if len(word) > LONGEST or word.split() != [word] or (odd and self.special(word)):
-                continue
-            stem = word.rstrip(TAIL)
-            if stem != word and stem.isalpha():
-                whole.add(stem)
-                split.append((word, stem, word[len(stem) :]))
-            else:
-                whole.add(word)
-        table.update(self._encoded(lead, whole - table.keys()))
-        tails = self.tails
-        tails.update(self._encoded("", {tail for _, _, tail in split} - tails.keys()))
-        for word, stem, tail in split:
-            table[word] = table[stem] + tails[tail]
-        return table
-
-    def _encoded(self, lead: str, parts: set[str]) -> Iterator[tuple[str, bytes]]:
-        """One call for many parts: a newline between them is a token that no word has."""
-        every = list(parts)
-        for i in range(0, len(every), 20_000):
-            some = every[i : i + 20_000]
-            joined = f"\n{lead}" + f"\n{lead}".join(some)
+            return found
+        encoded = self._encoded_letters(new) if kind == LETTER_WORDS else self._encoded(kind, new)
+        table.update(zip(new, encoded, strict=True))
+        return list(map(table.get, words))
+
+    def _encoded(self, lead: str, words: list[str]) -> Iterator[bytes]:
+        """One call for many words: a newline between them is a token that no word has."""
+        for i in range(0, len(words), 20_000):
+            joined = f"\n{lead}" + f"\n{lead}".join(words[i : i + 20_000])
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             data = ids.tobytes()
             cut = [*(4 * np.flatnonzero(ids == np.frombuffer(self.newline, "<u4"))).tolist(), len(data)]
-            yield from ((part, data[a + 4 : b]) for part, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+            yield from (data[a + 4 : b] for a, b in zip(cut[:-1], cut[1:]))
+
+    def _encoded_letters(self, words: list[str]) -> Iterator[bytes]:
+        """The same for words of letters after a space, whose first token shows that it begins a word."""
+        for i in range(0, len(words), 20_000):
+            joined = " " + "\n ".join(words[i : i + 20_000])
+            ids = np.array(self.letters.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            data = ids.tobytes()
+            cut = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), len(data)]
+            yield from (data[a:b] for a, b in zip(cut[:-1], cut[1:]))
 
 
 class TextEncoder:
@@ -116,32 +119,71 @@ class TextEncoder:
         self.opens = np.array([t.startswith((SPACE, NEWLINE)) for t in tokens])
         self.breaks = np.array([t.startswith(NEWLINE) for t in tokens])
 
-    def ends(self, ids: bytes) -> np.ndarray:
+    def ends(self, at: np.ndarray) -> np.ndarray:
         """Before each space that follows a stop, and before each newline."""
-        at = np.frombuffer(ids, "<u4")
         return np.flatnonzero((self.stops[at[:-1]] & self.opens[at[1:]]) | self.breaks[at[1:]]) + 1
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
-        split = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        first: set[str] = set()
-        later: set[str] = set()
-        for lines in split:
-            for parts in lines:
-                first.add(parts[0])
-                later.update(parts[1:])
-        first_ids, later_ids = self.words.learn("", first), self.words.learn(" ", later)
-        for text, lines in zip(texts, split):
-            out: list[bytes] = []
-            try:
-                for parts in lines:
-                    out.append(first_ids[parts[0]])
-                    out += map(later_ids.__getitem__, parts[1:])
-                    out.append(self.words.newline)
-                out.pop()
-                ids = b"".join(out)
-            except KeyError:  # a word that cannot be encoded alone
-                ids = self.words.whole(text)
-            yield ids, self.ends(ids)
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """The distinct words of all texts are looked up once, and their ids laid out in the order of the texts."""
+        texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return
+        odd = pc.match_substring_regex(texts, self.words.special)
+        # A newline is a word of its own, and so are signs after a letter, marked, as they are pre-tokens of their own.
+        plain = pc.replace_substring_regex(pc.if_else(odd, "", texts), LETTER_SIGN, rf"\1 {MARK}\2")
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        words = distinct.to_numpy(zero_copy_only=False)
+        lasts = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        # What begins a text or a line, or is marked, has no space before it.
+        bare = np.zeros(len(codes), bool)
+        bare[np.concatenate(([0], lasts[:-1]))] = True
+        newline = pc.equal(distinct, "\n").to_numpy(zero_copy_only=False)
+        bare[1:] |= newline[codes[:-1]]
+        place = codes + len(words) * bare.astype(np.int32)
+        used = np.zeros(2 * len(words), bool)
+        used[place] = True
+        later, first = used[: len(words)], used[len(words) :]
+        letters = pc.match_substring_regex(distinct, f"^{LETTER}+$").to_numpy(zero_copy_only=False) & later
+        marked = pc.starts_with(distinct, MARK).to_numpy(zero_copy_only=False)
+        kinds = [
+            (LETTER_WORDS, letters), (" ", later & ~(letters | marked | newline)), ("", first & ~marked),
+            ("", marked), (None, newline),
+        ]
+        found, inverse, n = [], np.empty(len(used), np.int32), 0
+        for kind, mask in kinds:
+            at = np.flatnonzero(mask)
+            asked = words[at].tolist()
+            if mask is marked:
+                asked = [w[1:] for w in asked]
+            found += self.words.of(kind, asked) if kind is not None else [self.words.newline] * len(asked)
+            inverse[at + len(words) * (mask is kinds[2][1])] = np.arange(n, n + len(asked))
+            n += len(asked)
+        place = inverse[place]
+        # Texts with a word that cannot be encoded alone, or a special string.
+        whole = odd.to_numpy(zero_copy_only=False).copy()
+        bad = np.array([ids is None for ids in found])
+        if bad.any():
+            whole[np.searchsorted(lasts, np.flatnonzero(bad[place]), "right")] = True
+            found = [ids or b"" for ids in found]
+        table = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[place]
+        after = np.cumsum(sizes)
+        at = np.repeat(start[place] - after + sizes, sizes)
+        at += np.arange(len(at))
+        flat = table[at]
+        ends = self.ends(flat)
+        cuts = np.concatenate(([0], after))[np.concatenate(([0], lasts))]
+        first, last = np.searchsorted(ends, cuts[:-1], "right"), np.searchsorted(ends, cuts[1:])
+        for i, (a, b, p, q) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), first.tolist(), last.tolist(), strict=True)):
+            if whole[i]:
+                ids = self.words.whole(texts[i].as_py())
+                yield ids, self.ends(np.frombuffer(ids, "<u4"))
+            else:
+                yield flat[a:b].tobytes(), ends[p:q] - a
 
 
 @cache
@@ -266,9 +308,9 @@ def packed(
             if out:
                 yield pa.record_batch(list(map(list, zip(*out))), schema=schema)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", most_bytes=BATCH_BYTES):
             schema = schema or pa.schema([("id", batch.schema.field("id").type), *FIELDS])
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
             for key, (ids, sentences) in zip(batch.column("id").to_pylist(), encode(texts)):
                 ids += end
                 stream.add(key, ids, *places(len(ids) // 4, sentences, gap, sentence_cost, word_cost))

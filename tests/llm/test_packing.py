@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 from hypothesis import given, settings
@@ -21,6 +22,21 @@ def test_ids_are_those_of_the_whole_text(texts):
         assert all(0 < e <= len(ids) // 4 for e in ends)
 
 
+def test_signs_after_letters_and_marks_are_those_of_the_whole_text():
+    texts = ["Wort, wort.wort é;\nLast.\n.x don't. a\x01b a. \x01. end<|endoftext|>. x|y |z", "\x01", "", "a.\nb., c", "ŝ. 日. a日. 2. a2.b"]
+    for text, (ids, _) in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer(VOCABULARY).encode(text, add_special_tokens=False).ids
+
+
+def test_words_kept_by_a_worker_are_bounded():
+    syllables = ["ba", "de", "fi", "go", "lu", "mar", "nes", "tik", "vor", "zul"]
+    words = ["".join(w) for w in product(syllables, repeat=6)]
+    one = TextEncoder(VOCABULARY)
+    for i in range(0, 700_000, 50_000):
+        list(one([" ".join(words[i : i + 50_000])]))
+        assert sum(map(len, one.words.tables.values())) < 500_000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 9), st.sampled_from([0, 2, 5])), min_size=1, max_size=12))
 def test_cuts_are_the_cheapest(steps):
