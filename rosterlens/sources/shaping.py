@@ -18,6 +18,7 @@ Tables = Callable[[str], DataFrame]
 
 FAN_OUT_CLIENT = "C5"
 FAN_OUT_COPIES = ("C5-COPY-A", "C5-COPY-B")
+SPREAD_ROWS = 100_000
 
 
 def tables_in(spark: SparkSession, folder: str) -> Tables:
@@ -35,6 +36,15 @@ def _count(t: Tables, name: str) -> Column:
     return t(name).agg(F.count("*").alias("n")).scalar()
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out by `key`, SPREAD_ROWS rows to a task about, before its rows are multiplied.
+
+    A column of keys takes so little room in a file that one task may read all of it; what it makes of them is sorted there.
+    """
+    tasks = -(-df.count() // SPREAD_ROWS)
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 def _each(df: DataFrame, name: str, values: str) -> DataFrame:
     """A row per value of an array expression."""
     return df.withColumn(name, F.explode(F.expr(values)))
@@ -170,7 +180,7 @@ def raw_scenario_building_block(t: Tables) -> DataFrame:
 
 
 def raw_scenario_goals(t: Tables) -> DataFrame:
-    goals = _each(t("part"), "goal_index", "array(1, 2, 3)")
+    goals = _each(_spread(t("part").select("p_partkey"), "p_partkey"), "goal_index", "array(1, 2, 3)")
     rows = _each(
         goals, "op",
         """concat(
@@ -215,7 +225,7 @@ def raw_building_blocks(t: Tables) -> DataFrame:
 
 def raw_events(t: Tables) -> DataFrame:
     events = _each(
-        t("part").withColumn("n_part", _count(t, "part")), "n", "array(1, 2, 3, 4, 5)"
+        _spread(t("part").select("p_partkey"), "p_partkey").withColumn("n_part", _count(t, "part")), "n", "array(1, 2, 3, 4, 5)"
     )
     return _versions(events, "p_partkey % 8 = 0").selectExpr(
         "concat('E', p_partkey * 5 + n) as id",
@@ -236,7 +246,8 @@ def raw_events_assessment(t: Tables) -> DataFrame:
 
 
 def raw_events_mindset(t: Tables) -> DataFrame:
-    mindsets = _each(t("part").withColumn("n_part", _count(t, "part")), "n", "array(0, 1)")
+    parts = _spread(t("part").select("p_partkey"), "p_partkey").withColumn("n_part", _count(t, "part"))
+    mindsets = _each(parts, "n", "array(0, 1)")
     return _versions(mindsets, "p_partkey % 5 = 0").selectExpr(
         "concat('M', p_partkey * 2 + n) as id",
         "concat('B', (p_partkey + rev) % n_part) as mindset_id",
