@@ -38,9 +38,9 @@ from rosterlens.llm.common import slices
 
 SENTENCE = (".", "!", "?")
 SPACE, NEWLINE = "Ġ", "Ċ"  # how the vocabulary spells them
-KEPT = 400_000  # words that a worker keeps, before a batch adds its own
+KEPT = 200_000  # words that a worker keeps, before a batch adds its own
 LONGEST = 64  # characters of a word that is kept; texts with longer ones are encoded whole
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 LETTER_WORDS = "letters"
 MARK = "\x01"  # before signs that follow a letter; texts that hold one are encoded whole
