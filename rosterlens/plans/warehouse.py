@@ -283,12 +283,6 @@ def f_live_skills(
     session_id: str | None = None,
     keys: KeySketches | None = None,
 ) -> DataFrame:
-    # No column of this join is used. It is here for the rows it repeats.
-    repeats = m_skill_score_mindset.select("mindset_id", "events_mindset_id")
-    events = split_left_join(
-        survey_events(raw_sim_feedback, session_id), repeats, ["mindset_id"], split_rows,
-        keys.of("m_skill_score_mindset", "mindset_id") if keys else None,
-    ).drop("events_mindset_id")
     # Each lookup is put together at the size of its dimension: one row per skill, one per mindset.
     domains = f_skill_domain_mapping.select("skill_id", "domain_id").join(
         d_building_blocks.select(
@@ -309,8 +303,14 @@ def f_live_skills(
         ),
         "block_id", "left",
     )
+    # No column of the repeats is used. They are here for the rows they repeat, and meet the competencies, which have the
+    # same key, at the size of the dimension, so that events are shuffled once for both.
+    repeats = m_skill_score_mindset.select("mindset_id", "events_mindset_id")
+    mindsets = repeats.join(competencies, "mindset_id", "full").drop("events_mindset_id")
+    listed = keys.of("m_skill_score_mindset", "mindset_id") if keys else None
+    events = split_left_join(survey_events(raw_sim_feedback, session_id), mindsets, ["mindset_id"], split_rows, listed)
     session = session_column(events)
-    return events.join(domains, "skill_id", "left").join(competencies, "mindset_id", "left").select(
+    return events.join(domains, "skill_id", "left").select(
         session, "webportal", "finished", "recordeddate", "generationType",
         passed(F.col("score")).alias("score"),
         "strengthAssessmentId", "opportunitiesAssessmentId", "event_number", "skill_id",
