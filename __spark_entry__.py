@@ -316,6 +316,16 @@ def lexical_topk(t: Trial) -> DataFrame:
     )
 
 
+def team_sessions_final(t: Trial) -> DataFrame:
+    """Written by a query of this module, under whose settings rows meet their sessions as they are dealt, by scenario."""
+    return _team_sessions_written(t, t.model("f_team_sessions_final"))
+
+
+def _team_sessions_written(t: Trial, rows: DataFrame) -> DataFrame:
+    tables = ("f_sessions_final", marts.WRITTEN_PARTS["f_team_sessions_final"])
+    return stage(rows, by_one_key=marts.dealt_by_scenario(t.keys, *tables))
+
+
 def mention_tags(t: Trial) -> DataFrame:
     names = t.base("benchmark").select(F.explode(words(F.col("text"))).alias("name"))
     return search.mention_tags(t.base("documents"), "doc_id", "text", names, "name")
@@ -338,7 +348,7 @@ QUERIES: dict[str, Callable[[Trial], DataFrame]] = {
     "current_assignments": _current_assignments,
     "skill_rank": lambda t: t.model("f_ondemand_skills"),
     "sessions_final": lambda t: t.model("f_sessions_final"),
-    "team_sessions_final": lambda t: t.model("f_team_sessions_final"),
+    "team_sessions_final": team_sessions_final,
     "score": lambda t: t.model("f_score"),
 }
 MARTS = {"f_sessions_final", "f_team_sessions_final", "f_score"}

@@ -55,7 +55,7 @@ LOOKUP_KEYS: dict[str, list[tuple[str, ...]]] = {
     "f_session_score": [("sessionid",)],
     "f_ondemand_skills": [("sessionid",)],
     "f_live_skills": [(SESSION,)],
-    "f_sessions_final": [("learner_id", "scenario_id")],
+    "f_sessions_final": [("learner_id", "scenario_id"), ("scenario_id",)],
     "d_scenario_bank_event_scoring": [("scenario_id",)],
 }
 # What is kept with every table.
@@ -92,6 +92,10 @@ def make(
     read = {t: tables[t] for t in inputs(name)}
     if staged:
         read |= {t: stage(read[t].select(*columns).distinct()) for t, columns in LINKS.get(name, {}).items()}
+
+    def written(rows: DataFrame) -> DataFrame:
+        return stage(keys.watch(marts.WRITTEN_PARTS[name], rows, [("scenario_id",)]))
+
     if staged and name in NUMBERED:
         rows_of, number, groups = NUMBERED[name]
         own = {k: v for k, v in options.items() if k in inspect.signature(rows_of).parameters}
@@ -100,8 +104,9 @@ def make(
             own["keys"] = keys
         rows = stage(keys.watch(f"rows of {name}", rows_of(**read, **own), [groups], nulls=True))
         return number(rows, heavy=keys.of(f"rows of {name}", *groups), **rest)
-    takes = "keys" in inspect.signature(MODELS[name]).parameters
-    return MODELS[name](**read, **({"keys": keys} if takes else {}), **options)
+    takes = inspect.signature(MODELS[name]).parameters
+    more = {k: v for k, v in {"keys": keys, **({"written": written} if staged else {})}.items() if k in takes}
+    return MODELS[name](**read, **more, **options)
 
 
 def comment_of(model: str) -> str:

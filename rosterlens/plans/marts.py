@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import session_column
 from ..functions.scoring import is_positive, session_status
-from ..operators.heavy import KeySketches, Listed
-from ..operators.joins import SPLIT_ROWS, routed_left_join, split_left_join, smallest_shared
+from ..operators.heavy import KeySketches, Listed, with_route
+from ..operators.joins import NULL_SPREAD, SPLIT_ROWS, routed_left_join, split_left_join, smallest_shared
 from ..operators.numbering import TASK_ROWS, Numbering, number_within
 from ..operators.sets import fan_out_key, tagged_union
 
@@ -24,12 +24,26 @@ def listed(keys: KeySketches | None, table: str, *on: str) -> Listed | None:
     return keys.of(table, *on) if keys else None
 
 
+def none_large(found: Listed | None, split_rows: int) -> Listed | None:
+    """For a table that has some of the keys listed, with as many rows: no large keys if there are none, or not known."""
+    return [] if found is not None and all(n <= split_rows for _, n in found) else None
+
+
 SESSION_COLUMNS = [
     "status", "actual_start_date", "actual_end_date", "start_date", "end_date", "billable", "sub_type",
     "late_canceled", "final_session_sub_status", "session_date",
 ]
 
 
+# Rows of a mart that were written on the way to it, sketched by scenario.
+WRITTEN_PARTS = {"f_team_sessions_final": "assignments"}
+
+
+def dealt_by_scenario(keys: KeySketches | None, *tables: str, split_rows: int = SPLIT_ROWS) -> bool:
+    """No scenario has more rows in these tables than a task takes, so that joins may stay with rows dealt by scenario."""
+    return all(none_large(listed(keys, t, "scenario_id"), split_rows) is not None for t in tables)
+
+
 def live_sessions(
     f_live_session: DataFrame,
     m_session_learner: DataFrame,
@@ -245,30 +259,38 @@ def team_sessions(
     raw_team_member: DataFrame,
     split_rows: int = SPLIT_ROWS,
     keys: KeySketches | None = None,
+    written: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """A row per user, role, team, scenario and session; assignments without a session stay."""
+    """A row per user, role, team, scenario and session; assignments without a session stay.
+
+    `written` is what becomes of the assignments, as ids: a staged table, or a plan as it is.
+    """
     current = current_team_scenarios(
         d_users, m_client_user_role, m_team_member, m_scenario_team, split_rows, keys
     )
-    assigned = all_team_scenarios(
+    assigned = written(all_team_scenarios(
         current, f_sessions_final, m_client_user_role, raw_scenario_team, raw_team_member
-    )
+    ))
     sessions = f_sessions_final.select(
         F.col("learner_id").alias("user_id"), "scenario_id", F.col("id").alias("session_id"),
         *SESSION_COLUMNS, "session_type",
     )
     teams = d_team.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
-    people = user_clients(d_users, m_user_client, d_client).withColumn("known_user", F.col("user_id"))
+    people = with_roles(user_clients(d_users, m_user_client, d_client), "user_id", m_client_user_role, split_rows, keys)
     # Assignments are fewer and narrower than sessions, so they meet the dimensions first and every
-    # session is shuffled once, for the last join. Only users that are known have roles here.
-    known = (
-        with_roles(assigned.join(people, "user_id", "left"), "known_user", m_client_user_role, split_rows, keys)
-        .join(scenario_lookup(d_scenario, d_project, d_client), "scenario_id", "left")
-        .join(teams, "team_id", "left")
-    )
+    # session is shuffled once, for the last join. Roles are met at the size of the users, and teams while rows are ids only.
+    # Scenarios come last, by keys that are among those of the sessions: rows dealt for one can stay for the other. Rows
+    # without a scenario match nothing, and `_deal` spreads them. It is 0 for all others, by a hash, as a constant would not be dealt by.
+    known = split_left_join(
+        assigned.join(teams, "team_id", "left"), people, ["user_id"], split_rows,
+        none_large(listed(keys, "m_client_user_role", "user_id"), split_rows),
+    ).withColumn("_deal", F.when(F.col("scenario_id").isNull(), F.pmod(F.xxhash64("user_id", "team_id"), F.lit(NULL_SPREAD)).cast("int")).otherwise(0))
+    dealt = F.pmod(F.hash("scenario_id"), F.lit(1))
+    known = known.join(
+        scenario_lookup(d_scenario, d_project, d_client).withColumn("_deal", dealt), ["scenario_id", "_deal"], "left")
     joined = split_left_join(
-        known, sessions, ["user_id", "scenario_id"], split_rows,
-        listed(keys, "f_sessions_final", "learner_id", "scenario_id"),
+        known, sessions.withColumn("_deal", dealt), ["user_id", "scenario_id", "_deal"], split_rows,
+        with_route({"0": listed(keys, "f_sessions_final", "learner_id", "scenario_id")}),
     )
     return joined.select(
         F.coalesce("found_client_id", "user_client_id").alias("client_id"),
@@ -302,10 +324,11 @@ def f_team_sessions_final(
     fan_out_copies: Sequence[str] = FAN_OUT_COPIES,
     split_rows: int = SPLIT_ROWS,
     keys: KeySketches | None = None,
+    written: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     base = team_sessions(
         d_users, m_user_client, d_client, m_client_user_role, m_team_member, d_team, m_scenario_team,
-        f_sessions_final, d_scenario, d_project, raw_scenario_team, raw_team_member, split_rows, keys,
+        f_sessions_final, d_scenario, d_project, raw_scenario_team, raw_team_member, split_rows, keys, written,
     )
     return fan_out_key(base, "client_id", fan_out_client, fan_out_copies)
 
