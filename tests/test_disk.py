@@ -96,6 +96,25 @@ def test_wide_rows_are_not_dealt_again_for_their_sessions(spark, merged):
     assert len([d for d in dealt if re.search(r"scenario_id#\d+, _deal#", d)]) == 3  # rows, scenarios, sessions
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_banks_and_events_are_met_where_rows_are(spark, merged):
+    written = entry.Trial(spark, FOLDER, f_score=1, f_team_sessions_final=1)
+    tables = {n: written[n] for n in entry.inputs("f_score")}
+    text = plan_of(marts.scored_rows(**tables, keys=Known()))
+    assert not re.search(r"Exchange hashpartitioning\([^)]*event_number", text)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_what_is_staged_for_the_score_mart_on_the_way_is_removed(spark):
+    trial = entry.Trial(spark, FOLDER, f_score=1)
+    trial["f_team_sessions_final"]
+    folder = staging_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = trial.model("f_score")
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert rows.count() > 0
+
+
 def team_tables(frame):
     nothing = ", ".join(f"{c} string" for c in marts.SESSION_COLUMNS)
     session = lambda i, user, scenario: (i, user, scenario, "live", *[None] * len(marts.SESSION_COLUMNS))
